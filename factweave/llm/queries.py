@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from factweave.llm.line_dedup import line_dedup
 from factweave.llm.quality_rules import quality_rules
 from factweave.llm.source_mix import mix_sources
+from factweave.llm.toxicity import fit as fit_toxicity, toxicity
 from factweave.llm.url_filter import url_filter
 
 
@@ -34,5 +35,17 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def fold(doc_id: Column, of: int) -> Column:
+    """The remainder of crc32 of an id as text; null for a null id."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % of
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = lambda doc_id: F.coalesce(fold(doc_id, 3) == 1, F.lit(False))
+    scored = toxicity(docs.select("doc_id", "text"), fit_toxicity(docs, labels, held_out))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op5_quality_rules, op7_line_dedup, op9_source_mix)}
+    return {f.__name__: f for f in (op1_url_filter, op5_quality_rules, op7_line_dedup, op9_source_mix, op10_toxicity)}
