@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from factweave.llm.line_dedup import line_dedup
+from factweave.llm.ngram_join import ngram_jaccard_join
 from factweave.llm.quality_rules import quality_rules
 from factweave.llm.source_mix import mix_sources
 from factweave.llm.toxicity import fit as fit_toxicity, toxicity
@@ -26,6 +27,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", *counts, "base_failed", "kept")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -48,4 +53,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op5_quality_rules, op7_line_dedup, op9_source_mix, op10_toxicity)}
+    return {f.__name__: f for f in (op1_url_filter, op5_quality_rules, op6_ngram_join, op7_line_dedup, op9_source_mix, op10_toxicity)}
