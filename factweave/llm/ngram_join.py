@@ -139,7 +139,7 @@ def shared_entries(rows: DataFrame) -> DataFrame:
         none = lambda n: np.zeros(n, np.int64)
         return pa.table({
             "kind": np.concatenate([np.zeros(m, np.int32), np.ones(p, np.int32)]),
-            "o": np.concatenate([held["o"].view(np.int64) if held["o"].flags["C_CONTIGUOUS"] else np.ascontiguousarray(held["o"]).view(np.int64), none(p)]),
+            "o": np.concatenate([held["o"].astype(np.uint64).view(np.int64), none(p)]),
             "a": np.concatenate([held["c"], pairs["a"]]),
             "na": np.concatenate([held["n"], pairs["na"]]).astype(np.int64),
             "b": np.concatenate([none(m), pairs["b"]]),
@@ -239,5 +239,6 @@ def ngram_jaccard_join(docs: DataFrame, text: str = "text", hot_share: int = 100
     # links between components of the first round join these
     joined = connected_components(links.unionByName(more))
     least = joined.join(classes, joined["node"] == classes["c"]).groupBy("component").agg(F.min("least").alias("low"))
+    # written, so that the last join has a shuffle on either side and a set of many copies can be split
     of_class = classes.join(joined.select(F.col("node").alias("c"), "component"), "c", "left").join(least, "component", "left").select("c", F.coalesce("low", "least").alias("component_id"))
-    return rows.join(of_class, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows.join(cut(of_class), "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -10,6 +10,7 @@ from factweave.llm.line_dedup import line_dedup
 from factweave.llm.ngram_join import ngram_jaccard_join
 from factweave.llm.quality_rules import quality_rules
 from factweave.llm.source_mix import mix_sources
+from factweave.llm.suffix_dedup import suffix_dedup
 from factweave.llm.toxicity import fit as fit_toxicity, toxicity
 from factweave.llm.url_filter import url_filter
 
@@ -22,6 +23,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", *counts, "base_failed", "kept")
@@ -53,4 +59,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op5_quality_rules, op6_ngram_join, op7_line_dedup, op9_source_mix, op10_toxicity)}
+    return {f.__name__: f for f in (op1_url_filter, op3_suffix_dedup, op5_quality_rules, op6_ngram_join, op7_line_dedup, op9_source_mix, op10_toxicity)}
