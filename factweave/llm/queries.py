@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from factweave.llm.decontaminate import decontaminate
+from factweave.llm.language_id import fit as fit_languages, language_id
 from factweave.llm.line_dedup import line_dedup
 from factweave.llm.ngram_join import ngram_jaccard_join
 from factweave.llm.quality_rules import quality_rules
 from factweave.llm.source_mix import mix_sources
 from factweave.llm.suffix_dedup import suffix_dedup
+from factweave.llm.token_counts import token_counts
 from factweave.llm.toxicity import fit as fit_toxicity, toxicity
 from factweave.llm.url_filter import url_filter
 
@@ -19,15 +22,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(doc_id: Column, of: int) -> Column:
+    """The remainder of crc32 of an id as text; null for a null id."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % of
+
+
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = lambda doc_id: F.coalesce(fold(doc_id, 4) == 2, F.lit(False))
+    named = language_id(docs.select("doc_id", "text"), fit_languages(docs, held_out))
+    return named.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_tokens")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", *counts, "base_failed", "kept")
@@ -42,13 +61,14 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents"))
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each benchmark item found in a document."""
+    done = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return done.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", F.round("leak.share", 6).alias("share"))
 
 
-def fold(doc_id: Column, of: int) -> Column:
-    """The remainder of crc32 of an id as text; null for a null id."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % of
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,4 +79,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op3_suffix_dedup, op5_quality_rules, op6_ngram_join, op7_line_dedup, op9_source_mix, op10_toxicity)}
+    return {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_suffix_dedup, op4_token_counts, op5_quality_rules, op6_ngram_join, op7_line_dedup, op8_decontaminate, op9_source_mix, op10_toxicity)}
