@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from factweave.functions.storage import cut
+
 # fixed values: the rules with their verdicts
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
@@ -58,16 +60,17 @@ def template_tree(shapes: DataFrame, many: int = 20, rare: float = 0.05, similar
     Level by level, a child that holds under ``rare`` of its parent's rows becomes ``*`` when the parent has more than
     ``many`` children. Counts go up by grouped sums, so a hot host is folded before each shuffle.
     """
-    df, above = shapes, ["host"]
+    # each level joins what it counts with itself, so the small tables are written on the way
+    df, above = cut(shapes), ["host"]
     for d in range(1, DEPTH + 1):
         seg, out = f"s{d}", f"t{d}"
         child = df.groupBy(*above, seg).agg(F.sum("n").alias("_c"))
         parent = child.groupBy(*above).agg(F.count("*").alias("_kids"), F.sum("_c").alias("_all"))
         wild = child.join(parent, above).select(*above, seg, F.when((F.col("_kids") > many) & (F.col("_c") < rare * F.col("_all")) & (F.col(seg) != ""), "*").otherwise(F.col(seg)).alias(out))
-        df, above = df.join(wild, [*above, seg]), [*above, out]
+        df, above = cut(df.join(wild, [*above, seg])), [*above, out]
     leaf = [*above, "deep"]
     counts = [F.sum(c).alias(c) for c in ("n", "n_allow", "n_block")]
-    leaves = df.groupBy(*leaf).agg(*counts)
+    leaves = cut(df.groupBy(*leaf).agg(*counts))
     # siblings share all but the last segment
     last = F.when(F.col("t3") != "", 3).when(F.col("t2") != "", 2).otherwise(1)
     trunk = F.when(last == 3, F.concat_ws("/", "t1", "t2")).when(last == 2, F.col("t1")).otherwise("")
@@ -78,14 +81,14 @@ def template_tree(shapes: DataFrame, many: int = 20, rare: float = 0.05, similar
     spread = F.sqrt(F.try_divide(rate * (1 - rate), F.col("m")))
     # unlabelled leaves, and those of families that agree, cannot be told from the rest
     apart = (F.col("m") > 0) & (F.col("f_m") > F.col("m")) & (spread > 0) & (F.abs(F.try_divide(F.col("n_block"), F.col("m")) - rate) > similar_z * spread)
-    both = both.withColumn("apart", F.coalesce(apart, F.lit(False)))
+    both = cut(both.withColumn("apart", F.coalesce(apart, F.lit(False))))
     merged = both.where(~F.col("apart")).groupBy("host", "trunk").agg(F.sum("n_block").alias("g_block"), F.sum("m").alias("g_m"))
     judged = both.join(merged, ["host", "trunk"], "left")
     block, m = F.when(F.col("apart"), F.col("n_block")).otherwise(F.col("g_block")), F.when(F.col("apart"), F.col("m")).otherwise(F.col("g_m"))
     # half of the prior's weight says block, so the share of an unlabelled template is one half
     judged = judged.withColumn("purity", (block + prior / 2) / (m + prior)).withColumn("template", F.concat(F.col("host"), F.lit("/"), F.concat_ws("/", *(F.when(F.col(f"t{d}") != "", F.col(f"t{d}")) for d in range(1, DEPTH + 1)), F.when(F.col("deep"), "**"))))
     verdicts = judged.select(*leaf, "template", "purity", (F.col("purity") >= reject).alias("rejected"))
-    return df.join(verdicts, leaf).select("host", "s1", "s2", "s3", "deep", "template", "purity", "rejected")
+    return cut(df.join(verdicts, leaf)).select("host", "s1", "s2", "s3", "deep", "template", "purity", "rejected")
 
 
 def url_filter(pages: DataFrame, url: str = "url", rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
