@@ -11,8 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 # fixed values: white space between words, and the symbols that count
-SPACE = " \t\n\x0b\f\r"
-SYMBOLS = "#*$%&|<>"
+SPACE = r"[\x20\x09-\x0D]"
+SYMBOLS = r"[#*$%&|<>]"
 
 # fixed values: frequent function words of the languages at hand
 STOP_WORDS = (
@@ -38,68 +38,58 @@ THRESHOLDS = (
     Threshold("word_length", "mean_word_chars", 2.0, 15.0),
     Threshold("symbols", "symbol_ratio", high=0.15),
     Threshold("lines", "dup_line_ratio", high=0.3),
-    Threshold("stop_words", "stop_ratio", low=0.02, least_words=50),
+    Threshold("stop_words", "stop_kinds", low=2, least_words=50),
     Threshold("line_length", "words_per_line", low=1.5, least_words=50),
-    Threshold("alphabetic", "letter_word_ratio", low=0.5, least_words=20),
+    Threshold("alphabetic", "letter_ratio", low=0.5, least_words=20),
 )
 
-BASE = (Threshold("few_words", "n_words", low=10), Threshold("repeats", "repeat_percent", high=20))
-
 WINDOW = 5
 
 
-def _words(text: Column) -> Column:
-    plain = F.translate(text, SPACE[1:], " " * (len(SPACE) - 1))
-    return F.filter(F.split(plain, " "), lambda w: w != "")
+def _windows(words: Column, n: Column) -> Column:
+    """A hash for each five-word window; null where a text is too short to hold two."""
+    each = F.transform(words, lambda w, i: F.xxhash64(w, *(F.get(words, i + k) for k in range(1, WINDOW))))
+    return F.when(n > WINDOW, F.slice(each, 1, n - (WINDOW - 1)))
 
 
-def _windows(words: Column, n: Column) -> Column:
-    """The hashes of all five-word windows with their places, sorted, so that equal windows are neighbours."""
-    places = F.when(n > WINDOW, F.sequence(F.lit(1), n - (WINDOW - 1)))
-    return F.sort_array(F.transform(places, lambda i: F.struct(F.xxhash64(F.slice(words, i, WINDOW)).alias("h"), i.cast("int").alias("i"))))
+def _covered(windows: Column) -> Column:
+    """Words that lie in a window found twice or more, the first find included.
+
+    Only texts with such a window come here. The hashes are sorted with their places, so that equal ones are
+    neighbours; each repeated place, back in order, adds the words up to the next one, five at most.
+    """
+    keyed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    own = lambda k, f: F.get(F.transform(F.array(k), f), F.lit(0))  # noqa: E731  binds k, so that it is computed once
+    marked = own(keyed, lambda k: F.sort_array(F.array_compact(F.transform(k, lambda x, i: F.when((F.get(k, i - 1)["h"] == x["h"]) | (F.get(k, i + 1)["h"] == x["h"]), x["i"])))))
+    return own(marked, lambda s: F.aggregate(F.transform(s, lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(s, i + 1) - x, F.lit(WINDOW)))), F.lit(0).cast("long"), lambda a, x: a + x))
 
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the counts and ratios that thresholds may name. A null text counts as empty."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    df = docs.withColumn("_t", t).withColumn("_w", _words(F.col("_t")))
+    df = docs.withColumn("_t", t).withColumn("_w", F.array_remove(F.split("_t", SPACE + "+"), ""))
     n = F.size("_w")
     df = df.withColumn("n_words", n.cast("long")).withColumn("_k", _windows(F.col("_w"), n))
-    k = F.col("_k")
-    marked = F.transform(
-        k,
-        lambda x, i: F.when((F.get(k, i - 1)["h"] == x["h"]) | (F.get(k, i + 1)["h"] == x["h"]), x["i"]),
-    )
-    df = df.withColumn("_s", F.sort_array(F.array_compact(marked)))
-    s = F.col("_s")
-    # each repeated window adds the words up to the next one, five at most
-    covered = F.aggregate(
-        F.transform(s, lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(s, i + 1) - x, F.lit(WINDOW)))),
-        F.lit(0).cast("long"),
-        lambda a, x: a + x,
-    )
-    lines = F.filter(F.split(F.col("_t"), "\n"), lambda x: F.translate(x, SPACE, "") != "")
-    df = df.withColumn("_l", lines)
-    squeezed = F.translate(F.col("_t"), SPACE, "")
+    df = df.withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     df = df.withColumns({
-        "word_chars": F.char_length(squeezed).cast("long"),
-        "n_symbols": (F.char_length("_t") - F.char_length(F.translate(F.col("_t"), SYMBOLS, ""))).cast("long"),
+        "word_chars": (F.char_length("_t") - F.regexp_count("_t", F.lit(SPACE))).cast("long"),
+        "n_symbols": F.regexp_count("_t", F.lit(SYMBOLS)).cast("long"),
         "n_lines": F.size("_l").cast("long"),
         "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-        "n_repeat_words": F.coalesce(covered, F.lit(0).cast("long")),
-        "_letters": F.char_length(F.regexp_replace(squeezed, r"[\x21-\x40\x5B-\x60\x7B-\x7E]+", "")).cast("long"),
-        "_stops": F.size(F.filter(F.col("_w"), lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long"),
+        "n_repeat_words": F.when(F.size(F.array_distinct("_k")) < F.size("_k"), _covered(F.col("_k"))).otherwise(0).cast("long"),
+        "_marks": F.regexp_count("_t", F.lit(r"[\x21-\x40\x5B-\x60\x7B-\x7E]")).cast("long"),
+        "stop_kinds": F.size(F.array_intersect("_w", F.array(*map(F.lit, STOP_WORDS)))).cast("long"),
     })
     words = F.greatest(F.col("n_words"), F.lit(1))
+    chars = F.greatest(F.col("word_chars"), F.lit(1))
     return df.withColumns({
         "mean_word_chars": F.col("word_chars") / words,
-        "symbol_ratio": F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)),
+        "symbol_ratio": F.col("n_symbols") / chars,
         "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
-        "stop_ratio": F.col("_stops") / words,
         "words_per_line": F.col("n_words") / F.greatest(F.col("n_lines"), F.lit(1)),
-        "letter_word_ratio": F.col("_letters") / F.greatest(F.col("word_chars"), F.lit(1)),
+        "letter_ratio": (F.col("word_chars") - F.col("_marks")) / chars,
         "repeat_percent": 100 * F.col("n_repeat_words") / words,
-    }).drop("_t", "_w", "_k", "_s", "_l", "_letters", "_stops")
+    }).drop("_t", "_w", "_k", "_l", "_marks")
 
 
 def compiled(thresholds: tuple[Threshold, ...]) -> Column:
