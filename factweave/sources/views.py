@@ -171,12 +171,11 @@ def with_views(body: str, extra: dict[str, str] | None = None) -> str:
     known = SQL | (extra or {})
     needed: list[str] = []
 
-    def need(text: str) -> None:
+    def need(text: str, inside: tuple[str, ...] = ()) -> None:
         for name in known:
-            if name not in needed and re.search(rf"\b(?:FROM|JOIN|,)\s+{name}\b", text):
-                need(known[name])
-                if name not in needed:
-                    needed.append(name)
+            if name not in needed and name not in inside and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", text):
+                need(known[name], (*inside, name))
+                needed.append(name)
 
     need(body)
     return ("WITH RECURSIVE " + ", ".join(f"{n} AS ({known[n]})" for n in needed) + " " if needed else "") + body
