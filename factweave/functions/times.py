@@ -45,4 +45,5 @@ def freshness(at: Column | str, decay_days: float, as_of: str) -> Column:
     """C17: exp(-age / decay) by whole seconds of age, 1 for the future, 0.5 without a time."""
     t = F.col(at) if isinstance(at, str) else at
     age = (F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(t)) / 86400.0
-    return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.exp(-age / decay_days))), F.lit(0.5))
+    # least and greatest would pass over a null
+    return F.when(t.isNull(), 0.5).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.exp(-age / decay_days))))
