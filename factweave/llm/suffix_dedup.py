@@ -143,7 +143,7 @@ def stretch_rows(docs: DataFrame, apart: np.ndarray, fragments: int) -> DataFram
             order = np.argsort(f, kind="stable")
             kept, f = kept[order], f[order]
             keys, at = np.unique(f, return_index=True)
-            ends = [*at[1:].tolist(), len(kept)]
+            ends = np.append(at, len(kept))[1:].tolist()
             packed = [kept[a:b].tobytes() for a, b in zip(at.tolist(), ends, strict=True)]
             r = np.concatenate([again["r"], np.array(whole_r, np.int64)])
             lo = np.concatenate([again["lo"].astype(np.int64), np.zeros(len(whole_r), np.int64)])
@@ -151,7 +151,7 @@ def stretch_rows(docs: DataFrame, apart: np.ndarray, fragments: int) -> DataFram
             order = np.argsort(r, kind="stable")
             r, lo, hi = r[order], lo[order], hi[order]
             texts, start = np.unique(r, return_index=True)
-            ranges = [np.stack(union(lo[a:b], hi[a:b]), axis=1).astype("<i4").tobytes() for a, b in zip(start.tolist(), [*start[1:].tolist(), len(r)], strict=True)]
+            ranges = [np.stack(union(lo[a:b], hi[a:b]), axis=1).astype("<i4").tobytes() for a, b in zip(start.tolist(), np.append(start, len(r))[1:].tolist(), strict=True)]
             none = len(ranges)
             yield pa.RecordBatch.from_arrays([
                 pa.array([0] * len(packed) + [1] * none, pa.int32()),
@@ -223,8 +223,12 @@ def cut_out(docs: DataFrame, places: DataFrame) -> DataFrame:
     return held.mapInArrow(run, "g long, n int, before int, r long, lo int, bytes binary")
 
 
-def repeat_groups(stretches: DataFrame, fragments: int) -> DataFrame:
-    """``repeat_id, r, lo, hi``: maximal repeats of the stretches that meet in a block, each with all its occurrences there."""
+def repeat_groups(stretches: DataFrame, fragments: int, merged: bool = False) -> DataFrame:
+    """``repeat_id, r, lo, hi``: maximal repeats of the stretches that meet in a block, each with all its occurrences there.
+
+    Maximal repeats nest, so their occurrences can be many more than the stretches; with ``merged`` the block gives the
+    disjoint byte ranges that they cover in each text instead, and repeat_id is 0.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         texts = table.column("bytes").to_pylist()
@@ -241,6 +245,13 @@ def repeat_groups(stretches: DataFrame, fragments: int) -> DataFrame:
             own = order[start:stop]
             group, text, at, length = maximal_repeats([texts[i] for i in own], before[own], n[own], LENGTH)
             where = own[text]
+            if merged and len(group):
+                # all texts on one line, far apart, so that one union serves them all
+                named, of = np.unique(r[where], return_inverse=True)
+                first, last = union((of << 32) + lo[where] + at, (of << 32) + lo[where] + at + length)
+                out.append((np.zeros(len(first), np.int64), named[first >> 32], first & 0xFFFFFFFF, last & 0xFFFFFFFF))
+                start = stop
+                continue
             name = mixed(group.astype(np.uint64) + g[own[0]].astype(np.uint64)).view(np.int64) if len(group) else group
             out.append((name, r[where], lo[where] + at, lo[where] + at + length))
             start = stop
@@ -267,7 +278,7 @@ def suffix_dedup(docs: DataFrame, text: str = "text", entry_bytes: int = 16 << 2
     other = both.where("kind = 0").select("g", "r", "lo", "hi").join(least, "r")
     stretches = cut_out(base, other)
     n_other = both.where("kind = 0").count()
-    found = cut(repeat_groups(stretches, max(64, n_other * 280 // block_bytes)).groupBy("r", "lo").agg(F.max("hi").alias("hi")))
+    found = cut(repeat_groups(stretches, max(64, n_other * 280 // block_bytes), merged=True).select("r", "lo", "hi"))
     every = both.where("kind = 1").select("r", "lo", "hi").unionByName(found)
     # written, so that the join has a shuffle on either side and a text of many copies can be split
     covered = cut(every.groupBy(F.col("r").alias("_r")).agg(F.collect_set(F.struct("lo", "hi")).alias("pairs")))
