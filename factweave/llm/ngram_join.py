@@ -6,7 +6,7 @@ Two sets that are similar enough share a shingle among the first quarter of each
 is linked is decided on the whole sets.
 
 A group of many near copies is not spread into all its pairs: first every holder of a shared shingle is paired with
-one of them, then only pairs whose ends are still in different components are tried.
+one of them, and then only pairs whose ends are still in different components are tried.
 """
 
 from __future__ import annotations
@@ -15,9 +15,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from factweave.functions.storage import cut
+from factweave.functions.storage import cut, stored
 from factweave.llm.shingles import set_print, shingle_sets
 from factweave.llm.textkit import blocks
 from factweave.operators.components import connected_components
@@ -25,6 +25,9 @@ from factweave.operators.components import connected_components
 #: links are pairs with 100 * intersection >= PERCENT * union
 PERCENT = 75
 HOT = np.uint64(1 << 63)
+#: so many rows at most are sent to all tasks in place of a shuffle
+SMALL = 300_000
+BITS = [f"m{k}" for k in range(4)]
 ENTRY = np.dtype([("o", "<u8"), ("c", "<i8"), ("n", "<i4")])
 
 
@@ -40,17 +43,22 @@ def needed(a: Column, b: Column) -> Column:
 
 
 def prints(docs: DataFrame, local: int = 8) -> DataFrame:
-    """One pass over the texts: rows of kind 0 with ``id, n, c`` (size and name of the set), and of kind 1 with ``c, n``
-    for shingles that ``local`` or more different sets of one Arrow batch hold."""
+    """One pass over the texts: rows of kind 0 with ``id, n, c`` (size and name of the set) and its parity bitmap, and of
+    kind 1 with ``c, n`` for shingles that ``local`` or more different sets of one Arrow batch hold.
+
+    A bit of the bitmap tells whether the set has an odd number of shingles of one class out of 256, so two sets differ
+    in as many shingles at least as their bitmaps do in bits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, names, seen, sets = [], [], set(), []
+            n, names, bits, seen, sets = [], [], [], set(), []
             for block in blocks(batch.column("text")):
                 for s in shingle_sets(block):
                     name = set_print(s)
                     n.append(len(s))
                     names.append(name)
+                    bits.append(np.packbits(np.bincount((s >> np.uint64(8) & np.uint64(255)).astype(np.int64), minlength=256) & 1).view(np.int64))
                     if name not in seen:
                         seen.add(name)
                         sets.append(s)
@@ -61,9 +69,11 @@ def prints(docs: DataFrame, local: int = 8) -> DataFrame:
             count = np.searchsorted(whole, often, "right") - np.searchsorted(whole, often, "left")
             ids = pa.concat_arrays([batch.column("doc_id").cast(pa.int64()), pa.nulls(len(often), pa.int64())])
             kind = np.concatenate([np.zeros(rows, np.int32), np.ones(len(often), np.int32)])
-            yield pa.RecordBatch.from_arrays([pa.array(kind), ids, pa.array(np.concatenate([np.array(n, np.int64), count])), pa.array(np.concatenate([np.array(names, np.int64), often.view(np.int64)]))], ["kind", "doc_id", "n", "c"])
+            maps = np.concatenate([np.array(bits, np.int64).reshape(-1, 4), np.zeros((len(often), 4), np.int64)])
+            plain = [pa.array(kind), ids, pa.array(np.concatenate([np.array(n, np.int64), count])), pa.array(np.concatenate([np.array(names, np.int64), often.view(np.int64)]))]
+            yield pa.RecordBatch.from_arrays([*plain, *(pa.array(np.ascontiguousarray(m)) for m in maps.T)], ["kind", "doc_id", "n", "c", *BITS])
 
-    return docs.mapInArrow(run, "kind int, doc_id long, n long, c long")
+    return docs.mapInArrow(run, "kind int, doc_id long, n long, c long, " + ", ".join(f"{m} long" for m in BITS))
 
 
 def _order(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -150,17 +160,18 @@ def shared_entries(rows: DataFrame) -> DataFrame:
     return rows.groupBy("f").applyInArrow(run, "kind int, o long, a long, na long, b long, nb long, k long")
 
 
-def overlaps(pairs: DataFrame, classes: DataFrame, docs: DataFrame, parts: int = 4) -> DataFrame:
+def overlaps(pairs: DataFrame, classes: DataFrame, docs: DataFrame, parts: int = 1) -> DataFrame:
     """``a, b, both``: the whole overlap of each pair of sets, counted part by part of the order and summed.
 
-    Texts are read again for the sets that stand in a pair, one text for each.
+    Texts are read again for the sets that stand in a pair, one text for each. The ids of up to SMALL sets are sent to
+    all tasks, which saves the shuffle of the texts; more of them are joined by a shuffle.
     """
     named = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    wanted = named.join(classes, "c").select(F.col("least").alias("doc_id"), "c")
-    texts = docs.join(wanted, "doc_id").select("text", "c")
+    wanted = cut(named.join(classes.select("c", "least"), "c").select(F.col("least").alias("doc_id"), "c"))
+    texts = docs.join(_small(wanted), "doc_id").select("text", "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = np.uint64(64 - (parts.bit_length() - 1))
+        bounds = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
         for batch in batches:
             names, at = batch.column("c").to_pylist(), 0
             for block in blocks(batch.column("text")):
@@ -168,14 +179,14 @@ def overlaps(pairs: DataFrame, classes: DataFrame, docs: DataFrame, parts: int =
                 for s in shingle_sets(block):
                     name, at = names[at], at + 1
                     if set_print(s) == name:  # another text under the same id has another set
-                        edges = np.searchsorted(s >> width, np.arange(parts + 1, dtype=np.uint64))
+                        edges = [0, *np.searchsorted(s, bounds).tolist(), len(s)]
                         for k in range(parts):
                             c.append(name)
                             part.append(k)
                             held.append(s[edges[k] : edges[k + 1]].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(part, pa.int32()), pa.array(held, pa.binary())], ["c", "part", "held"])
 
-    sets = cut(texts.mapInArrow(run, "c long, part int, held binary").dropDuplicates(["c", "part"]))
+    sets = stored(texts.mapInArrow(run, "c long, part int, held binary").dropDuplicates(["c", "part"]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,11 +206,38 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
 
 
 def _short_of(k: Column, share: float) -> Column:
-    """Pairs whose first quarters overlap too little: what lies beyond them cannot make it up."""
-    beyond = F.least(F.col("na") - prefix_length(F.col("na")), F.col("nb") - prefix_length(F.col("nb")))
+    """Pairs whose first quarters overlap too little: what lies beyond them cannot make it up.
+
+    Up to the place where the first of both quarters ends all that is shared is counted; what is shared beyond it lies in
+    the rest of that set, whichever it is.
+    """
+    beyond = F.greatest(F.col("na") - prefix_length(F.col("na")), F.col("nb") - prefix_length(F.col("nb")))
     return k < F.greatest(F.lit(1), share * (needed(F.col("na"), F.col("nb")) - beyond))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` (written) to be sent to all tasks, if it is no longer than SMALL rows."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def _bitmaps_fit() -> Column:
+    """Sets overlap in half of what their sizes add up to less their difference, at most; the bitmaps bound the difference."""
+    differ = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"{m}_b"))) for m in BITS), F.lit(0))
+    return (F.col("na") + F.col("nb") - differ) / 2 >= needed(F.col("na"), F.col("nb"))
+
+
+def _sizes_fit() -> Column:
+    return 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
+
+
+def open_entries(entries: DataFrame, links: DataFrame) -> DataFrame:
+    """``o, a, na, label`` of places whose holders are in several components of the links so far."""
+    near = cut(connected_components(links).select(F.col("node").alias("a"), F.col("component").alias("label")))
+    labelled = entries.join(_small(near), "a", "left").select("o", "a", "na", F.coalesce("label", "a").alias("label"))
+    several = labelled.withColumn("low", F.min("label").over(Window.partitionBy("o"))).withColumn("high", F.max("label").over(Window.partitionBy("o")))
+    return several.where("low < high").select("o", "a", "na", "label")
+
+
 def ngram_jaccard_join(docs: DataFrame, text: str = "text", hot_share: int = 1000, fragment_bytes: int = 24 << 20) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``; component_id is the least id linked with it, itself included.
 
@@ -216,29 +254,26 @@ def ngram_jaccard_join(docs: DataFrame, text: str = "text", hot_share: int = 100
     n_docs, total = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     often = first.where("kind = 1").groupBy("c").agg(F.sum("n").alias("n")).where(F.col("n") >= max(16, n_docs // hot_share)).select("c")
     hot = np.sort(often.toPandas()["c"].to_numpy(np.int64).view(np.uint64))
-    classes = cut(rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least")))
+    maps = [F.first(m).alias(m) for m in BITS]
+    classes = cut(first.where("kind = 0 and n > 0").groupBy("c").agg(F.min("doc_id").alias("least"), *maps))
 
     fragments = max(64, int(total * ENTRY.itemsize * 0.27) // fragment_bytes)
-    found = cut(shared_entries(fragment_rows(base, hot, fragments)))
+    found = stored(shared_entries(fragment_rows(base, hot, fragments)))
     entries = found.where("kind = 0").select("o", "a", "na")
     stars = found.where("kind = 1").groupBy("a", "na", "b", "nb").agg(F.sum("k").alias("k"))
     tried = _verified(cut(stars.where(~_short_of(F.col("k"), 0.5)).select("a", "na", "b", "nb")), classes, base)
     links = tried.where("linked").select("a", "b")
-    near = connected_components(links).select(F.col("node").alias("a"), F.col("component").alias("label"))
-
     # what is left: holders of one place that no chain of links joins yet
-    labelled = entries.join(near, "a", "left").select("o", "a", "na", F.coalesce("label", "a").alias("label"))
-    open_places = labelled.groupBy("o").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("o")
-    left = cut(labelled.join(open_places, "o"))
-    other = left.select("o", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("label").alias("label_b"))
-    fits = (F.col("a") < F.col("b")) & (F.col("label") != F.col("label_b")) & (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
+    bitmaps = cut(classes.select(F.col("c").alias("a"), *BITS))
+    left = stored(open_entries(entries, links).join(_small(bitmaps), "a"))
+    other = left.select("o", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("label").alias("label_b"), *(F.col(m).alias(f"{m}_b") for m in BITS))
+    fits = (F.col("a") < F.col("b")) & (F.col("label") != F.col("label_b")) & _sizes_fit() & _bitmaps_fit()
     pairs = left.join(other, "o").where(fits).groupBy("a", "na", "b", "nb").agg(F.count("*").alias("k"))
     pairs = cut(pairs.where(~_short_of(F.col("k"), 1.0)).select("a", "na", "b", "nb").join(tried.select("a", "b"), ["a", "b"], "left_anti"))
     more = _verified(pairs, classes, base).where("linked").select("a", "b")
 
-    # links between components of the first round join these
     joined = connected_components(links.unionByName(more))
-    least = joined.join(classes, joined["node"] == classes["c"]).groupBy("component").agg(F.min("least").alias("low"))
+    least = joined.join(classes.select("c", "least"), F.col("node") == F.col("c")).groupBy("component").agg(F.min("least").alias("low"))
     # written, so that the last join has a shuffle on either side and a set of many copies can be split
     of_class = classes.join(joined.select(F.col("node").alias("c"), "component"), "c", "left").join(least, "component", "left").select("c", F.coalesce("low", "least").alias("component_id"))
     return rows.join(cut(of_class), "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
