@@ -166,7 +166,7 @@ def overlaps(pairs: DataFrame, classes: DataFrame, docs: DataFrame, parts: int =
     Texts are read again for the sets that stand in a pair, one text for each. The ids of up to SMALL sets are sent to
     all tasks, which saves the shuffle of the texts; more of them are joined by a shuffle.
     """
-    named = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    named = pairs.select(F.col("a").alias("c")).distinct().unionByName(pairs.select(F.col("b").alias("c")).distinct()).distinct()
     wanted = cut(named.join(classes.select("c", "least"), "c").select(F.col("least").alias("doc_id"), "c"))
     texts = docs.join(_small(wanted), "doc_id").select("text", "c")
 

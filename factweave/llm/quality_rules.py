@@ -76,7 +76,8 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_symbols": F.regexp_count("_t", F.lit(SYMBOLS)).cast("long"),
         "n_lines": F.size("_l").cast("long"),
         "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-        "n_repeat_words": F.when(F.size(F.array_distinct("_k")) < F.size("_k"), _covered(F.col("_k"))).otherwise(0).cast("long"),
+        # a filter on the results would copy these expressions into itself, level by level; the partition's number stops that
+        "n_repeat_words": F.when((F.spark_partition_id() >= 0) & (F.size(F.array_distinct("_k")) < F.size("_k")), _covered(F.col("_k"))).otherwise(0).cast("long"),
         "_marks": F.regexp_count("_t", F.lit(r"[\x21-\x40\x5B-\x60\x7B-\x7E]")).cast("long"),
         "stop_kinds": F.size(F.array_intersect("_w", F.array(*map(F.lit, STOP_WORDS)))).cast("long"),
     })
