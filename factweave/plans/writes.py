@@ -8,12 +8,11 @@ from factweave.functions.text import content_key
 from factweave.operators import write as W
 from factweave.plans.registry import query
 
-_D = F.col("doc_id")
 
 
 @query("g1_backfill_content_keys", "SELECT memory_id, CASE WHEN doc_id % 3 = 0 THEN 'kept' ELSE content_key END AS content_key FROM memories")
 def g1(v):
-    some = v.memories.withColumn("content_key", F.when(_D % 3 == 0, "kept").otherwise(""))
+    some = v.memories.withColumn("content_key", F.when(F.col("doc_id") % 3 == 0, "kept").otherwise(""))
     return W.backfill_content_keys(some).select("memory_id", "content_key")
 
 
@@ -21,14 +20,14 @@ _NEW = {"fresh_rows": "SELECT 'new_' || m.doc_id AS new_id, 'src' || (m.doc_id %
 
 
 def _new(v):
-    key = F.when(_D % 2 == 0, F.col("content_key")).otherwise(F.sha2("content_key", 256))
-    return v.memories.select(F.concat(F.lit("new_"), _D).alias("new_id"), F.concat(F.lit("src"), _D % 20).alias("user_id"), "memory_type", "content", key.alias("content_key"), "doc_id")
+    key = F.when(F.col("doc_id") % 2 == 0, F.col("content_key")).otherwise(F.sha2("content_key", 256))
+    return v.memories.select(F.concat(F.lit("new_"), F.col("doc_id")).alias("new_id"), F.concat(F.lit("src"), F.col("doc_id") % 20).alias("user_id"), "memory_type", "content", key.alias("content_key"), "doc_id")
 
 
 @query("g2_exact_dedup", """SELECT new_id, CASE WHEN EXISTS (SELECT 1 FROM old o WHERE o.content_key = f.content_key AND o.user_id = f.user_id) THEN 'known' WHEN row_number() OVER (PARTITION BY content_key, user_id ORDER BY new_id) > 1 THEN 'repeat'
     WHEN EXISTS (SELECT 1 FROM old o WHERE o.content_key = f.content_key) THEN 'family' ELSE 'fresh' END AS status FROM fresh_rows f""", _NEW | {"old": "SELECT * FROM memories WHERE doc_id % 3 = 0"})
 def g2(v):
-    return W.exact_dedup(_new(v), v.memories.where(_D % 3 == 0)).select("new_id", "status")
+    return W.exact_dedup(_new(v), v.memories.where(F.col("doc_id") % 3 == 0)).select("new_id", "status")
 
 
 _CAND = {"cand": """SELECT 'new_' || m.doc_id AS new_id, t.memory_id AS target, t.content AS target_text, t.memory_type AS target_type, CAST((m.doc_id * 7 + k * 13) % 101 AS DOUBLE) / 100 AS similarity FROM memories m CROSS JOIN (SELECT unnest([1, 2, 3]) AS k) JOIN memories t ON t.doc_id = m.doc_id - m.doc_id % 4 + k WHERE m.doc_id % 5 <> 0"""}
@@ -36,9 +35,9 @@ _CAND = {"cand": """SELECT 'new_' || m.doc_id AS new_id, t.memory_id AS target,
 
 def _cand(v):
     """Up to three stored facts with a made-up similarity for four new facts of five."""
-    steps = v.memories.where(_D % 5 != 0).select(F.concat(F.lit("new_"), _D).alias("new_id"), "doc_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k"))
-    rows = steps.select("new_id", (_D - _D % 4 + F.col("k")).alias("t"), (((_D * 7 + F.col("k") * 13) % 101).cast("double") / 100).alias("similarity"))
-    old = v.memories.select(_D.alias("t"), F.col("memory_id").alias("target"), F.col("content").alias("target_text"), F.col("memory_type").alias("target_type"))
+    steps = v.memories.where(F.col("doc_id") % 5 != 0).select(F.concat(F.lit("new_"), F.col("doc_id")).alias("new_id"), "doc_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k"))
+    rows = steps.select("new_id", (F.col("doc_id") - F.col("doc_id") % 4 + F.col("k")).alias("t"), (((F.col("doc_id") * 7 + F.col("k") * 13) % 101).cast("double") / 100).alias("similarity"))
+    old = v.memories.select(F.col("doc_id").alias("t"), F.col("memory_id").alias("target"), F.col("content").alias("target_text"), F.col("memory_type").alias("target_type"))
     return rows.join(old, "t").drop("t")
 
 
@@ -60,8 +59,8 @@ _SAID = {"said": "SELECT new_id, doc_id, content, memory_type, (['ADD', 'UPDATE'
 
 
 def _said(v):
-    op = F.get(F.array(*map(F.lit, ("ADD", "UPDATE", "SUPERSEDE", "CONTRADICT", "DELETE", "NOOP"))), (_D % 6).cast("int"))
-    return _new(v).select("new_id", "doc_id", "content", "memory_type", op.alias("operation"), (_D * 11 % 131 - 10).alias("confidence"), F.concat(F.lit("mem_"), _D - _D % 4 + 2).alias("target"), "user_id")
+    op = F.get(F.array(*map(F.lit, ("ADD", "UPDATE", "SUPERSEDE", "CONTRADICT", "DELETE", "NOOP"))), (F.col("doc_id") % 6).cast("int"))
+    return _new(v).select("new_id", "doc_id", "content", "memory_type", op.alias("operation"), (F.col("doc_id") * 11 % 131 - 10).alias("confidence"), F.concat(F.lit("mem_"), F.col("doc_id") - F.col("doc_id") % 4 + 2).alias("target"), "user_id")
 
 
 @query("g5_validate_decision", "SELECT s.new_id, CASE WHEN operation <> 'ADD' AND b.new_id IS NULL THEN 'ADD' ELSE operation END AS operation, least(greatest(confidence, 0), 100) AS confidence, CASE WHEN operation <> 'ADD' AND b.new_id IS NOT NULL THEN CASE WHEN EXISTS (SELECT 1 FROM cand c WHERE c.new_id = s.new_id AND c.target = s.target) THEN s.target ELSE b.target END END AS target FROM said s LEFT JOIN best b USING (new_id)", _GATE | _SAID)
@@ -103,7 +102,7 @@ _VERD = {"verd": "SELECT a, b, (['entail', 'contradict', 'neutral'])[CAST((a * 3
 
 
 def _verdicts(v):
-    fwd = v.memories.select(_D.alias("a"), F.explode(F.array(_D + 1, _D + 7)).alias("b"))
+    fwd = v.memories.select(F.col("doc_id").alias("a"), F.explode(F.array(F.col("doc_id") + 1, F.col("doc_id") + 7)).alias("b"))
     both = fwd.unionByName(fwd.select(F.col("b").alias("a"), F.col("a").alias("b")))
     label = F.get(F.array(F.lit("entail"), F.lit("contradict"), F.lit("neutral")), ((F.col("a") * 31 + F.col("b") * 17) % 3).cast("int"))
     return both.select("a", "b", label.alias("label"), (0.5 + ((F.col("a") + F.col("b")) % 50).cast("double") / 100).alias("probability"))
@@ -125,14 +124,14 @@ def g11(v):
 def g13(v):
     """Chains of four keys in every ten."""
     key = lambda k: F.lpad(k.cast("string"), 9, "0")
-    pairs = v.memories.where((_D % 10 < 3) & (_D + 1 < v.n)).select(key(_D).alias("a"), key(_D + 1).alias("b"))
-    return W.unify_keys(pairs, v.memories.withColumn("content_key", key(_D)))
+    pairs = v.memories.where((F.col("doc_id") % 10 < 3) & (F.col("doc_id") + 1 < v.n)).select(key(F.col("doc_id")).alias("a"), key(F.col("doc_id") + 1).alias("b"))
+    return W.unify_keys(pairs, v.memories.withColumn("content_key", key(F.col("doc_id"))))
 
 
 @query("g15_link_entities", "SELECT DISTINCT memory_id, CAST(doc_id % 97 AS VARCHAR) AS entity_id, 50 AS confidence FROM memories WHERE doc_id % 97 < 60")
 def g15(v):
-    mentions = v.memories.where(_D % 97 < 60).select("memory_id", F.concat(F.lit("  Name "), _D % 97, F.lit(" ")).alias("name"))
-    known = v.memories.select((_D % 97).alias("entity_id"), F.concat(F.lit("NAME "), _D % 97).alias("name")).distinct()
+    mentions = v.memories.where(F.col("doc_id") % 97 < 60).select("memory_id", F.concat(F.lit("  Name "), F.col("doc_id") % 97, F.lit(" ")).alias("name"))
+    known = v.memories.select((F.col("doc_id") % 97).alias("entity_id"), F.concat(F.lit("NAME "), F.col("doc_id") % 97).alias("name")).distinct()
     return W.link_entities(mentions, known)[0]
 
 
@@ -168,11 +167,11 @@ def g20(v):
     "have": "SELECT src, dst, CASE WHEN edge_type IN ('BECAUSE', 'IMPLIES', 'CONTRADICTS') THEN edge_type ELSE 'RELATION' END AS slot FROM edges"})
 def g23(v):
     m = lambda k: F.concat(F.lit("mem_"), k.cast("string"))
-    to = (_D * 7 + 3 + _D % 3) % v.n
-    kind = F.get(F.array(*map(F.lit, ("BECAUSE", "SUPPORTS", "IMPLIES", "RELATES_TO"))), (_D % 4).cast("int"))
+    to = (F.col("doc_id") * 7 + 3 + F.col("doc_id") % 3) % v.n
+    kind = F.get(F.array(*map(F.lit, ("BECAUSE", "SUPPORTS", "IMPLIES", "RELATES_TO"))), (F.col("doc_id") % 4).cast("int"))
     docs = v.memories
-    one = docs.select(_D.alias("nth"), m(_D).alias("src"), m(to).alias("dst"), kind.alias("edge_type"), (_D % 140 - 20).alias("strength"))
-    two = docs.where(_D % 4 == 0).select((1_000_000 + _D).alias("nth"), m(to).alias("src"), m(_D).alias("dst"), F.lit("BECAUSE").alias("edge_type"), F.lit(10).cast("long").alias("strength"))
+    one = docs.select(F.col("doc_id").alias("nth"), m(F.col("doc_id")).alias("src"), m(to).alias("dst"), kind.alias("edge_type"), (F.col("doc_id") % 140 - 20).alias("strength"))
+    two = docs.where(F.col("doc_id") % 4 == 0).select((1_000_000 + F.col("doc_id")).alias("nth"), m(to).alias("src"), m(F.col("doc_id")).alias("dst"), F.lit("BECAUSE").alias("edge_type"), F.lit(10).cast("long").alias("strength"))
     return W.add_edges(one.unionByName(two), v.edges)
 
 
