@@ -1,4 +1,4 @@
-"""Registered queries: graph operators. Searches start from a stated set of facts, one id in fifty."""
+"""Registered queries: graph operators. Searches start from the facts whose id is divisible by 20; those with SQL start from its set, one id in fifty."""
 
 from __future__ import annotations
 
@@ -20,8 +20,12 @@ def _seeds(v):
     return v.memories.where("doc_id % 50 = 1").select(F.col("doc_id").alias("query_id"), F.col("memory_id").alias("node"), F.lit(1.0).alias("score"))
 
 
-def _ego(v):
-    return G.expand_beam(_seeds(v), G.walk_edges(v.edges), 2)[1]
+def _starts(v):
+    return v.memories.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("memory_id").alias("node"), F.lit(1.0).alias("score"))
+
+
+def _ego(v, seeds):
+    return G.expand_beam(seeds, G.walk_edges(v.edges), 2)[1]
 
 
 @query("e1_walk_edges", "SELECT src, dst, edge_type, round(weight, 6) AS weight FROM walk", _WALK)
@@ -52,19 +56,19 @@ def e3(v):
 
 @query("e4_ego_edges", "SELECT DISTINCT query_id, node AS parent, dst AS child, edge_type FROM (SELECT query_id, node, dst, edge_type FROM met1 UNION ALL SELECT query_id, node, dst, edge_type FROM met2)", _BEAM)
 def e4(v):
-    return _ego(v).drop("weight")
+    return _ego(v, _seeds(v)).drop("weight")
 
 
 @query("e5_personalized_pagerank")
 def e5(v):
-    return G.personalized_pagerank(_ego(v), _seeds(v)).withColumn("ppr", F.round("ppr", 6))
+    return G.personalized_pagerank(_ego(v, _starts(v)), _starts(v)).withColumn("ppr", F.round("ppr", 6))
 
 
 @query("e6_connect")
 def e6(v):
     """Each start with the fact seven further."""
-    seeds = v.memories.where("doc_id % 50 = 1").select(F.col("doc_id").alias("pair_id"), F.lit("a").alias("side"), F.col("memory_id").alias("node"))
-    ends = v.memories.where("doc_id % 50 = 8").select((F.col("doc_id") - 7).alias("pair_id"), F.lit("b").alias("side"), F.col("memory_id").alias("node"))
+    seeds = v.memories.where("doc_id % 20 = 0").select(F.col("doc_id").alias("pair_id"), F.lit("a").alias("side"), F.col("memory_id").alias("node"))
+    ends = v.memories.where("doc_id % 20 = 7").select((F.col("doc_id") - 7).alias("pair_id"), F.lit("b").alias("side"), F.col("memory_id").alias("node"))
     out = G.connect(seeds.unionByName(ends), G.walk_edges(v.edges), 4)
     return out.select("pair_id", F.array_join("path", ">").alias("path"), "hops", F.round("confidence", 6).alias("confidence"), "shared_seed")
 
@@ -76,7 +80,7 @@ def e7(v):
 
 @query("e8_longest_chain")
 def e8(v):
-    out = G.longest_chain(G.expand_beam(_seeds(v), G.walk_edges(v.edges), 1)[1], 20_000)
+    out = G.longest_chain(G.expand_beam(_starts(v), G.walk_edges(v.edges), 1)[1], 20_000)
     return out.select("query_id", F.array_join("path", ">").alias("path"), "hops", F.round("confidence", 9).alias("confidence"))
 
 
@@ -85,10 +89,10 @@ def e9(v):
     """Closeness is by vectors where a fact has one."""
     from factweave.functions.text import cosine
 
-    q = v.vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).join(_seeds(v).select("query_id"), "query_id", "left_semi")
-    met = _ego(v).select("query_id", F.col("child").alias("memory_id")).distinct()
+    q = v.vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).join(_starts(v).select("query_id"), "query_id", "left_semi")
+    met = _ego(v, _starts(v)).select("query_id", F.col("child").alias("memory_id")).distinct()
     near = met.join(q, "query_id").join(v.vectors.select("memory_id", "embedding"), "memory_id").select("query_id", "memory_id", F.round(cosine("q", "embedding"), 9).alias("cosine"))
-    return G.reasoning_chain(_seeds(v), G.walk_edges(v.edges), near, "causal", 3)
+    return G.reasoning_chain(_starts(v), G.walk_edges(v.edges), near, "causal", 3)
 
 
 _RANKS = {"start": "SELECT q.doc_id AS query_id, m.memory_id, row_number() OVER (PARTITION BY q.doc_id ORDER BY m.doc_id) AS rank FROM memories q JOIN memories m ON m.doc_id >= q.doc_id AND m.doc_id < q.doc_id + 20 WHERE q.doc_id % 50 = 1"}
@@ -103,12 +107,12 @@ def e10(v):
 
 @query("e11_memory_chains")
 def e11(v):
-    return G.memory_chains(_seeds(v).select("node"), v.edges, ("BECAUSE", "IMPLIES"), 3)
+    return G.memory_chains(_starts(v).select("node"), v.edges, ("BECAUSE", "IMPLIES"), 3)
 
 
 @query("e12_memory_graph")
 def e12(v):
-    return G.memory_graph(_seeds(v).select("node"), v.edges, 2)[1]
+    return G.memory_graph(_starts(v).select("node"), v.edges, 2)[1]
 
 
 @query("e13_graph_stats", """SELECT memory_id, (SELECT count(*) FROM entities e WHERE e.memory_id = m.memory_id) AS entities, (SELECT count(*) FROM tags e WHERE e.memory_id = m.memory_id) AS categories, (SELECT count(*) FROM edges e WHERE e.src = m.memory_id) AS out, (SELECT count(*) FROM edges e WHERE e.dst = m.memory_id) AS incoming FROM memories m""")
