@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from factweave.functions.text import chain_set, content_key, truncate_chars
+from factweave.operators.components import connected_components
 from factweave.operators.graph import ancestors
 from factweave.operators.paths import longest_path
 
@@ -84,19 +85,20 @@ def route_subsets(adjacency: DataFrame, communities: DataFrame, max_hops: int, b
     """``seed, path, hops, min_pmi``: the longest simple path from each category, ties by the larger weakest link.
 
     It is cut to ``max_hops``, then at the first inner node whose neighbours lie in different communities and do not
-    touch. The category graph is small (categories are a dimension); each seed is a group of its own.
+    touch. Each seed gets the links of its component by a join and is a group of its own; neighbours go by id.
     """
-    table = [(r["a"], r["b"], r["pmi"]) for r in adjacency.select("a", "b", "pmi").orderBy("a", "b").toLocalIterator()]
-    of = {r["node"]: r["label"] for r in communities.toLocalIterator()}
-    shared = adjacency.sparkSession.sparkContext.broadcast((table, of))
+    label = lambda end: communities.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
+    part = connected_components(adjacency)
+    links = adjacency.select("a", "b", "pmi").join(label("a"), "a", "left").join(label("b"), "b", "left").join(part.withColumnRenamed("node", "a"), "a")
+    seeds = adjacency.select(F.col("a").alias("seed")).distinct().join(part.withColumnRenamed("node", "seed"), "seed")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, label = shared.value
         adj: dict[str, list[tuple[str, float]]] = {}
-        weight = {}
-        for a, b, w in rows:
+        weight, label = {}, {}
+        for a, b, w, la, lb in sorted(zip(pdf.a, pdf.b, pdf.pmi, pdf.a_label, pdf.b_label, strict=True), key=lambda r: r[:3]):
             adj.setdefault(a, []).append((b, w))
             weight[a, b] = w
+            label[a], label[b] = la, lb
         seed = pdf.seed.iloc[0]
         path, _ = longest_path(adj, [seed], budget, min, math.inf)
         path = path[: max_hops + 1]
@@ -107,7 +109,7 @@ def route_subsets(adjacency: DataFrame, communities: DataFrame, max_hops: int, b
         links = [weight[x] for x in zip(path, path[1:])]
         return pd.DataFrame({"seed": [seed], "path": [path], "hops": [len(path) - 1], "min_pmi": [min(links, default=0.0)]})
 
-    return adjacency.select(F.col("a").alias("seed")).distinct().groupBy("seed").applyInPandas(run, "seed string, path array<string>, hops int, min_pmi double")
+    return seeds.join(links, "component").groupBy("seed").applyInPandas(run, "seed string, path array<string>, hops int, min_pmi double")
 
 
 def witnesses(paths: DataFrame, tags: DataFrame, memories: DataFrame, n: int = 3, snippet: int = 110) -> DataFrame:

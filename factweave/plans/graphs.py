@@ -80,7 +80,7 @@ def e7(v):
 
 @query("e8_longest_chain")
 def e8(v):
-    out = G.longest_chain(G.expand_beam(_starts(v), G.walk_edges(v.edges), 1)[1], 20_000)
+    out = G.longest_chain(G.expand_beam(_starts(v), G.walk_edges(v.edges), 4)[1])
     return out.select("query_id", F.array_join("path", ">").alias("path"), "hops", F.round("confidence", 9).alias("confidence"))
 
 

@@ -74,7 +74,7 @@ def i2(v):
 
 def _routes(v):
     graph = M.pmi_graph(_pmi(v), _bar(v))
-    return M.route_subsets(graph, G.communities(graph), 5, 20_000)
+    return M.route_subsets(graph, G.communities(graph), 5)
 
 
 @query("i3_route_subsets")

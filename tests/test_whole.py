@@ -2,6 +2,7 @@
 
 import pytest
 
+from factweave.operators import graph, mine
 from factweave.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -18,3 +19,27 @@ def test_searches_start_from_every_twentieth_fact(spark, name, column):
 def test_chains_start_from_every_twentieth_fact(spark):
     got = {r.seed for r in registry.queries()["e11_memory_chains"](spark, DATA).collect()}
     assert got and all(int(x[4:]) % 20 == 0 for x in got)
+
+
+def test_longest_chain_has_several_hops_and_the_whole_budget(spark, monkeypatch):
+    budgets, kept = [], graph.longest_chain
+    monkeypatch.setattr(graph, "longest_chain", lambda ego, budget=500_000: budgets.append(budget) or kept(ego, budget))
+    hops = [r.hops for r in registry.queries()["e8_longest_chain"](spark, DATA).collect()]
+    assert budgets == [500_000] and min(hops) > 1
+
+
+def test_routes_come_by_component_without_the_driver(spark, monkeypatch):
+    budgets, kept = [], mine.route_subsets
+    monkeypatch.setattr(mine, "route_subsets", lambda graph, labels, hops, budget=200_000: budgets.append(budget) or kept(graph, labels, hops, budget))
+    registry.queries()["i3_route_subsets"](spark, DATA)
+    assert budgets == [200_000]
+    one_way = [("a", "b", 0.5), ("b", "c", 0.9), ("c", "d", 0.7), ("x", "y", 1.5)]
+    links = spark.createDataFrame([r for a, b, w in one_way for r in ((a, b, w), (b, a, w))], "a string, b string, pmi double")
+    labels = spark.createDataFrame([(n, "c" if n in "cd" else "a" if n in "ab" else "x") for n in "abcdxy"], "node string, label string")
+
+    def no(*_):
+        raise AssertionError("rows went through the driver")
+
+    monkeypatch.setattr(type(links), "toLocalIterator", no)
+    got = {r.seed: (r.path, r.min_pmi) for r in mine.route_subsets(links, labels, 5).collect()}
+    assert got == {"a": (["a", "b"], 0.5), "b": (["b", "c"], 0.9), "c": (["c", "b"], 0.9), "d": (["d", "c"], 0.7), "x": (["x", "y"], 1.5), "y": (["y", "x"], 1.5)}
