@@ -63,6 +63,44 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = 200
     return ranked(reduce(DataFrame.unionByName, outs), "cosine").where(F.col("rank") <= k)
 
 
+def vector_within(queries: DataFrame, vectors: DataFrame, threshold: float, margin: float = 2.0, block: int = 2000) -> DataFrame:
+    """``query_id, memory_id, cosine``: all vectors of a cosine from ``threshold`` on that come within ``margin`` of the query's best.
+
+    Blocks and scores are those of ``vector_topk``; a task leaves out what its own best rules out, the best of all decides.
+    """
+    n = queries.count()
+    parts = max(1, -(-n // block))
+    outs = []
+    for p in range(parts):
+        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p).select("query_id", "embedding").collect()
+        if not own:
+            continue
+        ids = np.array([r["query_id"] for r in own], np.int64)
+        q = np.array([r["embedding"] for r in own], np.float64)
+        norm = np.linalg.norm(q, axis=1, keepdims=True)
+        shared = queries.sparkSession.sparkContext.broadcast((ids, q / np.where(norm > 0, norm, 1.0)))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            best = np.full(len(ids), -np.inf)
+            for batch in batches:
+                m = _matrix(batch.column("embedding"))
+                if not len(m) or m.shape[1] != q.shape[1]:
+                    continue
+                size = np.linalg.norm(m, axis=1)
+                score = np.round((m / np.where(size > 0, size, 1.0)[:, None]) @ q.T, 12)
+                best = np.maximum(best, score.max(axis=0))
+                row, query = np.nonzero((score >= threshold) & (score >= best - margin))
+                yield pa.record_batch([pa.array(ids[query]), batch.column("memory_id").take(pa.array(row)), pa.array(score[row, query])], ["query_id", "memory_id", "cosine"])
+
+        outs.append(vectors.select("memory_id", "embedding").mapInArrow(run, "query_id long, memory_id string, cosine double"))
+    if not outs:
+        return queries.sparkSession.createDataFrame([], "query_id long, memory_id string, cosine double")
+    found = reduce(DataFrame.unionByName, outs)
+    best = F.max("cosine").over(Window.partitionBy("query_id"))
+    return found.withColumn("_best", best).where(F.col("cosine") >= F.col("_best") - margin).drop("_best")
+
+
 def ranked(df: DataFrame, score: str, by: str = "memory_id", into: str = "rank") -> DataFrame:
     """Rank inside each query, highest first, ties by id; NaN last."""
     w = Window.partitionBy("query_id").orderBy(F.isnan(score), F.col(score).desc(), by)

@@ -13,18 +13,18 @@ _CATS = {
 }
 
 
-def _near(v):
-    """One fact in ten against one vector in twenty-five as the categories."""
+def _near(v, threshold, margin=2.0):
+    """One fact in ten against one vector in twenty-five as the categories, which is the set of the SQL: all from the threshold on."""
     facts = v.vectors.where("vec_id % 10 = 1").select(F.col("vec_id").alias("query_id"), "embedding")
     cats = v.vectors.where("vec_id % 25 = 3").select("memory_id", "embedding")
-    return R.vector_topk(facts, cats, 1_000)
+    return R.vector_within(facts, cats, threshold, margin)
 
 
 @query("h1_auto_tag", """SELECT query_id, category_id, max(confidence) AS confidence FROM (SELECT query_id, memory_id AS category_id, CAST(round(100 * cosine) AS INTEGER) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, memory_id) AS n FROM near WHERE cosine >= 0.3) WHERE n <= 5
     UNION ALL SELECT query_id, 'root', 100 FROM near WHERE cosine >= 0.3) GROUP BY ALL""", _CATS)
 def h1(v):
     tree = v.vectors.where("vec_id % 25 = 3").select(F.col("memory_id").alias("node"), F.lit("root").alias("parent_id"))
-    return M.auto_tag(_near(v), tree, threshold=0.3)
+    return M.auto_tag(_near(v, 0.3), tree, threshold=0.3)
 
 
 @query("h2_untagged", "SELECT memory_id FROM memories WHERE memory_id NOT IN (SELECT memory_id FROM tags WHERE category_id < 'Brand#4')")
@@ -34,12 +34,12 @@ def h2(v):
 
 @query("h3_grow_tags", "SELECT query_id, memory_id AS category_id, CAST(round(100 * cosine) AS INTEGER) AS confidence FROM (SELECT *, max(cosine) OVER (PARTITION BY query_id) AS best FROM near) WHERE cosine >= 0.25 AND cosine >= best - 0.07", _CATS)
 def h3(v):
-    return M.grow_tags(_near(v), 0.25)
+    return M.grow_tags(_near(v, 0.25, 0.07), 0.25)
 
 
 @query("h4_mint_merge", "SELECT query_id, arg_max(memory_id, (cosine, memory_id)) AS category_id FROM near WHERE cosine >= 0.3 GROUP BY query_id", _CATS)
 def h4(v):
-    return M.mint_merge(_near(v), 0.3)
+    return M.mint_merge(_near(v, 0.3, 0.0), 0.3)
 
 
 @query("h7_tag_stats", "SELECT count(*) AS scanned, count(n) AS matched, CAST(coalesce(sum(n), 0) AS BIGINT) AS given FROM memories LEFT JOIN (SELECT memory_id, count(*) AS n FROM tags GROUP BY memory_id) USING (memory_id)")

@@ -43,3 +43,10 @@ def test_routes_come_by_component_without_the_driver(spark, monkeypatch):
     monkeypatch.setattr(type(links), "toLocalIterator", no)
     got = {r.seed: (r.path, r.min_pmi) for r in mine.route_subsets(links, labels, 5).collect()}
     assert got == {"a": (["a", "b"], 0.5), "b": (["b", "c"], 0.9), "c": (["c", "b"], 0.9), "d": (["d", "c"], 0.7), "x": (["x", "y"], 1.5), "y": (["y", "x"], 1.5)}
+
+
+def test_tags_beyond_the_thousandth_category_are_grown(spark, tmp_path):
+    rows = spark.range(30_000).selectExpr("id as vec_id", "array(1.0f, cast(id % 7 as float) / 100) as embedding").where("vec_id = 1 or vec_id % 25 = 3")
+    rows.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = registry.queries()["h3_grow_tags"](spark, str(tmp_path))
+    assert got.where("query_id = 1").count() == 1_200
