@@ -18,7 +18,6 @@ from factweave.llm.textkit import blocks, slices
 
 #: bytes of the beginnings that stand in for words seen rarely
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
-LOG_FACTORIAL = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, 100)))))
 # letters and digits make words; other bytes of ASCII stand between them
 _BREAK = np.ones(256, dtype=bool)
 _BREAK[128:] = False
@@ -142,12 +141,12 @@ class Scorer:
 
 
 def segment_sums(rows: DataFrame, scorer: Scorer) -> DataFrame:
-    """``toxic, words, sums``: the segment sums of each labelled row, highest first, forty at most."""
+    """``toxic, words, sums``: the segment sums of each labelled row, highest first."""
     shared = rows.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(n, sorted((s[2] for s in segments), reverse=True)[:40]) for _, n, segments, _, _ in shared.value.scan(batch.column("text"))]
+            found = [(n, sorted((s[2] for s in segments), reverse=True)) for _, n, segments, _, _ in shared.value.scan(batch.column("text"))]
             yield pa.record_batch([batch.column("toxic"), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.float64()))], ["toxic", "words", "sums"])
 
     return rows.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(run, "toxic int, words long, sums array<double>")
@@ -181,16 +180,17 @@ class Model:
         """Segment sums on the scale where clean text exceeds x, anywhere, with probability about exp(-x)."""
         return self.lam * sums - np.log(self.k * max(words, 1))
 
-    def surprise(self, words: int, sums: np.ndarray, most: int = 40) -> float:
+    def surprise(self, words: int, sums: np.ndarray) -> float:
         """Minus log10 of the probability that clean text has its r best segments add up so high, for the r that tells most.
 
         The sum T of r normal scores exceeds t with probability near exp(-t) t^(r-1) / (r! (r-1)!).
         """
         if not len(sums):
             return float(self.normal(words, np.zeros(1))[0] / np.log(10.0))
-        x = np.sort(self.normal(words, sums))[::-1][:most]
+        x = np.sort(self.normal(words, sums))[::-1]
         total, r = np.cumsum(x), np.arange(1, len(x) + 1)
-        chance = total - (r - 1) * np.log(np.maximum(total, 1.0)) + LOG_FACTORIAL[r] + LOG_FACTORIAL[r - 1] - r * np.log(2.0)
+        log_factorial = np.cumsum(np.log(r))
+        chance = total - (r - 1) * np.log(np.maximum(total, 1.0)) + 2 * log_factorial - np.log(r) - r * np.log(2.0)
         return float(max(chance[0] + np.log(2.0), chance.max())) / np.log(10.0)
 
     def score(self, surprise: np.ndarray) -> np.ndarray:
