@@ -1,12 +1,13 @@
 """N-gram Jaccard join by vertical partitioning.
 
-All shingles stand in one global order, frequent ones last. The order is cut into fragments; each fragment counts the
-overlaps of its own part of the sets, and the counts are summed per pair. Equal sets are one class from the start.
-Two sets that are similar enough share a shingle among the first quarter of each, so candidates come from there; what
-is linked is decided on the whole sets.
-
-A group of many near copies is not spread into all its pairs: first every holder of a shared shingle is paired with
-one of them, and then only pairs whose ends are still in different components are tried.
+All shingles stand in one global order: the rare ones by hash, the frequent ones behind them, rarest first. The order is
+cut into fragments. Equal sets are one class from the start. Two sets that are similar enough share a shingle among the
+first quarter of each, so the fragments propose pairs from these; a pair is decided by the overlaps of all fragments of
+the two whole sets, counted fragment by fragment and summed per pair.
+
+A group of many near copies is not spread into all its pairs. There are three rounds. In the first, each set meets the
+least holder of its shingles; in the second, the holders of a shingle that are still apart meet one holder of the least
+component there; in the last, all holders that are still in different components meet, so that no link is lost.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from factweave.functions.storage import cut, stored
 from factweave.llm.shingles import set_print, shingle_sets
@@ -25,77 +26,108 @@ from factweave.operators.components import connected_components
 #: links are pairs with 100 * intersection >= PERCENT * union
 PERCENT = 75
 HOT = np.uint64(1 << 63)
-#: so many rows at most are sent to all tasks in place of a shuffle
-SMALL = 300_000
-BITS = [f"m{k}" for k in range(4)]
-ENTRY = np.dtype([("o", "<u8"), ("c", "<i8"), ("n", "<i4")])
+#: at most so many shingles are frequent, which bounds the table of them that all tasks receive (8 bytes each)
+MOST_FREQUENT = 1 << 21
+#: rows of 64 bits in the table that tells tasks which texts to read again
+WORDS_OF_BITS = 1 << 18
+ENTRY = np.dtype([("o", "<u8"), ("c", "<i8"), ("n", "<i4"), ("i", "<i4")])
 
 
 def prefix_length(n):
-    """So many of the first shingles of a set of n hold one of any set that is similar enough (for numbers or columns)."""
-    least = F.ceil(n * PERCENT / 100) if isinstance(n, Column) else -(-n * PERCENT // 100)
-    return n - least + 1
+    """So many of the first shingles of a set of n hold one of any set that is similar enough."""
+    return n + n * PERCENT // -100 + 1
 
 
-def needed(a: Column, b: Column) -> Column:
-    """The overlap that sets of these sizes need."""
-    return F.ceil((a + b) * PERCENT / F.lit(100.0 + PERCENT) - F.lit(1e-9))
+def needed(a, b):
+    """The overlap that sets of these sizes need (for columns or arrays)."""
+    x = PERCENT * (a + b) + 99 + PERCENT
+    return F.floor(x / F.lit(100.0 + PERCENT)) if isinstance(a, Column) else x // (100 + PERCENT)
 
 
-def prints(docs: DataFrame, local: int = 8) -> DataFrame:
-    """One pass over the texts: rows of kind 0 with ``id, n, c`` (size and name of the set) and its parity bitmap, and of
-    kind 1 with ``c, n`` for shingles that ``local`` or more different sets of one Arrow batch hold.
+def may_link(na, i, nb, j):
+    """Whether sets of sizes ``na, nb`` can be similar enough if the first shingle they share has the places ``i, j`` in them."""
+    lower, low, high = (F.least, F.least(na, nb), F.greatest(na, nb)) if isinstance(na, Column) else (np.minimum, np.minimum(na, nb), np.maximum(na, nb))
+    return (100 * low >= PERCENT * high) & (lower(na - i, nb - j) >= needed(na, nb))
 
-    A bit of the bitmap tells whether the set has an odd number of shingles of one class out of 256, so two sets differ
-    in as many shingles at least as their bitmaps do in bits.
-    """
+
+def parities(s: np.ndarray) -> bytes:
+    """A bitmap of one or two bits a shingle (64 at least): whether the set has an odd number of shingles of each class of hashes."""
+    size = max(64, 1 << max(0, len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s >> np.uint64(8) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """Two sets differ in so many shingles at least as their bitmaps do in bits; the longer bitmap is folded."""
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(np.frombuffer(b, np.uint8).reshape(-1, size), axis=0) for b in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def prints(docs: DataFrame, local: int = 3) -> DataFrame:
+    """One pass over the texts: rows of kind 0 with ``doc_id, th``, size ``n``, name ``c`` and bitmap of the set, and of kind
+    1 with ``c, n`` for shingles that ``local`` or more different sets of one Arrow batch hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, names, bits, seen, sets = [], [], [], set(), []
+            n, names, maps, seen, sets = [], [], [], {}, []
             for block in blocks(batch.column("text")):
                 for s in shingle_sets(block):
                     name = set_print(s)
-                    n.append(len(s))
-                    names.append(name)
-                    bits.append(np.packbits(np.bincount((s >> np.uint64(8) & np.uint64(255)).astype(np.int64), minlength=256) & 1).view(np.int64))
                     if name not in seen:
-                        seen.add(name)
+                        seen[name] = parities(s)
                         sets.append(s)
-            rows = len(n)
+                    n.append(len(s))
+                    names.append(name)
+                    maps.append(seen[name])
             whole = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
             # equal ones are neighbours: local of them in a row
             often = np.unique(whole[local - 1 :][whole[local - 1 :] == whole[: len(whole) - local + 1]]) if len(whole) >= local else whole[:0]
             count = np.searchsorted(whole, often, "right") - np.searchsorted(whole, often, "left")
-            ids = pa.concat_arrays([batch.column("doc_id").cast(pa.int64()), pa.nulls(len(often), pa.int64())])
-            kind = np.concatenate([np.zeros(rows, np.int32), np.ones(len(often), np.int32)])
-            maps = np.concatenate([np.array(bits, np.int64).reshape(-1, 4), np.zeros((len(often), 4), np.int64)])
-            plain = [pa.array(kind), ids, pa.array(np.concatenate([np.array(n, np.int64), count])), pa.array(np.concatenate([np.array(names, np.int64), often.view(np.int64)]))]
-            yield pa.RecordBatch.from_arrays([*plain, *(pa.array(np.ascontiguousarray(m)) for m in maps.T)], ["kind", "doc_id", "n", "c", *BITS])
-
-    return docs.mapInArrow(run, "kind int, doc_id long, n long, c long, " + ", ".join(f"{m} long" for m in BITS))
-
-
-def _order(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Places of shingles in the global order: by hash, the frequent ones behind all others."""
-    o = s >> np.uint64(1)
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-        o = np.where(hot[at] == s, o | HOT, o)
-    return np.sort(o)
-
-
-def _fragment(o: np.ndarray, fragments: int) -> np.ndarray:
-    """Which piece of the order a place is in: three quarters of the pieces for the part where first quarters lie."""
-    low = fragments * 3 // 4
-    rest = fragments - low
-    x = o.astype(np.float64) / float(1 << 63)
-    return np.where(x < 0.27, x / 0.27 * low, np.where(x < 1.0, low + (x - 0.27) / 0.73 * (rest // 2), low + rest // 2 + (x - 1.0) * (rest - rest // 2))).astype(np.int32).clip(0, fragments - 1)
-
-
-def fragment_rows(docs: DataFrame, hot: np.ndarray, fragments: int) -> DataFrame:
-    """``f, entries``: for each Arrow batch and fragment the entries (place, set, size) of the sets' first shingles, packed."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+            more, none = len(often), pa.nulls(len(often), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(np.array([0, 1], np.int32), [len(n), more])),
+                    pa.concat_arrays([batch.column("doc_id").cast(pa.int64()), none]),
+                    pa.concat_arrays([batch.column("th").cast(pa.int64()), none]),
+                    pa.array(np.concatenate([np.array(n, np.int64), count])),
+                    pa.array(np.concatenate([np.array(names, np.int64), often.view(np.int64)])),
+                    pa.array([*maps, *[None] * more], pa.binary()),
+                ],
+                ["kind", "doc_id", "th", "n", "c", "map"],
+            )
+
+    return docs.mapInArrow(run, "kind int, doc_id long, th long, n long, c long, map binary")
+
+
+class Order:
+    """The global order of shingles, and its fragments."""
+
+    def __init__(self, frequent: np.ndarray, fragments: int, salts: int):
+        """``frequent``: rarest first. A place of the frequent ones is dealt to ``salts`` fragments, since any share of all sets may hold it."""
+        self.by_hash = np.argsort(frequent)
+        self.frequent, self.fragments, self.salts = frequent[self.by_hash], fragments, salts
+
+    def places(self, s: np.ndarray) -> np.ndarray:
+        """Places of shingles, ascending."""
+        o = s >> np.uint64(1)
+        if len(self.frequent):
+            at = np.minimum(np.searchsorted(self.frequent, s), len(self.frequent) - 1)
+            o = np.where(self.frequent[at] == s, self.by_hash[at].astype(np.uint64) | HOT, o)
+        return np.sort(o)
+
+    def fragment(self, o: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Three quarters of the fragments are for the part of the rare ones where first quarters lie."""
+        low = self.fragments * 3 // 4
+        rest = self.fragments - low
+        x = o.astype(np.float64) / float(1 << 63)
+        rare = np.where(x < 0.27, x / 0.27 * low, low + (x - 0.27) / 0.73 * rest).astype(np.int64).clip(0, self.fragments - 1)
+        salt = (c % self.salts).astype(np.uint64)
+        return np.where(o >= HOT, self.fragments + (((o - HOT) * np.uint64(self.salts) + salt) % np.uint64(max(rest, self.salts))).astype(np.int64), rare)
+
+
+def fragment_rows(docs: DataFrame, order: Order) -> DataFrame:
+    """``f, entries``: for each Arrow batch and fragment the entries (place, set, size, rank in the set) of the sets' first shingles, packed."""
+    shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,81 +136,91 @@ def fragment_rows(docs: DataFrame, hot: np.ndarray, fragments: int) -> DataFrame
                 for s in shingle_sets(block):
                     if len(s) and (name := set_print(s)) not in seen:
                         seen.add(name)
-                        first = _order(s, shared.value)[: prefix_length(len(s))]
+                        first = shared.value.places(s)[: prefix_length(len(s))]
                         entries = np.empty(len(first), ENTRY)
-                        entries["o"], entries["c"], entries["n"] = first, name, len(s)
+                        entries["o"], entries["c"], entries["n"], entries["i"] = first, name, len(s), np.arange(len(first))
                         found.append(entries)
             if not found:
                 continue
             whole = np.concatenate(found)
-            f = _fragment(whole["o"], fragments)
-            order = np.argsort(f, kind="stable")
-            whole, f = whole[order], f[order]
+            f = shared.value.fragment(whole["o"], whole["c"])
+            by_fragment = np.argsort(f, kind="stable")
+            whole, f = whole[by_fragment], f[by_fragment]
             keys, at = np.unique(f, return_index=True)
             ends = [*at[1:].tolist(), len(whole)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([whole[a:b].tobytes() for a, b in zip(at.tolist(), ends, strict=True)], pa.binary())], ["f", "entries"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([whole[a:b].tobytes() for a, b in zip(at.tolist(), ends, strict=True)], pa.binary())], ["f", "entries"])
 
-    return docs.select("text").mapInArrow(run, "f int, entries binary")
+    return docs.select("text").mapInArrow(run, "f long, entries binary")
 
 
 def shared_entries(rows: DataFrame) -> DataFrame:
-    """Kind 0: ``o, a, na`` for every place that two sets or more hold; kind 1: ``a, na, b, nb, k``, the overlap inside one
-    fragment of each holder ``b`` with the least holder ``a`` of the place."""
+    """Kind 1: ``a, na, b, nb, k``, each holder ``b`` of a place with its least holder ``a``, and at how many places of the
+    fragment; kind 0: ``o, a, na, i``, the holders of places that have three or more. A fragment of frequent ones may
+    lack holders of its places, so all these are returned."""
 
     def run(table: pa.Table) -> pa.Table:
         e = np.frombuffer(b"".join(table.column("entries").to_pylist()), ENTRY)
-        order = np.lexsort((e["c"], e["o"]))
-        e = e[order]
+        e = e[np.lexsort((e["c"], e["o"]))]
         fresh = np.ones(len(e), bool)
         fresh[1:] = (e["o"][1:] != e["o"][:-1]) | (e["c"][1:] != e["c"][:-1])
         e = e[fresh]
         head = np.ones(len(e), bool)
         head[1:] = e["o"][1:] != e["o"][:-1]
         group = np.cumsum(head) - 1
-        size = np.bincount(group, minlength=1)
-        many = size[group] > 1
-        start = np.flatnonzero(head)[group]
-        held = e[many]
-        star = many & ~head
-        pivot, other = e[start[star]], e[star]
-        pairs = np.empty(len(other), [("a", "<i8"), ("b", "<i8"), ("na", "<i4"), ("nb", "<i4")])
-        pairs["a"], pairs["b"], pairs["na"], pairs["nb"] = pivot["c"], other["c"], pivot["n"], other["n"]
-        fits = np.minimum(pairs["na"], pairs["nb"]).astype(np.int64) * 100 >= np.maximum(pairs["na"], pairs["nb"]).astype(np.int64) * PERCENT
-        pairs, k = np.unique(pairs[fits], return_counts=True)
+        held = e[(np.bincount(group, minlength=1)[group] > 2) | (e["o"] >= HOT)]
+        pivot, other = e[np.flatnonzero(head)[group[~head]]], e[~head]
+        fits = may_link(pivot["n"].astype(np.int64), pivot["i"], other["n"].astype(np.int64), other["i"])
+        pairs = np.empty(int(fits.sum()), [("a", "<i8"), ("b", "<i8"), ("na", "<i4"), ("nb", "<i4")])
+        pairs["a"], pairs["b"], pairs["na"], pairs["nb"] = pivot["c"][fits], other["c"][fits], pivot["n"][fits], other["n"][fits]
+        pairs, k = np.unique(pairs, return_counts=True)
         m, p = len(held), len(pairs)
+        both = lambda x, y: pa.array(np.concatenate([np.asarray(x, np.int64), np.asarray(y, np.int64)]))
         none = lambda n: np.zeros(n, np.int64)
         return pa.table({
-            "kind": np.concatenate([np.zeros(m, np.int32), np.ones(p, np.int32)]),
-            "o": np.concatenate([held["o"].astype(np.uint64).view(np.int64), none(p)]),
-            "a": np.concatenate([held["c"], pairs["a"]]),
-            "na": np.concatenate([held["n"], pairs["na"]]).astype(np.int64),
-            "b": np.concatenate([none(m), pairs["b"]]),
-            "nb": np.concatenate([none(m), pairs["nb"]]).astype(np.int64),
-            "k": np.concatenate([none(m), k.astype(np.int64)]),
-        })
+            "kind": pa.array(np.repeat(np.array([0, 1], np.int32), [m, p])),
+            "o": both(held["o"].astype(np.uint64).view(np.int64), none(p)), "i": both(held["i"], none(p)),
+            "a": both(held["c"], pairs["a"]), "na": both(held["n"], pairs["na"]),
+            "b": both(none(m), pairs["b"]), "nb": both(none(m), pairs["nb"]), "k": both(none(m), k),
+        })
 
-    return rows.groupBy("f").applyInArrow(run, "kind int, o long, a long, na long, b long, nb long, k long")
+    return rows.groupBy("f").applyInArrow(run, "kind int, o long, i long, a long, na long, b long, nb long, k long")
 
 
-def overlaps(pairs: DataFrame, classes: DataFrame, docs: DataFrame, parts: int = 1) -> DataFrame:
-    """``a, b, both``: the whole overlap of each pair of sets, counted part by part of the order and summed.
+def near_by_bitmap(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``a, b, na, nb`` of the pairs whose bitmaps allow a link."""
+    maps = classes.select("c", "map")
+    one = pairs.select("a", "b", "na", "nb").join(maps.withColumnsRenamed({"c": "a"}), "a")
+    both = one.join(maps.withColumnsRenamed({"c": "b", "map": "map_b"}), "b")
 
-    Texts are read again for the sets that stand in a pair, one text for each. The ids of up to SMALL sets are sent to
-    all tasks, which saves the shuffle of the texts; more of them are joined by a shuffle.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            differ = np.array([least_difference(x, y) for x, y in zip(batch.column("map").to_pylist(), batch.column("map_b").to_pylist(), strict=True)], np.int64)
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            keep = pa.array((na + nb - differ) // 2 >= needed(na, nb))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in ("a", "b", "na", "nb")], ["a", "b", "na", "nb"])
+
+    return both.mapInArrow(run, "a long, b long, na long, nb long")
+
+
+def set_fragments(names: DataFrame, classes: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
+    """``c, part, held``: the whole sets of these names, cut into ``parts`` fragments of the order by hash.
+
+    One text of each set is read again. A bitmap of fixed size (WORDS_OF_BITS) tells which texts these are; when they
+    are very many it lets others through, which are then dropped by name.
     """
-    named = pairs.select(F.col("a").alias("c")).distinct().unionByName(pairs.select(F.col("b").alias("c")).distinct()).distinct()
-    wanted = cut(named.join(classes.select("c", "least"), "c").select(F.col("least").alias("doc_id"), "c"))
-    texts = docs.join(_small(wanted), "doc_id").select("text", "c")
+    hashes = classes.join(names, "c").select("th")
+    word, bit = F.col("th").bitwiseAND(WORDS_OF_BITS - 1).alias("word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(th, 18) & 63L as int))")
+    bits = cut(hashes.groupBy(word).agg(F.bit_or(bit).alias("bits")))
+    wanted = docs.withColumn("word", word).join(F.broadcast(bits), "word").where(F.col("bits").bitwiseAND(bit) != 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
+        bounds, seen = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64), set()
         for batch in batches:
-            names, at = batch.column("c").to_pylist(), 0
             for block in blocks(batch.column("text")):
                 c, part, held = [], [], []
                 for s in shingle_sets(block):
-                    name, at = names[at], at + 1
-                    if set_print(s) == name:  # another text under the same id has another set
+                    if len(s) and (name := set_print(s)) not in seen:
+                        seen.add(name)
                         edges = [0, *np.searchsorted(s, bounds).tolist(), len(s)]
                         for k in range(parts):
                             c.append(name)
@@ -186,11 +228,26 @@ def overlaps(pairs: DataFrame, classes: DataFrame, docs: DataFrame, parts: int =
                             held.append(s[edges[k] : edges[k + 1]].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(part, pa.int32()), pa.array(held, pa.binary())], ["c", "part", "held"])
 
-    sets = stored(texts.mapInArrow(run, "c long, part int, held binary").dropDuplicates(["c", "part"]))
+    return wanted.select("text").mapInArrow(run, "c long, part int, held binary").join(names, "c", "left_semi").dropDuplicates(["c", "part"])
+
+
+def overlaps(pairs: DataFrame, classes: DataFrame, docs: DataFrame, parts: int = 4) -> DataFrame:
+    """``a, b, both``: the whole overlap of each pair of sets, counted fragment by fragment and summed."""
+    names = cut(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct())
+    sets = stored(set_fragments(names, classes, docs, parts))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(batch.column("held").to_pylist(), batch.column("held_b").to_pylist(), strict=True)]
+            rows, values = [], []
+            for side in ("held", "held_b"):
+                raw = batch.column(side).to_pylist()
+                values.append(np.frombuffer(b"".join(raw), np.uint64))
+                rows.append(np.repeat(np.arange(len(raw)), [len(x) // 8 for x in raw]))
+            row, value = np.concatenate(rows), np.concatenate(values)
+            by_row = np.lexsort((value, row))
+            row, value = row[by_row], value[by_row]
+            twice = (row[1:] == row[:-1]) & (value[1:] == value[:-1])
+            both = np.bincount(row[1:][twice], minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both, pa.int64())], ["a", "b", "both"])
 
     one = pairs.select("a", "b").join(sets.withColumnRenamed("c", "a"), "a")
@@ -198,82 +255,78 @@ def overlaps(pairs: DataFrame, classes: DataFrame, docs: DataFrame, parts: int =
     return two.select("a", "b", "held", "held_b").mapInArrow(count, "a long, b long, both long").groupBy("a", "b").agg(F.sum("both").alias("both"))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs with ``linked``."""
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``a, b`` of the pairs that are links."""
+    pairs = cut(near_by_bitmap(pairs, classes))
     found = overlaps(pairs, classes, docs)
     linked = 100 * F.col("both") >= PERCENT * (F.col("na") + F.col("nb") - F.col("both"))
-    return cut(pairs.join(found, ["a", "b"]).select("a", "b", linked.alias("linked")))
-
-
-def _short_of(k: Column, share: float) -> Column:
-    """Pairs whose first quarters overlap too little: what lies beyond them cannot make it up.
-
-    Up to the place where the first of both quarters ends all that is shared is counted; what is shared beyond it lies in
-    the rest of that set, whichever it is.
-    """
-    beyond = F.greatest(F.col("na") - prefix_length(F.col("na")), F.col("nb") - prefix_length(F.col("nb")))
-    return k < F.greatest(F.lit(1), share * (needed(F.col("na"), F.col("nb")) - beyond))
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """``df`` (written) to be sent to all tasks, if it is no longer than SMALL rows."""
-    return F.broadcast(df) if df.count() <= SMALL else df
-
-
-def _bitmaps_fit() -> Column:
-    """Sets overlap in half of what their sizes add up to less their difference, at most; the bitmaps bound the difference."""
-    differ = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"{m}_b"))) for m in BITS), F.lit(0))
-    return (F.col("na") + F.col("nb") - differ) / 2 >= needed(F.col("na"), F.col("nb"))
+    return cut(pairs.join(found, ["a", "b"]).where(linked).select("a", "b"))
 
 
-def _sizes_fit() -> Column:
-    return 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
+def labelled(entries: DataFrame, components: DataFrame) -> DataFrame:
+    """``o, a, na, i, label`` of the holders of places that are in two components or more."""
+    near = components.select(F.col("node").alias("a"), "component")
+    rows = stored(entries.join(near, "a", "left").select("o", "a", "na", "i", F.coalesce("component", "a").alias("label")))
+    open_places = rows.groupBy("o").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("o")
+    return rows.join(open_places, "o")
 
 
-def open_entries(entries: DataFrame, links: DataFrame) -> DataFrame:
-    """``o, a, na, label`` of places whose holders are in several components of the links so far."""
-    near = cut(connected_components(links).select(F.col("node").alias("a"), F.col("component").alias("label")))
-    labelled = entries.join(_small(near), "a", "left").select("o", "a", "na", F.coalesce("label", "a").alias("label"))
-    several = labelled.withColumn("low", F.min("label").over(Window.partitionBy("o"))).withColumn("high", F.max("label").over(Window.partitionBy("o")))
-    return several.where("low < high").select("o", "a", "na", "label")
+def best_of(pairs: DataFrame) -> DataFrame:
+    """Of each ``b`` the pair with the most places ``k``, and then the least ``a``."""
+    best = pairs.groupBy("b").agg(F.max(F.struct("k", (-F.col("a")).alias("x"), "na", "nb")).alias("t"))
+    return best.select((-F.col("t.x")).alias("a"), F.col("t.na").alias("na"), "b", F.col("t.nb").alias("nb"))
 
 
-def ngram_jaccard_join(docs: DataFrame, text: str = "text", hot_share: int = 1000, fragment_bytes: int = 24 << 20) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, text: str = "text", fragment_bytes: int = 24 << 20) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``; component_id is the least id linked with it, itself included.
 
-    Null and empty texts have no shingles and stand alone. Repeated rows are all returned, alike. A null id is linked
-    through its exact copies only and has their component, or null. Rows that share an id but not a text are told
-    apart by their sets. Other columns are ignored; an empty table gives no rows. Sets are named by 64 bits.
+    Null and empty texts have no shingles and stand alone. Repeated rows are all returned, alike. A row without an id is
+    linked like any other and has the least id of its component, or null. Rows that share an id but not a text are told
+    apart by their sets. A very long text is one set of as many shingles as it has, and its work is in proportion. Other
+    columns are ignored, whatever their names; an empty table gives no rows. Sets are named by 64 bits.
 
-    A shingle counts as frequent when one set in ``hot_share`` or more holds it, so there are at most ``hot_share`` times
-    the mean set size of them, which bounds the table that tasks receive. It only moves them in the order.
+    Which shingles are frequent only moves them in the order; there are MOST_FREQUENT of them at most.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    first = cut(prints(base))
+    base = base.withColumn("th", F.xxhash64("text"))
+    first = stored(prints(base))
     rows = first.where("kind = 0").select("doc_id", "n", "c")
     n_docs, total = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    often = first.where("kind = 1").groupBy("c").agg(F.sum("n").alias("n")).where(F.col("n") >= max(16, n_docs // hot_share)).select("c")
-    hot = np.sort(often.toPandas()["c"].to_numpy(np.int64).view(np.uint64))
-    maps = [F.first(m).alias(m) for m in BITS]
-    classes = cut(first.where("kind = 0 and n > 0").groupBy("c").agg(F.min("doc_id").alias("least"), *maps))
+    often = first.where("kind = 1").groupBy("c").agg(F.sum("n").alias("n")).where(F.col("n") >= max(16, total // MOST_FREQUENT))
+    found = often.toPandas().sort_values(["n", "c"])
+    classes = stored(first.where("kind = 0 and n > 0").groupBy("c").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.first("map").alias("map")))
 
     fragments = max(64, int(total * ENTRY.itemsize * 0.27) // fragment_bytes)
-    found = stored(shared_entries(fragment_rows(base, hot, fragments)))
-    entries = found.where("kind = 0").select("o", "a", "na")
-    stars = found.where("kind = 1").groupBy("a", "na", "b", "nb").agg(F.sum("k").alias("k"))
-    tried = _verified(cut(stars.where(~_short_of(F.col("k"), 0.5)).select("a", "na", "b", "nb")), classes, base)
-    links = tried.where("linked").select("a", "b")
-    # what is left: holders of one place that no chain of links joins yet
-    bitmaps = cut(classes.select(F.col("c").alias("a"), *BITS))
-    left = stored(open_entries(entries, links).join(_small(bitmaps), "a"))
-    other = left.select("o", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("label").alias("label_b"), *(F.col(m).alias(f"{m}_b") for m in BITS))
-    fits = (F.col("a") < F.col("b")) & (F.col("label") != F.col("label_b")) & _sizes_fit() & _bitmaps_fit()
-    pairs = left.join(other, "o").where(fits).groupBy("a", "na", "b", "nb").agg(F.count("*").alias("k"))
-    pairs = cut(pairs.where(~_short_of(F.col("k"), 1.0)).select("a", "na", "b", "nb").join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-    more = _verified(pairs, classes, base).where("linked").select("a", "b")
-
-    joined = connected_components(links.unionByName(more))
+    order = Order(found["c"].to_numpy(np.int64).view(np.uint64), fragments, 1 + n_docs * ENTRY.itemsize // fragment_bytes)
+    shared = stored(shared_entries(fragment_rows(base, order)))
+    stars = stored(shared.where("kind = 1").groupBy("a", "na", "b", "nb").agg(F.sum("k").alias("k")))
+
+    # each set with one holder of its places
+    tried = cut(best_of(stars))
+    links = verified(tried, classes, base)
+    # those of a place that are still apart with one of its least component
+    left = stored(labelled(shared.where("kind = 0").select("o", "a", "na", "i"), connected_components(links)))
+    pivot = left.groupBy("o").agg(F.min(F.struct("label", "a", "na", "i")).alias("p"))
+    meet = left.join(pivot, "o").where((F.col("label") != F.col("p.label")) & may_link(F.col("na"), F.col("i"), F.col("p.na"), F.col("p.i")))
+    meet = meet.groupBy(F.col("p.a").alias("a"), F.col("p.na").alias("na"), F.col("a").alias("b"), F.col("na").alias("nb")).agg(F.count("*").alias("k"))
+    second = cut(best_of(meet))
+    links = cut(links.unionByName(verified(second, classes, base)))
+    # all that are still apart, and what the first round put off
+    components = connected_components(links)
+    left = stored(labelled(left.drop("label"), components))
+    other = left.select("o", *(F.col(k).alias(f"{k}_b") for k in ("a", "na", "i", "label")))
+    fits = (F.col("a") < F.col("a_b")) & (F.col("label") != F.col("label_b")) & may_link(F.col("na"), F.col("i"), F.col("na_b"), F.col("i_b"))
+    pairs = left.join(other, "o").where(fits).select("a", "na", F.col("a_b").alias("b"), F.col("na_b").alias("nb"))
+    ends = components.select(F.col("node").alias("a"), F.col("component").alias("label"))
+    put_off = stars.select("a", "na", "b", "nb").join(ends, "a", "left").join(ends.withColumnsRenamed({"a": "b", "label": "label_b"}), "b", "left")
+    put_off = put_off.where(F.coalesce("label", "a") != F.coalesce("label_b", "b")).select("a", "na", "b", "nb")
+    in_order = [F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("na", "nb"), ("b", "a"), ("nb", "na"))]
+    before = tried.unionByName(second).select(*in_order).select("a", "b")
+    pairs = pairs.unionByName(put_off.select(*in_order)).distinct().join(before, ["a", "b"], "left_anti")
+    links = links.unionByName(verified(cut(pairs), classes, base))
+
+    joined = connected_components(links)
     least = joined.join(classes.select("c", "least"), F.col("node") == F.col("c")).groupBy("component").agg(F.min("least").alias("low"))
     # written, so that the last join has a shuffle on either side and a set of many copies can be split
-    of_class = classes.join(joined.select(F.col("node").alias("c"), "component"), "c", "left").join(least, "component", "left").select("c", F.coalesce("low", "least").alias("component_id"))
+    of_class = classes.select("c", "least").join(joined.select(F.col("node").alias("c"), "component"), "c", "left").join(least, "component", "left").select("c", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("low")).alias("component_id"))
     return rows.join(cut(of_class), "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -189,11 +189,12 @@ def test_quality_counts(docs, odd, empty):
 
 
 def components(rows):
+    """By brute force: rows are linked one by one, whatever their ids."""
     sets = []
     for d, t in rows:
         w = re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
         sets.append((d, frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])))
-    holders, up = defaultdict(list), {d: d for d, _ in sets}
+    holders, up = defaultdict(list), list(range(len(sets)))
 
     def top(x):
         while up[x] != x:
@@ -207,9 +208,11 @@ def components(rows):
             holders[g].append(i)
     for (i, j), k in both.items():
         if 100 * k >= 75 * (len(sets[i][1]) + len(sets[j][1]) - k):
-            a, b = top(sets[i][0]), top(sets[j][0])
-            up[max(a, b)] = min(a, b)
-    return sorted((d, len(s), top(d)) for d, s in sets)
+            up[top(j)] = top(i)
+    least = {}
+    for i, (d, _) in enumerate(sets):
+        least[top(i)] = min((x for x in (d, least.get(top(i))) if x is not None), default=None)
+    return sorted(((d, len(s), least[top(i)]) for i, (d, s) in enumerate(sets)), key=str)
 
 
 def test_ngram_join(spark, docs, odd, empty):
@@ -221,8 +224,10 @@ def test_ngram_join(spark, docs, odd, empty):
         for _ in range(k // 12):
             w[random.randrange(150)] = f"e{random.randrange(40)}"
         near.append((1000 + k, " ".join(w[: 150 - k % 3])))
-    table = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text").where("doc_id is not null and doc_id <> 6").withColumn("doc_id", F.col("doc_id") + 500)).unionByName(spark.createDataFrame(near, "doc_id long, text string"))
-    assert sorted(tuple(r) for r in ngram_jaccard_join(table.withColumn("n", F.lit(1))).collect()) == components(rows_of(table))
+    table = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text")).unionByName(spark.createDataFrame(near, "doc_id long, text string"))
+    table = table.unionByName(spark.createDataFrame([(None, near[7][1]), (None, near[7][1] + " x"), (None, "alone " * 9), (1003, near[90][1])], "doc_id long, text string"))
+    clashing = table.select("*", *(F.lit(1).alias(k) for k in ("n", "c", "th", "map", "o", "word", "bits", "held", "component_id")))
+    assert sorted((tuple(r) for r in ngram_jaccard_join(clashing).collect()), key=str) == components(rows_of(table))
     assert ngram_jaccard_join(odd).count() == odd.count() and ngram_jaccard_join(empty).count() == 0
 
 
