@@ -5,9 +5,9 @@ cut into fragments. Equal sets are one class from the start. Two sets that are s
 first quarter of each, so the fragments propose pairs from these; a pair is decided by the overlaps of all fragments of
 the two whole sets, counted fragment by fragment and summed per pair.
 
-A group of many near copies is not spread into all its pairs. There are three rounds. In the first, each set meets the
-least holder of its shingles; in the second, the holders of a shingle that are still apart meet one holder of the least
-component there; in the last, all holders that are still in different components meet, so that no link is lost.
+A group of many near copies is not spread into all its pairs. In the first round each set meets the least holder of its
+shingles; in the next ones the holders of a shingle that are still apart meet a few holders of the least component
+there; in the last all holders that are still in different components meet, so that no link is lost.
 """
 
 from __future__ import annotations
@@ -26,10 +26,15 @@ from factweave.operators.components import connected_components
 #: links are pairs with 100 * intersection >= PERCENT * union
 PERCENT = 75
 HOT = np.uint64(1 << 63)
-#: at most so many shingles are frequent, which bounds the table of them that all tasks receive (8 bytes each)
+#: at most so many shingles stand behind the rare ones, which bounds the table of them that all tasks receive (8 bytes each)
 MOST_FREQUENT = 1 << 21
+#: rounds before the last, each with the share of places that take part (one in so many), the holders of the least
+#: component that the others of such a place meet, and whether a set then tries only the one it meets most often
+ROUNDS = ((1, 3, True), (4, 16, False), (4, 16, False))
 #: rows of 64 bits in the table that tells tasks which texts to read again
 WORDS_OF_BITS = 1 << 18
+#: a pair with its lesser name first
+IN_ORDER = [f"if(a < b, {x}, {y}) as {x}" for x, y in (("a", "b"), ("na", "nb"), ("b", "a"), ("nb", "na"))]
 ENTRY = np.dtype([("o", "<u8"), ("c", "<i8"), ("n", "<i4"), ("i", "<i4")])
 
 
@@ -292,7 +297,7 @@ def ngram_jaccard_join(docs: DataFrame, text: str = "text", fragment_bytes: int
     first = stored(prints(base))
     rows = first.where("kind = 0").select("doc_id", "n", "c")
     n_docs, total = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    often = first.where("kind = 1").groupBy("c").agg(F.sum("n").alias("n")).where(F.col("n") >= max(16, total // MOST_FREQUENT))
+    often = first.where("kind = 1").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(MOST_FREQUENT)
     found = often.toPandas().sort_values(["n", "c"])
     classes = stored(first.where("kind = 0 and n > 0").groupBy("c").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.first("map").alias("map")))
 
@@ -302,27 +307,31 @@ def ngram_jaccard_join(docs: DataFrame, text: str = "text", fragment_bytes: int
     stars = stored(shared.where("kind = 1").groupBy("a", "na", "b", "nb").agg(F.sum("k").alias("k")))
 
     # each set with one holder of its places
-    tried = cut(best_of(stars))
-    links = verified(tried, classes, base)
-    # those of a place that are still apart with one of its least component
-    left = stored(labelled(shared.where("kind = 0").select("o", "a", "na", "i"), connected_components(links)))
-    pivot = left.groupBy("o").agg(F.min(F.struct("label", "a", "na", "i")).alias("p"))
-    meet = left.join(pivot, "o").where((F.col("label") != F.col("p.label")) & may_link(F.col("na"), F.col("i"), F.col("p.na"), F.col("p.i")))
-    meet = meet.groupBy(F.col("p.a").alias("a"), F.col("p.na").alias("na"), F.col("a").alias("b"), F.col("na").alias("nb")).agg(F.count("*").alias("k"))
-    second = cut(best_of(meet))
-    links = cut(links.unionByName(verified(second, classes, base)))
+    fresh = cut(best_of(stars).selectExpr(*IN_ORDER))
+    links, tried = verified(fresh, classes, base), fresh.select("a", "b")
+    # those of a place that are still apart with some of its least component
+    left = shared.where("kind = 0").select("o", "a", "na", "i")
+    for k, (one_in, holders, best) in enumerate(ROUNDS):
+        left = stored(labelled(left, connected_components(links)))
+        here = left.where(F.pmod(F.xxhash64("o", F.lit(k)), F.lit(one_in)) == 0)
+        by_chance = F.xxhash64("a", F.lit(k))
+        pivot = here.groupBy("o", F.pmod(by_chance, F.lit(holders)).alias("h")).agg(F.min(F.struct("label", by_chance.alias("x"), "a", "na", "i")).alias("p"))
+        meet = here.join(pivot, "o").where((F.col("label") != F.col("p.label")) & may_link(F.col("na"), F.col("i"), F.col("p.na"), F.col("p.i")))
+        pairs = meet.groupBy(F.col("p.a").alias("a"), F.col("p.na").alias("na"), F.col("a").alias("b"), F.col("na").alias("nb")).agg(F.count("*").alias("k"))
+        fresh = cut((best_of(pairs) if best else pairs).selectExpr(*IN_ORDER).distinct().join(tried, ["a", "b"], "left_anti"))
+        links = cut(links.unionByName(verified(fresh, classes, base)))
+        tried = cut(tried.unionByName(fresh.select("a", "b")))
+        left = left.drop("label")
     # all that are still apart, and what the first round put off
     components = connected_components(links)
-    left = stored(labelled(left.drop("label"), components))
+    left = stored(labelled(left, components))
     other = left.select("o", *(F.col(k).alias(f"{k}_b") for k in ("a", "na", "i", "label")))
     fits = (F.col("a") < F.col("a_b")) & (F.col("label") != F.col("label_b")) & may_link(F.col("na"), F.col("i"), F.col("na_b"), F.col("i_b"))
     pairs = left.join(other, "o").where(fits).select("a", "na", F.col("a_b").alias("b"), F.col("na_b").alias("nb"))
     ends = components.select(F.col("node").alias("a"), F.col("component").alias("label"))
     put_off = stars.select("a", "na", "b", "nb").join(ends, "a", "left").join(ends.withColumnsRenamed({"a": "b", "label": "label_b"}), "b", "left")
     put_off = put_off.where(F.coalesce("label", "a") != F.coalesce("label_b", "b")).select("a", "na", "b", "nb")
-    in_order = [F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("na", "nb"), ("b", "a"), ("nb", "na"))]
-    before = tried.unionByName(second).select(*in_order).select("a", "b")
-    pairs = pairs.unionByName(put_off.select(*in_order)).distinct().join(before, ["a", "b"], "left_anti")
+    pairs = pairs.unionByName(put_off.selectExpr(*IN_ORDER)).distinct().join(tried, ["a", "b"], "left_anti")
     links = links.unionByName(verified(cut(pairs), classes, base))
 
     joined = connected_components(links)
