@@ -282,20 +282,13 @@ def best_of(pairs: DataFrame) -> DataFrame:
     return best.select((-F.col("t.x")).alias("a"), F.col("t.na").alias("na"), "b", F.col("t.nb").alias("nb"))
 
 
-def ngram_jaccard_join(docs: DataFrame, text: str = "text", fragment_bytes: int = 24 << 20) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs``; component_id is the least id linked with it, itself included.
-
-    Null and empty texts have no shingles and stand alone. Repeated rows are all returned, alike. A row without an id is
-    linked like any other and has the least id of its component, or null. Rows that share an id but not a text are told
-    apart by their sets. A very long text is one set of as many shingles as it has, and its work is in proportion. Other
-    columns are ignored, whatever their names; an empty table gives no rows. Sets are named by 64 bits.
-
-    Which shingles are frequent only moves them in the order; there are MOST_FREQUENT of them at most.
-    """
+def ngram_components(docs: DataFrame, text: str = "text", fragment_bytes: int = 24 << 20) -> DataFrame:
+    """``doc_id, th, n, label, component_id`` for every row: hash of the text, size of the set, a name of its component (null
+    without shingles), and what ``ngram_jaccard_join`` says of it."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     base = base.withColumn("th", F.xxhash64("text"))
     first = stored(prints(base))
-    rows = first.where("kind = 0").select("doc_id", "n", "c")
+    rows = first.where("kind = 0").select("doc_id", "th", "n", "c")
     n_docs, total = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     often = first.where("kind = 1").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(MOST_FREQUENT)
     found = often.toPandas().sort_values(["n", "c"])
@@ -337,5 +330,36 @@ def ngram_jaccard_join(docs: DataFrame, text: str = "text", fragment_bytes: int
     joined = connected_components(links)
     least = joined.join(classes.select("c", "least"), F.col("node") == F.col("c")).groupBy("component").agg(F.min("least").alias("low"))
     # written, so that the last join has a shuffle on either side and a set of many copies can be split
-    of_class = classes.select("c", "least").join(joined.select(F.col("node").alias("c"), "component"), "c", "left").join(least, "component", "left").select("c", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("low")).alias("component_id"))
-    return rows.join(cut(of_class), "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    of_class = classes.select("c", "least").join(joined.select(F.col("node").alias("c"), "component"), "c", "left").join(least, "component", "left")
+    of_class = cut(of_class.select("c", F.coalesce("component", "c").alias("label"), F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("low")).alias("component_id")))
+    found = rows.join(of_class, "c", "left")
+    return found.select("doc_id", "th", "n", "label", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def ngram_jaccard_join(docs: DataFrame, text: str = "text", fragment_bytes: int = 24 << 20) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row of ``docs``; component_id is the least id linked with it, itself included.
+
+    Null and empty texts have no shingles and stand alone. Repeated rows are all returned, alike. A row without an id is
+    linked like any other and has the least id of its component, or null. Rows that share an id but not a text are told
+    apart by their sets. A very long text is one set of as many shingles as it has, and its work is in proportion. Other
+    columns are ignored, whatever their names; an empty table gives no rows. Sets are named by 64 bits.
+
+    Which shingles are frequent only moves them in the order; there are MOST_FREQUENT of them at most.
+    """
+    return ngram_components(docs, text, fragment_bytes).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near copies: one row of each component stays, that of the least id (then of the least hash of its text).
+
+    Rows without an id come after all others of their component. Rows that share an id but not a component are told apart
+    and all stay. Texts without a word are linked with nothing and stay; of repeated rows (id and text alike) one stays.
+    All columns are kept, whatever their names; an empty table gives no rows. Ids are compared as numbers, texts of one id
+    by 64 bits.
+    """
+    found = ngram_components(docs, text)
+    key = lambda i, th: (F.coalesce(i.cast("string"), F.lit("")).alias("i"), th.alias("t"))
+    first = found.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th")).alias("m"))
+    kept = first.select(*key(F.col("m.doc_id"), F.col("m.th"))).unionByName(found.where("label is null").select(*key(F.col("doc_id"), F.col("th"))).distinct())
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *key(F.col("doc_id").cast("long"), F.xxhash64(F.col(text).cast("string"))))
+    return rows.dropDuplicates(["i", "t"]).join(kept, ["i", "t"], "left_semi").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

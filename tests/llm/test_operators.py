@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from factweave.llm import language_id as L, queries as Q, source_mix, toxicity as X
 from factweave.llm.decontaminate import decontaminate
 from factweave.llm.line_dedup import line_dedup
-from factweave.llm.ngram_join import ngram_jaccard_join
+from factweave.llm.ngram_join import ngram_jaccard_join, one_of_each
 from factweave.llm.quality_rules import quality_rules
 from factweave.llm.suffix_dedup import suffix_dedup
 from factweave.llm.suffix_repeats import maximal_repeats
@@ -231,6 +231,20 @@ def test_ngram_join(spark, docs, odd, empty):
     assert ngram_jaccard_join(odd).count() == odd.count() and ngram_jaccard_join(empty).count() == 0
 
 
+def test_one_of_each_group_stays(spark, odd, empty):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(5, text, "b"), (1, text + " x", "a"), (5, "a text of its own under the same id as a copy", "c"), (5, "a text of its own under the same id as a copy", "c"), (None, text, "d")]
+    rows += [(None, "no id and of its own, alone in the table", "e"), (None, "another without an id, alone as well it is", "f"), (7, None, "g"), (7, "", "h"), (8, " ", "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string").withColumn("i", F.lit(3)).withColumn("t", F.lit("x"))
+    left = one_of_each(docs)
+    assert left.columns == docs.columns and sorted(r["row"] for r in left.collect()) == ["a", "c", "e", "f", "g", "h", "i"]
+    # every group of the brute-force version keeps one row, and every row that is alone stays
+    table = odd.select("doc_id", "text")
+    kept = Counter(r.doc_id for r in one_of_each(table).collect())
+    assert kept == Counter({1: 1, 2: 1, 3: 1, 4: 1, None: 1, 5: 1, 7: 1, 8: 1, 9: 1, 10: 1})
+    assert one_of_each(empty).count() == 0
+
+
 # 7 -------------------------------------------------------------------------------------------------------------
 
 
