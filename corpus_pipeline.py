@@ -1,18 +1,21 @@
 """The corpus pipeline: five stages from documents to a mix, each on what the one before kept.
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the columns of documents.
+In all of them null texts are empty texts, null ids are ids like any other, rows are judged one by one, repeated rows
+alike (the near-copy stage keeps one of them), texts of any length are read whole, and an empty table gives no rows.
+The first four keep further columns of ``docs`` too, whatever their names.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factweave.functions.storage import checkpoint_dir
 from factweave.llm.decontaminate import decontaminate
 from factweave.llm.line_dedup import line_dedup
-from factweave.llm.ngram_join import ngram_jaccard_join
+from factweave.llm.ngram_join import one_of_each
 from factweave.llm.queries import fold
 from factweave.llm.source_mix import mix_sources
 from factweave.llm.toxicity import fit, toxicity
@@ -33,12 +36,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the least id stays; of repeated rows one. Rows without an id are compared by whole text only."""
-    found = ngram_jaccard_join(docs)
-    copies = found.where("doc_id is not null and component_id <> doc_id").select("doc_id").distinct()
-    alone = Window.partitionBy("doc_id", "_text").orderBy(F.lit(0))
-    left = docs.join(copies, "doc_id", "left_anti").withColumn("_text", F.xxhash64("text"))
-    return left.withColumn("_nth", F.row_number().over(alone)).where("_nth = 1").select(*docs.columns)
+    """Of each group of near copies the document of the least id stays, of repeated rows one; rows that share an id but not a text are told apart."""
+    return one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
