@@ -202,8 +202,8 @@ def met(rows: DataFrame) -> DataFrame:
 def cut_out(docs: DataFrame, places: DataFrame) -> DataFrame:
     """``g, n, before, bytes`` for the places (``r, least, places``) of one row per text."""
     at = F.struct("g", "lo", F.col("hi").alias("n"))
-    wanted = places.groupBy("r", "least").agg(F.collect_list(at).alias("places")).select(F.col("r").alias("_r"), F.col("least").alias("_id"), "places")
-    held = docs.join(wanted, (docs["r"] == wanted["_r"]) & docs["doc_id"].eqNullSafe(wanted["_id"])).select("r", "text", "places")
+    wanted = places.groupBy(F.col("r").alias("of"), "least").agg(F.collect_list(at).alias("places"))
+    held = docs.join(wanted, (docs["r"] == wanted["of"]) & docs["doc_id"].eqNullSafe(wanted["least"])).select("r", "text", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,7 +266,8 @@ def suffix_dedup(docs: DataFrame, text: str = "text", entry_bytes: int = 16 << 2
 
     Texts are UTF-8 bytes, nulls are empty; matches do not cross rows and may overlap, also inside one row. Repeated
     rows are copies of each other, so from 200 bytes on nothing is left of them. Null ids are like any id. Columns of
-    the added names are replaced; an empty table gives no rows. A text is named by a 64-bit hash, a stretch by two.
+    the added names are replaced, others kept, whatever their names; an empty table gives no rows. Long texts are cut
+    into stretches like any other. A text is named by a 64-bit hash, a stretch by two.
     """
     own = docs.drop("kept", "n_bytes", "n_removed", "n_spans")
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -281,30 +282,28 @@ def suffix_dedup(docs: DataFrame, text: str = "text", entry_bytes: int = 16 << 2
     found = cut(repeat_groups(stretches, max(64, n_other * 280 // block_bytes), merged=True).select("r", "lo", "hi"))
     every = both.where("kind = 1").select("r", "lo", "hi").unionByName(found)
     # written, so that the join has a shuffle on either side and a text of many copies can be split
-    covered = cut(every.groupBy(F.col("r").alias("_r")).agg(F.collect_set(F.struct("lo", "hi")).alias("pairs")))
-    joined = own.withColumn("_text", whole).join(covered, F.xxhash64(whole) == covered["_r"], "left").drop("_r")
+    covered = cut(every.groupBy("r").agg(F.collect_set(F.struct("lo", "hi")).alias("pairs")))
+    others = [c for c in own.columns if c != text]
+    rest = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)), F.lit(0).alias("none"))
+    row = own.select(rest.alias("rest"), F.col(f"`{text}`").cast("string").alias("text"), F.xxhash64(whole).alias("r"))
+    joined = row.join(covered, "r", "left").select("rest", "text", "pairs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.schema.names
             kept, total, gone, spans = [], [], [], []
-            raw = batch.column(names.index("_text")).cast(pa.large_binary())
-            for t, pairs in zip(raw.to_pylist(), batch.column(names.index("pairs")).to_pylist(), strict=True):
+            for t, pairs in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("pairs").to_pylist(), strict=True):
+                t = t or b""
                 total.append(len(t))
-                if not pairs:
-                    kept.append(t)
-                    gone.append(0)
-                    spans.append(0)
-                    continue
-                every = np.array([(p["lo"], p["hi"]) for p in pairs], np.int64)
-                lo, hi = union(every[:, 0], every[:, 1])
+                every = np.array([(p["lo"], p["hi"]) for p in pairs or ()], np.int64).reshape(-1, 2)
+                lo, hi = union(every[:, 0], every[:, 1]) if len(every) else (every[:, 0], every[:, 1])
                 edges = [0, *np.stack([lo, hi], axis=1).ravel().tolist(), len(t)]
                 kept.append(b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
                 gone.append(int((hi - lo).sum()))
                 spans.append(len(lo))
-            plain = [batch.column(i) for i, c in enumerate(names) if c not in ("_text", "pairs")]
             made = [pa.array(kept, pa.binary()), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*plain, *made], [*(c for c in names if c not in ("_text", "pairs")), "kept", "n_bytes", "n_removed", "n_spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("rest"), batch.column("text"), *made], ["rest", "text", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
-    return joined.mapInArrow(run, f"{columns}, kept binary, n_bytes long, n_removed long, n_spans long")
+    kinds = f"rest {row.schema['rest'].dataType.simpleString()}, text string, kept binary, n_bytes long, n_removed long, n_spans long"
+    done = joined.mapInArrow(run, kinds)
+    back = [F.col("text").cast(own.schema[text].dataType).alias(text) if c == text else F.col("rest").getField(f"c{others.index(c)}").alias(c) for c in own.columns]
+    return done.select(*back, "kept", "n_bytes", "n_removed", "n_spans")

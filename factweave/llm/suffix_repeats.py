@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 
-from factweave.llm.textkit import Block, slices
-
 
 def _word(data: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The eight bytes from each place on as one big-endian number; bytes beyond the end are zero. ``data`` has 8 bytes to spare."""
@@ -39,16 +37,20 @@ def _ranked(data: np.ndarray, at: np.ndarray, ends: np.ndarray, group: np.ndarra
     return order
 
 
-def _common(data: np.ndarray, a: np.ndarray, b: np.ndarray, a_end: np.ndarray, b_end: np.ndarray, known: int) -> np.ndarray:
-    """Length of the common prefix of pairs of suffixes that share ``known`` bytes."""
+def _common(data: np.ndarray, a: np.ndarray, b: np.ndarray, a_end: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of pairs of suffixes, compared eight bytes at a time."""
     most = np.minimum(a_end - a, b_end - b)
-    length = np.minimum(np.full(len(a), known), most)
-    active = np.flatnonzero(length < most)
+    length = np.zeros(len(a), np.int64)
+    active = np.flatnonzero(most > 0)
     while len(active):
-        same = data[a[active] + length[active]] == data[b[active] + length[active]]
-        active = active[same]
-        length[active] += 1
-        active = active[length[active] < most[active]]
+        x, y = (_word(data, at[active] + length[active], end[active]) for at, end in ((a, a_end), (b, b_end)))
+        differ = x ^ y
+        # leading zero bytes of what differs; a byte beyond the end may look like a zero byte of the other text
+        same = np.full(len(active), 8)
+        for k in range(7, -1, -1):
+            same[(differ >> np.uint64(8 * (7 - k)) & np.uint64(255)) != 0] = k
+        length[active] = np.minimum(length[active] + same, most[active])
+        active = active[(same == 8) & (length[active] < most[active])]
     return length
 
 
@@ -69,26 +71,13 @@ def maximal_repeats(texts: list[bytes], befores: np.ndarray, counts: np.ndarray,
         return none, none, none, none
     text = np.repeat(np.arange(len(texts)), counts)
     at = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts) + begin[text]
-    # only places whose first bytes occur again can share them
-    sums, down = Block(0, data, np.array([0, len(data)])).sums()
-    _, kind, many = np.unique(slices(sums, down, at, at + least), return_inverse=True, return_counts=True)
-    again = many[kind] > 1
-    text, at, kind = text[again], at[again], kind[again]
-    if not len(at):
-        return none, none, none, none
-    _, kind = np.unique(kind, return_inverse=True)
     ends = begin[text + 1]
-    # one suffix of each kind orders the kinds; inside a kind only what follows the shared bytes is compared
-    first = np.zeros(kind.max() + 1, np.int64)
-    first[kind[::-1]] = np.arange(len(kind))[::-1]
-    line = _ranked(data, at[first], at[first] + least, np.zeros(len(first), np.int64))
-    rank = np.empty(len(line), np.int64)
-    rank[line] = np.arange(len(line))
-    order = _ranked(data, at + least, ends, rank[kind])
-    text, at, ends, kind = text[order], at[order], ends[order], rank[kind][order]
+    order = _ranked(data, at, ends, np.zeros(len(at), np.int64))
+    text, at, ends = text[order], at[order], ends[order]
     lcp = np.zeros(len(at) + 1, np.int64)
-    inner = np.flatnonzero(kind[1:] == kind[:-1])
-    lcp[inner + 1] = _common(data, at[inner], at[inner + 1], ends[inner], ends[inner + 1], least)
+    lcp[1:-1] = _common(data, at[:-1], at[1:], ends[:-1], ends[1:])
+    # intervals of shorter prefixes are of no use
+    lcp[lcp < least] = 0
     before = np.where(at > begin[text], data[np.maximum(at - 1, 0)].astype(np.int64), -2)
     edge = before == -2
     before[edge] = befores[text[edge]]
