@@ -6,7 +6,9 @@ and the union of the marks is removed. DataFrame functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 WINDOW = 3
 
@@ -39,25 +41,42 @@ def later_windows(windows: DataFrame) -> DataFrame:
     return windows.join(first, ["h1", "h2"]).where(~at.eqNullSafe(F.col("first"))).select("doc_id", "print", "place")
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def covered_ranges(places: Column) -> Column:
+    """Ranges of lines (``at, to``) that the windows at these ascending places cover; windows that touch are one range."""
+    step = lambda i: F.get(places, i) - F.get(places, i - 1)
+    starts = F.filter(places, lambda p, i: (i == 0) | (step(i) > WINDOW))
+    ends = F.filter(places, lambda p, i: (i == F.size(places) - 1) | (step(i + 1) > WINDOW))
+    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("at"), (b + WINDOW).alias("to")))
+
+
+def lines_outside(lines: Column, gone: Column) -> Column:
+    """The lines that no range covers, joined again: what stands before the first, between two, and after the last."""
+    start = lambda i: F.when(i == 0, 0).otherwise(F.get(gone, i - 1)["to"])
+    end = lambda i: F.when(i == F.size(gone), F.size(lines)).otherwise(F.get(gone, i)["at"])
+    kept = F.transform(F.sequence(F.lit(0), F.size(gone)), lambda i: F.slice(lines, start(i) + 1, end(i) - start(i)))
+    return F.array_join(F.flatten(kept), "\n")
+
+
 def line_dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with the lines of later windows taken out of ``text``, plus ``n_lines`` and ``n_removed``.
 
     Lines are what stands between line feeds, compared exactly. Texts of under three lines are left alone, as are
     nulls. Windows of blank lines only are never counted. Repeated rows (same id, same text) are one document and
     get the same result; rows that share an id but not a text are judged apart. Columns named n_lines or n_removed
-    are replaced. An empty table gives no rows.
+    are replaced, all others kept, whatever their names. A text of very many lines takes work in proportion to them. An
+    empty table gives no rows.
     """
-    covered = (
-        later_windows(window_table(docs, text))
-        .groupBy("doc_id", "print")
-        .agg(F.array_distinct(F.flatten(F.transform(F.collect_set("place"), lambda p: F.sequence(p, p + (WINDOW - 1))))).alias("_gone"))
-        .select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"), "_gone")
-    )
-    joined = docs.join(covered, docs["doc_id"].eqNullSafe(covered["_id"]) & (F.xxhash64(docs[text]) == covered["_print"]), "left")
-    lines = F.split(F.col(text), "\n")
-    left = F.filter(lines, lambda x, i: F.get("_flags", i) == 0)
-    flags = F.when(F.col("_gone").isNotNull(), F.transform(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.array_contains("_gone", i).cast("int")))
-    df = joined.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long"))
-    df = df.withColumn("n_removed", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long")).withColumn("_flags", flags)
-    df = df.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")))
-    return df.select(*docs.drop("n_lines", "n_removed").columns, "n_lines", "n_removed")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.drop("n_lines", "n_removed").columns)).alias("row"), F.col("doc_id").alias("id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("print"))
+    covered = later_windows(window_table(docs, text)).groupBy(F.col("doc_id").alias("of"), F.col("print").alias("its")).agg(F.sort_array(F.collect_set("place")).alias("places"))
+    joined = rows.join(covered, rows["id"].eqNullSafe(covered["of"]) & (rows["print"] == covered["its"]), "left")
+    gone = F.when(F.col("places").isNotNull(), once(F.col("places"), covered_ranges))
+    done = joined.withColumn("gone", gone).withColumn("left", F.when(F.col("places").isNotNull(), once(F.split("text", "\n"), lambda lines: once(F.col("gone"), lambda g: lines_outside(lines, g)))).otherwise(F.col("text")))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    n_removed = F.coalesce(F.aggregate("gone", F.lit(0), lambda n, r: n + r["to"] - r["at"]), F.lit(0)).cast("long")
+    own = [(F.col("left") if c == text else F.col("row").getField(c)).alias(c) for c in docs.drop("n_lines", "n_removed").columns]
+    return done.select(*own, n_lines.alias("n_lines"), n_removed.alias("n_removed"))
