@@ -94,26 +94,27 @@ def token_scores(rows: DataFrame, vocabulary: int = 50_000, prior: float = 0.1,
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments, disjoint, in one pass over the positive runs.
 
-    Each open segment keeps the running sum before it and at its end. A new one is joined with the nearest earlier
-    segment that starts lower, when that one ends lower than the new one; else it stands by itself.
+    Each open segment keeps the running sum before it and at its end, and the place of the nearest earlier one that
+    starts lower. A new one is joined with its own nearest, when that one ends lower than the new one; else it stands by
+    itself. The search for the nearest goes from place to place, so no segment is passed over twice.
     """
-    out: list[list[float]] = []
+    out: list[tuple[float, float, int, int, int]] = []
     positive = np.flatnonzero(scores > 0)
     if not len(positive):
         return []
     sums = np.concatenate(([0.0], np.cumsum(scores)))
     for i in positive.tolist():
-        left, right, start = sums[i], sums[i + 1], i
+        left, right, start, j = float(sums[i]), float(sums[i + 1]), i, len(out) - 1
         while True:
-            j = len(out) - 1
             while j >= 0 and out[j][0] >= left:
-                j -= 1
+                j = out[j][4]
             if j < 0 or out[j][1] >= right:
-                out.append([left, right, start, i + 1])
+                out.append((left, right, start, i + 1, j))
                 break
-            left, start = out[j][0], out[j][2]
+            left, _, start, _, lower = out[j]
             del out[j:]
-    return [(int(s), int(e), float(r - l)) for l, r, s, e in out]
+            j = lower
+    return [(s, e, r - l) for l, r, s, e, _ in out]
 
 
 class Scorer:
