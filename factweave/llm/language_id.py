@@ -17,9 +17,14 @@ from factweave.llm.textkit import Block, blocks, slices
 GRAMS = 4
 _BREAK = np.ones(256, dtype=bool)
 _BREAK[97:123] = _BREAK[128:] = False
+#: the letters of Unicode category L are among these, and some numbers, which str.isalpha tells apart
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 class Words:
     """The distinct words of a block, and of some of them the character n-grams."""
 
@@ -155,7 +160,7 @@ def language_id(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 ascii_letters = np.concatenate(([0], np.cumsum((block.data >= 97) & (block.data <= 122))))
                 has = ascii_letters[block.offsets[1:]] > ascii_letters[block.offsets[:-1]]
                 for r in range(block.rows):
-                    if not len(m.langs) or not (has[r] or _LETTER.search(texts[block.first + r].as_py())):
+                    if not len(m.langs) or not (has[r] or has_letter(texts[block.first + r].as_py())):
                         pred.append("und")
                         score.append(0.0)
                     else:

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -73,6 +74,8 @@ def test_language(spark, docs, odd, empty):
     assert named.count() == odd.count() and {r.lang_pred for r in named.where("doc_id in (1, 2, 3)").collect()} == {"und"}
     assert named.where("score < 0 or score > 1").count() == 0 and L.language_id(empty, model).count() == 0
     assert L.language_id(odd, L.fit(empty, held)).where("lang_pred <> 'und'").count() == 0
+    marks = docs.sparkSession.createDataFrame([(1, "\u00b2 \u00bd \u2460 \u2167"), (2, "12 + 4 = 16 _ !"), (3, "\u00b2 the")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred == "und" for r in L.language_id(marks, model).collect()} == {1: True, 2: True, 3: False}
     assert Q.op2_language_id(spark, SF).where(F.col("held_out") != held(F.col("doc_id"))).count() == 0
     assert zlib.crc32(b"17") % 4 == spark.range(1).select(Q.fold(F.lit(17), 4)).first()[0]
 
@@ -96,7 +99,8 @@ def removed(rows, least=200):
 
 def test_suffix_dedup(spark, odd, empty):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("doc_id % 2 = 0").unionByName(odd.select("doc_id", "text"))
-    done = suffix_dedup(docs.withColumn("kept", F.lit(1)))
+    done = suffix_dedup(docs.select("*", *(F.lit(1).alias(k) for k in ("kept", "pairs", "r", "_text", "_r", "rest", "of", "none", "c0"))))
+    assert done.columns[:2] == ["doc_id", "text"] and {"pairs", "_text", "_r", "rest", "c0"} <= set(done.columns)
     got = sorted((tuple(r) for r in done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()), key=str)
     assert got == removed(rows_of(docs))
     assert suffix_dedup(empty).count() == 0
@@ -264,7 +268,10 @@ def without_lines(rows):
 
 def test_line_dedup(docs, odd, empty):
     table = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
-    got = sorted((tuple(r) for r in line_dedup(table.withColumn("n_removed", F.lit("x"))).select("doc_id", "n_lines", "n_removed", "text").collect()), key=str)
+    clashing = table.select("*", *(F.lit(7).alias(k) for k in ("n_removed", "_gone", "_id", "_print", "_flags", "row", "id", "print", "of", "its", "places", "gone", "left", "lines")))
+    done = line_dedup(clashing)
+    assert done.where("_gone <> 7 or _id <> 7 or _flags <> 7 or row <> 7 or left <> 7 or places <> 7").count() == 0
+    got = sorted((tuple(r) for r in done.select("doc_id", "n_lines", "n_removed", "text").collect()), key=str)
     assert got == without_lines(rows_of(table))
     assert line_dedup(empty).count() == 0
     assert "Python" not in line_dedup(table)._jdf.queryExecution().executedPlan().toString()
@@ -353,6 +360,19 @@ def test_segments_are_all_maximal_ones():
         assert sorted((a, b) for a, b, _ in X.maximal_segments(np.array(s))) == sorted(best_segments(s))
 
 
+def test_segments_take_time_in_proportion():
+    falling = np.tile([1.0, -1.5], 200_000)  # every segment starts lower than all before it
+    rising = np.concatenate([-np.arange(60_000, 0, -1.0).repeat(2) * np.tile([1, -0.5], 60_000)])
+    assert len(X.maximal_segments(falling)) == 200_000 and X.maximal_segments(rising)
+    took = []
+    random.seed(8)
+    for n in (20_000, 40_000):
+        began = time.perf_counter()
+        X.maximal_segments(np.array([random.choice([-1.02, 1.0]) for _ in range(n)]))
+        took.append(time.perf_counter() - began)
+    assert took[1] < 6 * took[0] + 0.05
+
+
 def test_toxicity(spark, odd, empty):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
