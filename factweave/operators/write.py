@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from factweave.functions.text import content_key, dispute_kind, shares_subject
+from factweave.functions.text import content_key, dispute_kind, edge_type, shares_subject
 from factweave.operators.components import connected_components
 from factweave.schemas import PROTECTED_TYPES
 
@@ -215,3 +215,92 @@ def fork_updates(decisions: DataFrame, memory_groups: DataFrame, scope_groups: D
     df = decisions.join(held, "target", "left").join(now, "scope", "left")
     differs = ~F.col("held").eqNullSafe(F.col("now"))
     return df.withColumn("operation", F.when((F.col("operation") == "UPDATE") & differs, "SUPERSEDE").otherwise(F.col("operation"))).drop("held", "now")
+
+
+def cross_user_effects(verdicts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What verdicts on facts of other owners do: open disputes, and holder rows of those who dispute.
+
+    ``verdicts`` has new_id, user_id, target, operation, conflict_type and confidence. Only CROSS_CONTRADICT changes
+    anything: links and repeats are counted by the key that both owners' facts share.
+    """
+    clash = verdicts.where((F.col("operation") == "CROSS_CONTRADICT") & F.col("target").isNotNull())
+    kind = F.coalesce(F.nullif("conflict_type", F.lit("")), F.lit("preference"))
+    disputes = clash.select(F.col("new_id").alias("src"), F.col("target").alias("dst"), F.lit(0).alias("resolved"), F.concat(F.lit("cross_user_"), kind).alias("strategy"))
+    return disputes, clash.select("user_id", F.col("target").alias("memory_id"), F.lit("disputes").alias("stance"), F.col("confidence").alias("certainty"))
+
+
+def resolve_relations(extracted: DataFrame, stored: DataFrame) -> DataFrame:
+    """``message_id, nth, src, dst, edge_type, strength``: proposed relations with both ends found among the message's stored facts.
+
+    An end is found by its index, else by its whole text whatever the case (the last of equal ones), else where one
+    text holds the other (the first by index). ``extracted`` has message_id, nth, from_index, from_text, to_index,
+    to_text, edge_type, strength; ``stored`` has message_id, idx, memory_id, text. Texts meet inside a message only.
+    """
+    facts = stored.select("message_id", "idx", "memory_id", F.lower("text").alias("low"))
+    side = lambda s: extracted.select("message_id", "nth", F.lit(s).alias("side"), F.col(f"{s}_index").alias("idx"), F.lower(F.coalesce(f"{s}_text", F.lit(""))).alias("low"))
+    ends = side("from").unionByName(side("to"))
+    by_index = ends.join(facts.select("message_id", "idx", F.col("memory_id").alias("one")), ["message_id", "idx"], "left")
+    whole = facts.groupBy("message_id", "low").agg(F.max_by("memory_id", "idx").alias("two"))
+    both = by_index.join(whole, ["message_id", "low"], "left").withColumn("two", F.when(F.col("low") != "", F.col("two")))
+    left = both.where(F.col("one").isNull() & F.col("two").isNull() & (F.col("low") != ""))
+    inside = left.select("message_id", "nth", "side", "low").join(facts.withColumnRenamed("low", "text"), "message_id").where(F.col("text").contains(F.col("low")) | F.col("low").contains(F.col("text")))
+    three = inside.groupBy("message_id", "nth", "side").agg(F.min_by("memory_id", "idx").alias("three"))
+    found = both.join(three, ["message_id", "nth", "side"], "left").select("message_id", "nth", "side", F.coalesce("one", "two", "three").alias("id"))
+    pair = found.groupBy("message_id", "nth").agg(F.max(F.when(F.col("side") == "from", F.col("id"))).alias("src"), F.max(F.when(F.col("side") == "to", F.col("id"))).alias("dst"))
+    rows = extracted.select("message_id", "nth", edge_type("edge_type").alias("edge_type"), "strength")
+    return rows.join(pair.where("src is not null and dst is not null"), ["message_id", "nth"]).select("message_id", "nth", "src", "dst", "edge_type", "strength")
+
+
+def entity_relations(extracted: DataFrame, mentions: DataFrame, entities: DataFrame) -> DataFrame:
+    """``src, dst, relation, strength`` between entities: ends named in the same message, resolved by trimmed lower-case name.
+
+    ``extracted`` has message_id, from_local, to_local, relation, strength; ``mentions`` has message_id, local_id, name.
+    An end that the message does not name, or that no entity is called, drops the relation.
+    """
+    norm = F.lower(F.btrim("name"))
+    known = entities.groupBy(norm.alias("norm")).agg(F.min("entity_id").alias("id"))
+    named = mentions.select("message_id", "local_id", norm.alias("norm")).join(known, "norm").select("message_id", "local_id", "id").dropDuplicates(["message_id", "local_id"])
+    a = named.select("message_id", F.col("local_id").alias("from_local"), F.col("id").alias("src"))
+    b = named.select("message_id", F.col("local_id").alias("to_local"), F.col("id").alias("dst"))
+    return extracted.join(a, ["message_id", "from_local"]).join(b, ["message_id", "to_local"]).select("src", "dst", "relation", "strength")
+
+
+# fixed values: labels of generated facts, and who owns them
+HYPOTHESIS, VERIFIED, SYSTEM = "HYPOTHESIS (generated, requires verification)", "VERIFIED (generated, confirmed by review)", "system"
+
+
+def aging_hypotheses(memories: DataFrame, provenance: DataFrame, as_of: str, most: int | None = 3, min_hours: int = 48, retire_hours: int = 168) -> DataFrame:
+    """The oldest unverified hypotheses, with up to six witnesses of 240 characters, and what is to be done: judge, retire or keep.
+
+    Without a witness nothing can be judged: such a hypothesis retires once it is old enough. ``provenance`` has
+    insight_id and witness_id; ``most`` is the feature's limit of a pass (None: all).
+    """
+    age = F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(F.try_to_timestamp("created_at"))
+    old = memories.where((F.col("user_id") == SYSTEM) & F.col("content").startswith("HYPOTHESIS (generated")).withColumn("age", age).where(F.col("age") >= min_hours * 3600)
+    if most is not None:
+        old = old.orderBy("created_at", "memory_id").limit(most)
+    texts = memories.where("content <> ''").select(F.col("memory_id").alias("witness_id"), F.substring("content", 1, 240).alias("said"))
+    seen = provenance.join(old.select(F.col("memory_id").alias("insight_id")), "insight_id", "left_semi").join(texts, "witness_id")
+    nth = F.row_number().over(Window.partitionBy("insight_id").orderBy("witness_id"))
+    few = seen.withColumn("nth", nth).where("nth <= 6").groupBy(F.col("insight_id").alias("memory_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "said"))), lambda x: x["said"]).alias("witnesses"))
+    out = old.join(few, "memory_id", "left")
+    action = F.when(F.col("witnesses").isNotNull(), "judge").when(F.col("age") >= retire_hours * 3600, "retire").otherwise("keep")
+    return out.select("memory_id", "content", "created_at", F.coalesce("witnesses", F.array().cast("array<string>")).alias("witnesses"), action.alias("action"))
+
+
+def apply_review(aging: DataFrame, verdicts: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
+    """``memory_id, outcome, content`` after review (memory_id, verdict, reason), and the notes of retired ones with what they supersede.
+
+    Promoted: the label changes and the reason is added. Retired: the text stays, a note supersedes it. All else is kept.
+    """
+    both = aging.join(verdicts.select("memory_id", "verdict", "reason"), "memory_id", "left")
+    outcome = F.when((F.col("action") == "judge") & (F.col("verdict") == "promote"), "promoted").when((F.col("action") == "judge") & (F.col("verdict") == "retire") | (F.col("action") == "retire"), "retired").otherwise("kept")
+    day, reason = as_of[:10], F.when(F.col("action") == "retire", "unverifiable: no witness provenance").otherwise(F.substring(F.coalesce("reason", F.lit("")), 1, 140))
+    done = both.withColumn("outcome", outcome)
+    start = F.instr("content", HYPOTHESIS)
+    relabelled = F.when(start > 0, F.concat(F.expr("substring(content, 1, instr(content, '" + HYPOTHESIS + "') - 1)"), F.lit(VERIFIED), F.expr(f"substring(content, instr(content, '{HYPOTHESIS}') + {len(HYPOTHESIS)})"))).otherwise(F.col("content"))
+    content = F.when(F.col("outcome") == "promoted", F.concat(relabelled, F.lit(f" [verified {day}: "), reason, F.lit("]"))).otherwise(F.col("content"))
+    summary = F.substring("content", len(HYPOTHESIS) + 3, 140)
+    note = F.concat(F.lit(f"RETIRED hypothesis (failed verification {day}): "), summary, F.lit(" \u2014 "), reason)
+    notes = done.where("outcome = 'retired'").select(F.concat(F.lit("note_"), "memory_id").alias("src"), F.col("memory_id").alias("dst"), note.alias("content"), F.lit(85).alias("certainty"), F.lit(40).alias("importance"))
+    return done.select("memory_id", "outcome", content.alias("content")), notes

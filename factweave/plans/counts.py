@@ -72,9 +72,9 @@ def f8(v):
     return O.category_counts(v.memories, v.tags, v.categories)
 
 
-@query("f9_category_edges", "SELECT a.category_id AS src_category, b.category_id AS dst_category, edge_type, count(*) AS n FROM edges JOIN tags a ON a.memory_id = src JOIN tags b ON b.memory_id = dst WHERE a.category_id < 'Brand#3' AND b.category_id < 'Brand#3' GROUP BY ALL")
+@query("f9_category_edges", "SELECT a.category_id AS src_category, b.category_id AS dst_category, edge_type, count(*) AS n FROM edges JOIN tags a ON a.memory_id = src JOIN tags b ON b.memory_id = dst GROUP BY ALL")
 def f9(v):
-    return O.category_edges(v.edges, v.tags, v.categories.where("category_id < 'Brand#3'"))
+    return O.category_edges(v.edges, v.tags, v.categories)
 
 
 @query("f10_category_page", "SELECT category_id, n, nth FROM (SELECT category_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, category_id) AS nth FROM tags GROUP BY category_id) WHERE nth BETWEEN 13 AND 24")

@@ -1,4 +1,4 @@
-"""Registered queries: graph operators. Searches start from the facts whose id is divisible by 20; those with SQL start from its set, one id in fifty."""
+"""Registered queries: graph operators. Searches start from the facts whose id is divisible by 20."""
 
 from __future__ import annotations
 
@@ -12,14 +12,10 @@ _D = "CASE edge_type WHEN 'IMPLIES' THEN 0.9 WHEN 'BECAUSE' THEN 0.85 WHEN 'CONT
 _S = "least(greatest(coalesce(strength / 100.0, 1.0), 0), 1)"
 _WALK = {
     "walk": f"SELECT src, dst, edge_type, {_W} * {_S} AS weight FROM edges UNION ALL SELECT dst, src, edge_type || '_IN', {_W} * {_D} * {_S} FROM edges",
-    "seeds0": "SELECT doc_id AS query_id, memory_id AS node, 1.0::DOUBLE AS score FROM memories WHERE doc_id % 50 = 1",
+    "seeds0": "SELECT doc_id AS query_id, memory_id AS node, 1.0::DOUBLE AS score FROM memories WHERE doc_id % 20 = 0",
 }
 
 
-def _seeds(v):
-    return v.memories.where("doc_id % 50 = 1").select(F.col("doc_id").alias("query_id"), F.col("memory_id").alias("node"), F.lit(1.0).alias("score"))
-
-
 def _starts(v):
     return v.memories.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("memory_id").alias("node"), F.lit(1.0).alias("score"))
 
@@ -35,7 +31,7 @@ def e1(v):
 
 @query("e2_neighbours", "SELECT query_id, node, dst, edge_type FROM seeds0 JOIN walk ON src = node", _WALK)
 def e2(v):
-    return G.neighbours(_seeds(v).drop("score"), G.walk_edges(v.edges)).select("query_id", "node", "dst", "edge_type")
+    return G.neighbours(_starts(v).drop("score"), G.walk_edges(v.edges)).select("query_id", "node", "dst", "edge_type")
 
 
 _BEAM = dict(_WALK)
@@ -51,12 +47,12 @@ for _k in (1, 2):
 
 @query("e3_expand_beam", "SELECT query_id, memory_id, parent, edge, round(graph_score, 6) AS graph_score, depth FROM rows1 UNION ALL SELECT query_id, memory_id, parent, edge, round(graph_score, 6), depth FROM rows2", _BEAM)
 def e3(v):
-    return G.expand_beam(_seeds(v), G.walk_edges(v.edges), 2)[0].withColumn("graph_score", F.round("graph_score", 6))
+    return G.expand_beam(_starts(v), G.walk_edges(v.edges), 2)[0].withColumn("graph_score", F.round("graph_score", 6))
 
 
 @query("e4_ego_edges", "SELECT DISTINCT query_id, node AS parent, dst AS child, edge_type FROM (SELECT query_id, node, dst, edge_type FROM met1 UNION ALL SELECT query_id, node, dst, edge_type FROM met2)", _BEAM)
 def e4(v):
-    return _ego(v, _seeds(v)).drop("weight")
+    return _ego(v, _starts(v)).drop("weight")
 
 
 @query("e5_personalized_pagerank")
@@ -69,13 +65,13 @@ def e6(v):
     """Each start with the fact seven further."""
     seeds = v.memories.where("doc_id % 20 = 0").select(F.col("doc_id").alias("pair_id"), F.lit("a").alias("side"), F.col("memory_id").alias("node"))
     ends = v.memories.where("doc_id % 20 = 7").select((F.col("doc_id") - 7).alias("pair_id"), F.lit("b").alias("side"), F.col("memory_id").alias("node"))
-    out = G.connect(seeds.unionByName(ends), G.walk_edges(v.edges), 4)
+    out = G.connect(seeds.unionByName(ends), G.walk_edges(v.edges), 7)
     return out.select("pair_id", F.array_join("path", ">").alias("path"), "hops", F.round("confidence", 6).alias("confidence"), "shared_seed")
 
 
 @query("e7_category_bridge", "SELECT DISTINCT s.query_id, s.node, f.memory_id AS child FROM seeds0 s JOIN tags t ON t.memory_id = s.node JOIN (SELECT memory_id, category_id, row_number() OVER (PARTITION BY category_id ORDER BY memory_id) AS n FROM tags) f ON f.category_id = t.category_id AND f.n <= 25 WHERE f.memory_id <> s.node", _WALK)
 def e7(v):
-    return G.category_bridge(_seeds(v), v.tags).select("query_id", "node", "child")
+    return G.category_bridge(_starts(v), v.tags).select("query_id", "node", "child")
 
 
 @query("e8_longest_chain")
@@ -95,12 +91,12 @@ def e9(v):
     return G.reasoning_chain(_starts(v), G.walk_edges(v.edges), near, "causal", 3)
 
 
-_RANKS = {"start": "SELECT q.doc_id AS query_id, m.memory_id, row_number() OVER (PARTITION BY q.doc_id ORDER BY m.doc_id) AS rank FROM memories q JOIN memories m ON m.doc_id >= q.doc_id AND m.doc_id < q.doc_id + 20 WHERE q.doc_id % 50 = 1"}
+_RANKS = {"start": "SELECT q.doc_id AS query_id, m.memory_id, row_number() OVER (PARTITION BY q.doc_id ORDER BY m.doc_id) AS rank FROM memories q JOIN memories m ON m.doc_id >= q.doc_id AND m.doc_id < q.doc_id + 20 WHERE q.doc_id % 20 = 0"}
 
 
 @query("e10_prefer_causal_seeds", "SELECT * FROM (SELECT query_id, memory_id, causal, row_number() OVER (PARTITION BY query_id ORDER BY causal DESC, rank) AS nth FROM (SELECT query_id, memory_id, rank, EXISTS (SELECT 1 FROM edges WHERE edge_type IN ('BECAUSE', 'IMPLIES') AND (src = memory_id OR dst = memory_id)) AS causal FROM start WHERE rank <= 12)) WHERE nth <= 4", _RANKS)
 def e10(v):
-    steps = v.memories.where("doc_id % 50 = 1").select(F.col("doc_id").alias("query_id"), F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k"))
+    steps = v.memories.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k"))
     rows = steps.where(F.col("query_id") + F.col("k") < v.n).select("query_id", F.concat(F.lit("mem_"), F.col("query_id") + F.col("k")).alias("memory_id"), (F.col("k") + 1).alias("rank"))
     return G.prefer_causal_seeds(rows, v.edges, 4)
 

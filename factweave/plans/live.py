@@ -63,9 +63,9 @@ def k11_sessions(v):
     return P.sessions(v.table("events"), "6 hours").select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
-@query("k12_history_asof", "SELECT point_id, memory_id, event_id, action FROM (SELECT p.event_id AS point_id, p.user_id AS memory_id, h.event_id, h.event_type AS action, row_number() OVER (PARTITION BY p.event_id ORDER BY h.ts DESC, h.event_id DESC) AS n FROM (SELECT event_id, user_id, ts - INTERVAL 1 DAY AS at FROM events WHERE event_id % 7 = 0) p LEFT JOIN events h ON h.user_id = p.user_id AND h.ts <= p.at) WHERE n = 1")
+@query("k12_history_asof", "SELECT point_id, memory_id, event_id, action FROM (SELECT p.event_id AS point_id, p.user_id AS memory_id, h.event_id, h.event_type AS action, row_number() OVER (PARTITION BY p.event_id ORDER BY h.ts DESC, h.event_id DESC) AS n FROM (SELECT event_id, user_id, ts - INTERVAL 1 DAY AS at FROM events) p LEFT JOIN events h ON h.user_id = p.user_id AND h.ts <= p.at) WHERE n = 1")
 def k12(v):
-    points = v.table("events").where("event_id % 7 = 0").select(F.col("event_id").alias("point_id"), F.col("user_id").alias("memory_id"), F.timestamp_add("DAY", F.lit(-1), "ts").alias("at"))
+    points = v.table("events").select(F.col("event_id").alias("point_id"), F.col("user_id").alias("memory_id"), F.timestamp_add("DAY", F.lit(-1), "ts").alias("at"))
     return P.history_asof(v.history, points)
 
 

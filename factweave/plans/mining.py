@@ -9,13 +9,13 @@ from factweave.plans.registry import query
 
 _CATS = {
     "cat_vectors": "SELECT 'mem_' || vec_id AS memory_id, embedding FROM embeddings WHERE vec_id % 25 = 3",
-    "near": "SELECT v.vec_id AS query_id, c.memory_id, round(list_cosine_similarity(v.embedding::DOUBLE[], c.embedding::DOUBLE[]), 12) AS cosine FROM vectors v CROSS JOIN cat_vectors c WHERE v.vec_id % 10 = 1",
+    "near": "SELECT v.vec_id AS query_id, c.memory_id, round(list_cosine_similarity(v.embedding::DOUBLE[], c.embedding::DOUBLE[]), 12) AS cosine FROM vectors v CROSS JOIN cat_vectors c",
 }
 
 
 def _near(v, threshold, margin=2.0):
-    """One fact in ten against one vector in twenty-five as the categories, which is the set of the SQL: all from the threshold on."""
-    facts = v.vectors.where("vec_id % 10 = 1").select(F.col("vec_id").alias("query_id"), "embedding")
+    """Every fact with a vector against one vector in twenty-five as the categories: all from the threshold on."""
+    facts = v.vectors.select(F.col("vec_id").alias("query_id"), "embedding")
     cats = v.vectors.where("vec_id % 25 = 3").select("memory_id", "embedding")
     return R.vector_within(facts, cats, threshold, margin)
 
@@ -115,7 +115,7 @@ def i7(v):
 @query("i8_new_insights")
 def i8(v):
     curated = M.curate(_routes(v), min_hops=1, min_pmi=-10.0)
-    known = v.memories.limit(5).select("content_key", F.lit("it may hold via the chain x -> y. Found by chance").alias("text"))
+    known = v.memories.where("doc_id % 20 = 0").select("content_key", F.lit("it may hold via the chain x -> y. Found by chance").alias("text"))
     return M.new_insights(curated, known)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from factweave.sources.views import Views, with_views
 
-MODULES = ("filters", "texts", "counts", "search", "graphs", "writes", "mining", "access", "live")
+MODULES = ("filters", "texts", "counts", "search", "graphs", "writes", "mining", "access", "live", "flows")
 
 _found: dict[str, tuple[Callable[[Views], DataFrame], str | None]] = {}
 

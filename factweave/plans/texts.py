@@ -44,8 +44,8 @@ def c3(v):
 
 def _marked(column: str) -> str:
     # the texts hold few markers, so some are put in by the id
-    return f"""CASE doc_id % 6 WHEN 0 THEN 'We tested the first plan. ' || left({column}, 60) || ' but ' || substr({column}, 61, 60) WHEN 1 THEN left({column}, 40) || ' because ' || substr({column}, 41, 50) WHEN 2 THEN left({column}, 40) || ', is part of ' || substr({column}, 41, 50)
-        WHEN 3 THEN left({column}, 30) || ' therefore ' || substr({column}, 31, 40) || ' because of it' WHEN 4 THEN 'Pumps; is a kind of machine' ELSE {column} END"""
+    return f"""CASE doc_id % 6 WHEN 0 THEN 'We tested the first plan. ' || left({column}, 60) || ' but ' || substr({column}, 61) WHEN 1 THEN left({column}, 40) || ' because ' || substr({column}, 41) WHEN 2 THEN left({column}, 40) || ', is part of ' || substr({column}, 41)
+        WHEN 3 THEN left({column}, 30) || ' therefore ' || substr({column}, 31) || ' because of it' WHEN 4 THEN left({column}, 40) || '; is a kind of ' || substr({column}, 41) ELSE {column} END"""
 
 
 _MARKED = {"marked": f"SELECT memory_id, doc_id, replace({_marked('content')}, chr(10), ' ') AS text FROM memories"}
@@ -53,13 +53,13 @@ _MARKED = {"marked": f"SELECT memory_id, doc_id, replace({_marked('content')}, c
 
 def marked(v):
     d, t = F.col("doc_id") % 6, F.col("content")
-    left = lambda n: F.substring(t, 1, n)
+    left, rest = lambda n: F.substring(t, 1, n), lambda n: F.substring(t, n + 1, 1 << 30)
     text = (
-        F.when(d == 0, F.concat(F.lit("We tested the first plan. "), left(60), F.lit(" but "), F.substring(t, 61, 60)))
-        .when(d == 1, F.concat(left(40), F.lit(" because "), F.substring(t, 41, 50)))
-        .when(d == 2, F.concat(left(40), F.lit(", is part of "), F.substring(t, 41, 50)))
-        .when(d == 3, F.concat(left(30), F.lit(" therefore "), F.substring(t, 31, 40), F.lit(" because of it")))
-        .when(d == 4, "Pumps; is a kind of machine")
+        F.when(d == 0, F.concat(F.lit("We tested the first plan. "), left(60), F.lit(" but "), rest(60)))
+        .when(d == 1, F.concat(left(40), F.lit(" because "), rest(40)))
+        .when(d == 2, F.concat(left(40), F.lit(", is part of "), rest(40)))
+        .when(d == 3, F.concat(left(30), F.lit(" therefore "), rest(30), F.lit(" because of it")))
+        .when(d == 4, F.concat(left(40), F.lit("; is a kind of "), rest(40)))
         .otherwise(t)
     )
     return v.memories.select("memory_id", "doc_id", F.replace(text, F.lit("\n"), F.lit(" ")).alias("text"))
@@ -94,7 +94,10 @@ def c6(v):
     return marked(v).select("memory_id", T.split_causal("text").alias("s")).where("s is not null").select("memory_id", "s.*")
 
 
-@query("c7_split_structural", "SELECT * FROM (SELECT memory_id, " + _parts_sql(T.STRUCTURAL, lambda k, m, e: f"'{e}'") + " AS edge_type, regexp_replace(" + _parts_sql(T.STRUCTURAL, lambda k, m, e: _FIRST.format(m=m)) + ", '[,;]+$', '') AS from_text, " + _parts_sql(T.STRUCTURAL, lambda k, m, e: _SECOND.format(m=m, n=len(m))) + " AS to_text FROM marked) WHERE from_text <> '' AND to_text <> ''", _MARKED)
+_STRUCTURAL = "SELECT * FROM (SELECT memory_id, " + _parts_sql(T.STRUCTURAL, lambda k, m, e: f"'{e}'") + " AS edge_type, regexp_replace(" + _parts_sql(T.STRUCTURAL, lambda k, m, e: _FIRST.format(m=m)) + ", '[,;]+$', '') AS from_text, " + _parts_sql(T.STRUCTURAL, lambda k, m, e: _SECOND.format(m=m, n=len(m))) + " AS to_text FROM marked) WHERE from_text <> '' AND to_text <> ''"
+
+
+@query("c7_split_structural", _STRUCTURAL, _MARKED)
 def c7(v):
     return marked(v).select("memory_id", T.split_structural("text").alias("s")).where("s is not null").select("memory_id", "s.*")
 
@@ -118,7 +121,7 @@ def c8(v):
 
 
 @query("c9_backstop_edges", f"""SELECT message_id, effect_atom AS src_atom, cause_atom AS dst_atom, 'BECAUSE' AS edge_type, 55 AS strength FROM ({_PICK}) WHERE cause_atom <> effect_atom AND CAST(substr(message_id, 5) AS BIGINT) % 7 <> 0
-    UNION ALL SELECT message_id, 0, 1, 'IS_A', 60 FROM (SELECT DISTINCT message_id FROM atoms WHERE CAST(substr(message_id, 5) AS BIGINT) % 6 = 4)""", _ATOMS)
+    UNION ALL SELECT p.message_id, cause_atom, effect_atom, edge_type, 60 FROM ({_PICK.replace("clauses", "structural")}) p JOIN structural USING (message_id) WHERE cause_atom <> effect_atom AND CAST(substr(p.message_id, 5) AS BIGINT) % 6 <> 2""", _ATOMS | {"structural": f"SELECT memory_id AS message_id, from_text AS cause, to_text AS effect, edge_type FROM ({_STRUCTURAL})"})
 def c9(v):
     """Messages whose id is a multiple of seven have a relation already; so do those with a structural connective that are parts."""
     m = marked(v).select(F.col("memory_id").alias("message_id"), "doc_id", "text")

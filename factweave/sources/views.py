@@ -85,8 +85,8 @@ class Views:
 
     @cached_property
     def vector_queries(self) -> DataFrame:
-        """A stated set of searches: one vector in a hundred."""
-        return self.table("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+        """The searches: every vector whose id is divisible by 20."""
+        return self.table("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
     @cached_property
     def tags(self) -> DataFrame:
@@ -153,7 +153,7 @@ SQL = {
     "holders": """SELECT w.user_id, m.memory_id, CASE WHEN doc_id % 7 = 0 THEN 'disputes' WHEN doc_id % 11 = 0 THEN '' ELSE 'knows' END AS stance FROM memories m JOIN (SELECT DISTINCT content_key, user_id FROM memories) w USING (content_key)""",
     "vectors": "SELECT 'mem_' || vec_id AS memory_id, embedding, vec_id FROM embeddings",
     "queries": "SELECT item_id AS query_id, coalesce(text, '') AS text FROM benchmark",
-    "vector_queries": "SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 100 = 0",
+    "vector_queries": "SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 20 = 0",
     "tags": "SELECT DISTINCT 'mem_' || l_orderkey AS memory_id, p_brand AS category_id FROM lineitem JOIN part ON l_partkey = p_partkey",
     "categories": "SELECT p_brand AS category_id, min(p_type) AS parent_id, min(p_name) AS description, lower(p_brand) AS name FROM part GROUP BY p_brand",
     "entities": "SELECT DISTINCT 'mem_' || l_orderkey AS memory_id, l_suppkey AS entity_id FROM lineitem",
