@@ -30,7 +30,7 @@ HOT = np.uint64(1 << 63)
 MOST_FREQUENT = 1 << 21
 #: rounds before the last, each with the share of places that take part (one in so many), the holders of the least
 #: component that the others of such a place meet, and whether a set then tries only the one it meets most often
-ROUNDS = ((1, 3, True), (4, 16, False), (4, 16, False))
+ROUNDS = ((1, 3, True), (2, 16, False))
 #: rows of 64 bits in the table that tells tasks which texts to read again
 WORDS_OF_BITS = 1 << 18
 #: a pair with its lesser name first
@@ -84,7 +84,9 @@ def prints(docs: DataFrame, local: int = 3) -> DataFrame:
                     n.append(len(s))
                     names.append(name)
                     maps.append(seen[name])
-            whole = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
+            whole = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            sets.clear()
+            whole.sort()
             # equal ones are neighbours: local of them in a row
             often = np.unique(whole[local - 1 :][whole[local - 1 :] == whole[: len(whole) - local + 1]]) if len(whole) >= local else whole[:0]
             count = np.searchsorted(whole, often, "right") - np.searchsorted(whole, often, "left")
@@ -131,13 +133,13 @@ class Order:
 
 
 def fragment_rows(docs: DataFrame, order: Order) -> DataFrame:
-    """``f, entries``: for each Arrow batch and fragment the entries (place, set, size, rank in the set) of the sets' first shingles, packed."""
+    """``f, entries``: for each 2,048 texts and fragment the entries (place, set, size, rank in the set) of the sets' first shingles, packed."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for text in (batch.column("text").slice(i, 2048) for batch in batches for i in range(0, batch.num_rows, 2048)):
             found, seen = [], set()
-            for block in blocks(batch.column("text")):
+            for block in blocks(text):
                 for s in shingle_sets(block):
                     if len(s) and (name := set_print(s)) not in seen:
                         seen.add(name)
@@ -305,7 +307,8 @@ def ngram_components(docs: DataFrame, text: str = "text", fragment_bytes: int =
     # those of a place that are still apart with some of its least component
     left = shared.where("kind = 0").select("o", "a", "na", "i")
     for k, (one_in, holders, best) in enumerate(ROUNDS):
-        left = stored(labelled(left, connected_components(links)))
+        # labels that are not settled yet only leave more to try
+        left = stored(labelled(left, connected_components(links, rounds=3, settle=False)))
         here = left.where(F.pmod(F.xxhash64("o", F.lit(k)), F.lit(one_in)) == 0)
         by_chance = F.xxhash64("a", F.lit(k))
         pivot = here.groupBy("o", F.pmod(by_chance, F.lit(holders)).alias("h")).agg(F.min(F.struct("label", by_chance.alias("x"), "a", "na", "i")).alias("p"))
