@@ -273,9 +273,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
 def labelled(entries: DataFrame, components: DataFrame) -> DataFrame:
     """``o, a, na, i, label`` of the holders of places that are in two components or more."""
     near = components.select(F.col("node").alias("a"), "component")
-    rows = stored(entries.join(near, "a", "left").select("o", "a", "na", "i", F.coalesce("component", "a").alias("label")))
+    rows = entries.join(near, "a", "left").select("o", "a", "na", "i", F.coalesce("component", "a").alias("label"))
     open_places = rows.groupBy("o").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("o")
-    return rows.join(open_places, "o")
+    return stored(rows.join(open_places, "o"))
 
 
 def best_of(pairs: DataFrame) -> DataFrame:
@@ -308,7 +308,7 @@ def ngram_components(docs: DataFrame, text: str = "text", fragment_bytes: int =
     left = shared.where("kind = 0").select("o", "a", "na", "i")
     for k, (one_in, holders, best) in enumerate(ROUNDS):
         # labels that are not settled yet only leave more to try
-        left = stored(labelled(left, connected_components(links, rounds=3, settle=False)))
+        left = labelled(left, connected_components(links, rounds=2, settle=False))
         here = left.where(F.pmod(F.xxhash64("o", F.lit(k)), F.lit(one_in)) == 0)
         by_chance = F.xxhash64("a", F.lit(k))
         pivot = here.groupBy("o", F.pmod(by_chance, F.lit(holders)).alias("h")).agg(F.min(F.struct("label", by_chance.alias("x"), "a", "na", "i")).alias("p"))
@@ -320,7 +320,7 @@ def ngram_components(docs: DataFrame, text: str = "text", fragment_bytes: int =
         left = left.drop("label")
     # all that are still apart, and what the first round put off
     components = connected_components(links)
-    left = stored(labelled(left, components))
+    left = labelled(left, components)
     other = left.select("o", *(F.col(k).alias(f"{k}_b") for k in ("a", "na", "i", "label")))
     fits = (F.col("a") < F.col("a_b")) & (F.col("label") != F.col("label_b")) & may_link(F.col("na"), F.col("i"), F.col("na_b"), F.col("i_b"))
     pairs = left.join(other, "o").where(fits).select("a", "na", F.col("a_b").alias("b"), F.col("na_b").alias("nb"))
