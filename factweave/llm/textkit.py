@@ -38,7 +38,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(least: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, ``least`` of them or more."""
-    return _powers(max(1 << 21, 1 << (least - 1).bit_length()) + 1)
+    return _powers(max(1 << 19, 1 << (least - 1).bit_length()) + 1)
 
 
 class Block:
@@ -100,7 +100,7 @@ def hash_words(words: list[str]) -> np.ndarray:
     return slices(*block.sums(), offsets[:-1], offsets[1:])
 
 
-def blocks(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 20) -> Iterator[Block]:
+def blocks(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 19) -> Iterator[Block]:
     """The column in pieces of about ``limit`` bytes, a longer text alone in its own; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
