@@ -56,7 +56,7 @@ def feature_counts(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
-            for block in blocks(batch.column("text"), 8 << 20):
+            for block in blocks(batch.column("text"), 1 << 20):
                 keys, _, _, first = features(block)
                 each = [np.unique(np.concatenate([k[first[r] : first[r + 1]] for k in keys])) for r in range(block.rows)]
                 whole = np.concatenate(each)
