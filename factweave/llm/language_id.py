@@ -68,7 +68,7 @@ def counts(rows: DataFrame) -> DataFrame:
             said = batch.column("lang").to_pylist()
             for lang in sorted(set(said)):
                 texts = lowered(batch.column("text").filter(pa.array([x == lang for x in said])))
-                for block in blocks(texts, 4 << 20):
+                for block in blocks(texts, 1 << 20):
                     w = Words(block)
                     kinds, keys, n = [np.zeros(len(w.keys), np.int32)], [w.keys], [np.bincount(w.of, minlength=len(w.keys))]
                     for k, grams in enumerate(w.grams(np.arange(len(w.keys)))[1]):
