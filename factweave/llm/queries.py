@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from factweave.llm.decontaminate import decontaminate
 from factweave.llm.language_id import fit as fit_languages, language_id
 from factweave.llm.line_dedup import line_dedup
+from factweave.llm.merkle_manifest import build, folded, leaf_digest, proofs, siblings
 from factweave.llm.ngram_join import ngram_jaccard_join
 from factweave.llm.quality_rules import quality_rules
 from factweave.llm.source_mix import mix_sources
@@ -78,5 +79,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's proof; where 5 divides the crc32 of its id, its root is recomputed with A-Z of its text lower-cased."""
+    columns = ["doc_id", "source", "lang", "n_chars"]
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(fold(F.col("doc_id"), 5) == 0, leaf_digest([*map(F.col, columns), lowered]))
+    found = proofs(build(table(spark, sf_dir, "documents"), [*columns, "text"], kept={"tampered": tampered}))
+    leaf = F.col("node.digest")
+    rows = found.select(F.col("node.id").alias("doc_id"), leaf.alias("leaf"), "subroot", "root", F.sha2(siblings(F.col("path")), 256).alias("proof_sha256"), folded(F.coalesce("node.tampered", leaf), F.col("path")).alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_suffix_dedup, op4_token_counts, op5_quality_rules, op6_ngram_join, op7_line_dedup, op8_decontaminate, op9_source_mix, op10_toxicity)}
+    return {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_suffix_dedup, op4_token_counts, op5_quality_rules, op6_ngram_join, op7_line_dedup, op8_decontaminate, op9_source_mix, op10_toxicity, op13_merkle_manifest)}

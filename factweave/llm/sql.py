@@ -24,6 +24,47 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
   AND (n_words < 50 OR (stop_kinds >= 2 AND n_words / greatest(n_lines, 1) >= 1.5)) AND (n_words < 20 OR (word_chars - marks) / greatest(word_chars, 1) >= 0.5) AS kept FROM c"""
 
 
+
+def _tree(nodes: str, prefix: str, depth: int) -> str:
+    """CTEs over ``nodes`` (k, pos, h, n): the level ``i`` as prefix_n<i>, and its runs of 16 as prefix_g<i>."""
+    out = [f"{prefix}_n0 AS ({nodes})"]
+    for i in range(depth):
+        out.append(f"{prefix}_g{i} AS (SELECT k, pos // 16 AS pos, n, list(h ORDER BY pos) AS hs FROM {prefix}_n{i} GROUP BY k, pos // 16, n)")
+        out.append(f"{prefix}_n{i + 1} AS (SELECT k, pos, CASE WHEN n > 1 THEN sha256(array_to_string(hs, '')) ELSE hs[1] END AS h, (n + 15) // 16 AS n FROM {prefix}_g{i})")
+    return ",\n".join(out)
+
+
+def _climb(frm: str, prefix: str, depth: int, keep: str) -> str:
+    """CTEs that lead the rows of ``frm`` (k, pos, f: a digest, s: siblings so far) up the tree, with the columns ``keep``."""
+    out = []
+    for i in range(depth):
+        left, right = f"array_to_string(g.hs[1:r.pos % 16], '')", "array_to_string(g.hs[r.pos % 16 + 2:], '')"
+        frm, before = f"{prefix}_r{i}", frm
+        out.append(
+            f"{frm} AS (SELECT {keep}, r.k, r.pos // 16 AS pos, CASE WHEN g.n > 1 THEN sha256({left} || r.f || {right}) ELSE r.f END AS f, CASE WHEN g.n > 1 THEN r.s || {left} || {right} ELSE r.s END AS s FROM {before} r JOIN {prefix}_g{i} g ON g.k = r.k AND g.pos = r.pos // 16)"
+        )
+    return ",\n".join(out)
+
+
+def _merkle(depth: int = 5) -> str:
+    """Trees of up to 16 ** depth leaves."""
+    value = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(value(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""WITH t AS (SELECT list(list_reduce([i, 1, 1, 1, 1, 1, 1, 1, 1], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)),
+d AS (SELECT doc_id, coalesce('=' || source, '') AS k, {leaf("text")} AS leaf, {leaf(low)} AS low,
+  xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, x: xor(c >> 8, t.t[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM documents, t),
+p AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY k) AS n FROM d),
+{_tree("SELECT k, pos, leaf AS h, n FROM p", "a", depth)},
+sub AS (SELECT k AS tree, h FROM a_n{depth}),
+{_tree("SELECT 0 AS k, row_number() OVER (ORDER BY tree) - 1 AS pos, h, count(*) OVER () AS n FROM sub", "b", depth)},
+a_r AS (SELECT doc_id, leaf, k, pos, CASE WHEN crc % 5 = 0 THEN low ELSE leaf END AS f, '' AS s FROM p),
+{_climb("a_r", "a", depth, "r.doc_id, r.leaf")},
+b_r AS (SELECT r.doc_id, r.leaf, sub.h AS subroot, 0 AS k, (SELECT count(*) FROM sub x WHERE x.tree < sub.tree) AS pos, r.f, r.s FROM a_r{depth - 1} r JOIN sub ON sub.tree = r.k),
+{_climb("b_r", "b", depth, "r.doc_id, r.leaf, r.subroot")}
+SELECT r.doc_id, r.leaf, r.subroot, n.h AS root, sha256(r.s) AS proof_sha256, r.f AS folded_root, r.f = n.h AS verified FROM b_r{depth - 1} r, b_n{depth} n"""
+
+
 def oracle_sql() -> dict[str, str]:
     stops = ", ".join(f"'{w}'" for w in STOP_WORDS)
-    return {"op5_quality_rules": _QUALITY.replace("STOPS", stops), "op7_line_dedup": _LINES}
+    return {"op5_quality_rules": _QUALITY.replace("STOPS", stops), "op7_line_dedup": _LINES, "op13_merkle_manifest": _merkle()}
