@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from factweave.llm.centroid_clusters import cluster, inertia, integer_vectors
 from factweave.llm.decontaminate import decontaminate
 from factweave.llm.language_id import fit as fit_languages, language_id
 from factweave.llm.line_dedup import line_dedup
@@ -79,6 +80,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = integer_vectors(table(spark, sf_dir, "embeddings"))
+    found = inertia(cluster(vectors, F.sha2(F.concat(F.lit("2:"), F.col("vec_id").cast("string")), 256)))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join(F.transform("centroid", lambda x: x.cast("string")), ","), 256).alias("centroid_sha256"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row's proof; where 5 divides the crc32 of its id, its root is recomputed with A-Z of its text lower-cased."""
     columns = ["doc_id", "source", "lang", "n_chars"]
@@ -91,4 +98,4 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_suffix_dedup, op4_token_counts, op5_quality_rules, op6_ngram_join, op7_line_dedup, op8_decontaminate, op9_source_mix, op10_toxicity, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_suffix_dedup, op4_token_counts, op5_quality_rules, op6_ngram_join, op7_line_dedup, op8_decontaminate, op9_source_mix, op10_toxicity, op12_centroid_clusters, op13_merkle_manifest)}

@@ -65,6 +65,22 @@ b_r AS (SELECT r.doc_id, r.leaf, sub.h AS subroot, 0 AS k, (SELECT count(*) FROM
 SELECT r.doc_id, r.leaf, r.subroot, n.h AS root, sha256(r.s) AS proof_sha256, r.f AS folded_root, r.f = n.h AS verified FROM b_r{depth - 1} r, b_n{depth} n"""
 
 
+def _clusters(rounds: int = 5) -> str:
+    """Vectors and centroids in long form, a row for each component; a round's joins are unrolled."""
+    assign = "a{0} AS (SELECT rid, arg_min(c, d * 64 + c) AS c, min(d) AS d FROM (SELECT v.rid, m.c, sum((v.x - m.x) * (v.x - m.x)) AS d FROM v JOIN m{0} m ON m.i = v.i GROUP BY v.rid, m.c) GROUP BY rid)"
+    move = "s{0} AS (SELECT a.c, v.i, sum(v.x) AS s, count(*) AS n FROM v JOIN a{0} a ON a.rid = v.rid GROUP BY a.c, v.i),\nm{1} AS (SELECT m.c, m.i, CASE WHEN s.n IS NULL THEN m.x ELSE (s.s - ((s.s % s.n) + s.n) % s.n) // s.n END AS x FROM m{0} m LEFT JOIN s{0} s ON s.c = m.c AND s.i = m.i)"
+    body = ",\n".join(x for r in range(rounds) for x in (assign.format(r), move.format(r, r + 1)))
+    return f"""WITH k AS (SELECT row_number() OVER () AS rid, vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+v AS (SELECT rid, vec_id, i, CAST(floor(256 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS x FROM (SELECT rid, vec_id, embedding, unnest(range(1, 65)) AS i FROM k)),
+f AS (SELECT rid, row_number() OVER (ORDER BY sha256('2:' || vec_id), embedding) - 1 AS c FROM k QUALIFY c < 40),
+m0 AS (SELECT f.c, v.i, v.x FROM f JOIN v ON v.rid = f.rid),
+{body},
+{assign.format(rounds)},
+h AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS h FROM m{rounds} GROUP BY c)
+SELECT k.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia, h.h AS centroid_sha256
+FROM a{rounds} a JOIN k ON k.rid = a.rid JOIN h ON h.c = a.c"""
+
+
 def oracle_sql() -> dict[str, str]:
     stops = ", ".join(f"'{w}'" for w in STOP_WORDS)
-    return {"op5_quality_rules": _QUALITY.replace("STOPS", stops), "op7_line_dedup": _LINES, "op13_merkle_manifest": _merkle()}
+    return {"op5_quality_rules": _QUALITY.replace("STOPS", stops), "op7_line_dedup": _LINES, "op12_centroid_clusters": _clusters(), "op13_merkle_manifest": _merkle()}
