@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from factweave.functions.storage import stored
 from factweave.llm.centroid_clusters import cluster, inertia, integer_vectors
 from factweave.llm.decontaminate import decontaminate
+from factweave.llm.fingerprints import as_hex, fingerprint_documents, likeness, near_prints
 from factweave.llm.language_id import fit as fit_languages, language_id
 from factweave.llm.line_dedup import line_dedup
 from factweave.llm.merkle_manifest import build, folded, leaf_digest, proofs, siblings
@@ -80,6 +82,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with an id divisible by 20 are also searched for: ``n_near`` others have fingerprints within four bits."""
+    done = stored(fingerprint_documents(table(spark, sf_dir, "documents")))
+    prints = done.groupBy("f1", "f2").agg(F.count("*").alias("n"))
+    asked = F.col("doc_id") % 20 == 0
+    found = near_prints(prints, done.where(asked)).groupBy("f1", "f2").agg(F.sum(F.aggregate("near", F.lit(0).cast("long"), lambda n, x: n + x["n"])).alias("near"))
+    f, e, n = ([F.col(f"{side}f1"), F.col(f"{side}f2")] for side in ("", "edited_", "next_"))
+    return done.join(found, ["f1", "f2"], "left").select(
+        "doc_id", "n_chars", "edited_sha256", as_hex(*f).alias("fingerprint"), as_hex(*e).alias("edited_fingerprint"), likeness(*f, *e).alias("near_edited"), likeness(*f, *n).alias("near_next"), F.when(asked, F.col("near") - 1).alias("n_near")
+    )
+
+
 def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = integer_vectors(table(spark, sf_dir, "embeddings"))
     found = inertia(cluster(vectors, F.sha2(F.concat(F.lit("2:"), F.col("vec_id").cast("string")), 256)))
@@ -98,4 +112,4 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_suffix_dedup, op4_token_counts, op5_quality_rules, op6_ngram_join, op7_line_dedup, op8_decontaminate, op9_source_mix, op10_toxicity, op12_centroid_clusters, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_suffix_dedup, op4_token_counts, op5_quality_rules, op6_ngram_join, op7_line_dedup, op8_decontaminate, op9_source_mix, op10_toxicity, op11_fingerprints, op12_centroid_clusters, op13_merkle_manifest)}
