@@ -19,12 +19,16 @@ def backfill_content_keys(memories: DataFrame) -> DataFrame:
     return memories.withColumn("content_key", F.coalesce(F.nullif(F.col("content_key"), F.lit("")), content_key("content", kind)))
 
 
-def exact_dedup(new: DataFrame, memories: DataFrame) -> DataFrame:
-    """``new`` with ``status``: known (same key, same owner), family (same key, another owner), repeat (again in the batch) or fresh."""
-    nth = F.row_number().over(Window.partitionBy("content_key", "user_id").orderBy("new_id"))
-    held = memories.groupBy("content_key").agg(F.collect_set("user_id").alias("owners"))
-    both = new.withColumn("_n", nth).join(held, "content_key", "left")
-    status = F.when(F.array_contains("owners", F.col("user_id")), "known").when(F.col("_n") > 1, "repeat").when(F.col("owners").isNotNull(), "family").otherwise("fresh")
+def exact_dedup(new: DataFrame, memories: DataFrame, order: tuple[str, ...] = ("new_id",)) -> DataFrame:
+    """``new`` with ``status``: known (same key, same owner), family (same key, another owner), repeat (again in the batch) or fresh.
+
+    The first by ``order`` is no repeat. The owners of a key are never gathered.
+    """
+    nth = F.row_number().over(Window.partitionBy("content_key", "user_id").orderBy(*order))
+    own = memories.select("content_key", "user_id", F.lit(True).alias("_own")).distinct()
+    any_ = memories.select("content_key", F.lit(True).alias("_any")).distinct()
+    both = new.withColumn("_n", nth).join(own, ["content_key", "user_id"], "left").join(any_, "content_key", "left")
+    status = F.when(F.col("_own"), "known").when(F.col("_n") > 1, "repeat").when(F.col("_any"), "family").otherwise("fresh")
     return both.select(*new.columns, status.alias("status"))
 
 
@@ -76,21 +80,22 @@ def escalate(decisions: DataFrame, low_confidence: int = 70) -> DataFrame:
     return decisions.withColumn("reason", reason).withColumn("deferred", F.col("reason").isNotNull() & op.isin(*DESTRUCTIVE))
 
 
-def apply_decisions(decisions: DataFrame, memories: DataFrame) -> dict[str, DataFrame]:
+def apply_decisions(decisions: DataFrame, memories: DataFrame, order: str = "new_id") -> dict[str, DataFrame]:
     """The rows that decisions make: facts (updates in place, new ones added), supersedes, contradicts and history.
 
-    A deletion supersedes; a deferred decision adds its fact beside the old one with an open dispute.
+    A deletion supersedes; a deferred decision adds its fact beside the old one with an open dispute. Of several
+    updates of a fact the last by ``order`` (then new_id) holds. History has the ``new_id`` that each change came from.
     """
     op = F.when(F.col("deferred"), "DEFER").when(F.col("operation") == "DELETE", "SUPERSEDE").otherwise(F.col("operation"))
     d = decisions.withColumn("op", op)
     adds = d.where("op in ('ADD', 'SUPERSEDE', 'CONTRADICT', 'DEFER')").select(F.col("new_id").alias("memory_id"), "content", "user_id", "memory_type")
-    update = d.where("op = 'UPDATE'").groupBy(F.col("target").alias("memory_id")).agg(F.max_by("content", "new_id").alias("new_content"))
+    update = d.where("op = 'UPDATE'").groupBy(F.col("target").alias("memory_id")).agg(F.max_by("content", F.struct(order, F.col("new_id").alias("_id"))).alias("new_content"))
     kept = memories.select("memory_id", "content", "user_id", "memory_type").join(update, "memory_id", "left")
     facts = kept.select("memory_id", F.coalesce("new_content", "content").alias("content"), "user_id", "memory_type").unionByName(adds)
     supersedes = d.where("op = 'SUPERSEDE'").select(F.col("new_id").alias("src"), F.col("target").alias("dst"))
     strategy = F.when(F.col("op") == "DEFER", "charter_deferred").otherwise(F.concat(F.lit("contradict_"), "memory_type"))
     contradicts = d.where("op in ('CONTRADICT', 'DEFER')").select(F.col("new_id").alias("src"), F.col("target").alias("dst"), F.lit(0).alias("resolved"), strategy.alias("strategy"))
-    history = d.where("op <> 'NOOP'").select(F.when(F.col("op") == "UPDATE", F.col("target")).otherwise(F.col("new_id")).alias("memory_id"), F.when(F.col("op").isin("CONTRADICT", "DEFER"), "ADD").otherwise(F.col("op")).alias("action"))
+    history = d.where("op <> 'NOOP'").select(F.when(F.col("op") == "UPDATE", F.col("target")).otherwise(F.col("new_id")).alias("memory_id"), F.when(F.col("op").isin("CONTRADICT", "DEFER"), "ADD").otherwise(F.col("op")).alias("action"), "new_id")
     return {"facts": facts, "supersedes": supersedes, "contradicts": contradicts, "history": history}
 
 

@@ -11,6 +11,8 @@ from factweave.functions.times import parse_time_bound
 from factweave.operators import counts as C, flows as X, graph as G, mine as M, rank as R, write as W
 from factweave.plans.registry import query
 from factweave.plans.search import _VEC, _near, _six
+from factweave.plans.writes import _PROT, _REASON, _SHARES
+from factweave.schemas import MEMORY_TYPES
 from factweave.sources import tables as S
 from factweave.sources.views import AS_OF
 from factweave.streaming import ingest as I, presence as P
@@ -278,13 +280,93 @@ def _queue(v):
 _QUEUE = {"queued": "SELECT conv_id || '_' || turn AS pending_id, 'u' || (conv_id % 5) AS user_id, sha256('fact' || chr(0) || lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS content_key FROM conversations WHERE role = 'user' AND text IS NOT NULL"}
 
 
-@query("k1_ingest", "SELECT DISTINCT user_id, content_key FROM queued", _QUEUE)
+#: the waves of the queue: what is said, in which conversation's owner's name (further by), and what is put after it
+_WAVES = ((0, ""), (0, " "), (0, " indeed it does"), (1, ""), (0, " indeed it does not"))
+_OPS = ("UPDATE", "SUPERSEDE", "CONTRADICT", "DELETE", "ADD")
+
+
+def _waves(v) -> str:
+    """User turns as pending inputs, said five times over, a wave of two files each; written as a folder that a stream reads."""
+    said = v.table("conversations").where("role = 'user' and text is not null and conv_id is not null and turn is not null")
+    path = _folder(v)
+    for w, (further, more) in enumerate(_WAVES):
+        at = F.timestamp_add("MINUTE", F.col("turn") + 60 * w, F.lit("2024-01-01 00:00:00").cast("timestamp"))
+        rows = said.select(F.concat_ws("_", "conv_id", "turn", F.lit(w)).alias("pending_id"), F.concat(F.lit("u"), F.pmod(F.col("conv_id") + further, F.lit(5))).alias("user_id"), F.concat("text", F.lit(more)).alias("raw_message"), at.alias("created_at"))
+        rows.repartition(2).write.mode("append").parquet(path)
+    return path
+
+
+def _k1(v) -> I.Journal:
+    """The queue through the write path, a wave a batch; a turn's number decides what the gate leaves open."""
+    part = lambda i: F.split_part("new_id", F.lit("_"), F.lit(i)).cast("long")
+    k = part(2) * 7 + part(3)
+
+    def decide(new, candidates):
+        return new.select("new_id", F.get(F.array(*map(F.lit, _OPS)), (k % 5).cast("int")).alias("operation"), (40 + k % 61).cast("int").alias("confidence"), F.lit(None).cast("string").alias("target"))
+
+    kind = F.get(F.array(*map(F.lit, MEMORY_TYPES)), F.expr("cast(cast(split_part(pending_id, '_', 1) AS bigint) % 8 AS int)"))
+    tables = I.journal(v.spark, _folder(v), 8)
+    I.ingest(S.ingest_stream(v.spark, _waves(v), 2), tables, _folder(v), fold_after=3, decide=decide, kind=kind).trigger(availableNow=True).start().awaitTermination()
+    return tables
+
+
+def _k1_sql() -> dict[str, str]:
+    """The waves unrolled: n new rows, s their status, c candidates, d decisions, r with reasons, f the facts after the wave."""
+    words = lambda x: f"list_distinct(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}]+'))"
+    ops = ", ".join(f"'{x}'" for x in _OPS)
+    types = ", ".join(f"'{x}'" for x in MEMORY_TYPES)
+    key = lambda t, x: f"sha256({t} || chr(0) || lower(trim(regexp_replace({x}, '\\s+', ' ', 'g'))))"
+    out = {
+        "turns": f"SELECT conv_id, turn, text, ([{types}])[CAST(conv_id % 8 AS INTEGER) + 1] AS memory_type, conv_id * 7 + turn AS k FROM conversations WHERE role = 'user' AND text IS NOT NULL AND conv_id IS NOT NULL AND turn IS NOT NULL",
+        "f_": "SELECT '' AS memory_id, '' AS user_id, '' AS content, '' AS memory_type, '' AS content_key WHERE false",
+    }
+    before = "f_"
+    for w, (further, more) in enumerate(_WAVES):
+        out |= {
+            f"n{w}": f"SELECT *, {key('memory_type', 'content')} AS content_key FROM (SELECT 'mem_' || conv_id || '_' || turn || '_{w}' AS new_id, conv_id || '_' || turn || '_{w}' AS pending_id, 'u' || ((conv_id + {further}) % 5) AS user_id, text || '{more}' AS content, memory_type, turn, k, conv_id FROM turns)",
+            f"s{w}": f"SELECT n.*, CASE WHEN EXISTS (SELECT 1 FROM {before} f WHERE f.content_key = n.content_key AND f.user_id = n.user_id) THEN 'known' WHEN row_number() OVER (PARTITION BY content_key, user_id ORDER BY turn, new_id) > 1 THEN 'repeat' WHEN EXISTS (SELECT 1 FROM {before} f WHERE f.content_key = n.content_key) THEN 'family' ELSE 'fresh' END AS status FROM n{w} n",
+            f"c{w}": f"SELECT * FROM (SELECT s.new_id, f.memory_id AS target, f.content AS target_text, f.memory_type AS target_type, CAST(len(list_intersect({words('s.content')}, {words('f.content')})) AS DOUBLE) / len(list_distinct(list_concat({words('s.content')}, {words('f.content')}))) AS similarity FROM s{w} s JOIN {before} f ON f.user_id = s.user_id WHERE s.status IN ('fresh', 'family')) WHERE similarity >= 0.7",
+            f"g{w}": f"SELECT s.new_id, s.content, s.memory_type, s.user_id, s.turn, s.k, b.top, b.target AS best, (SELECT max(c.target) FROM c{w} c WHERE c.new_id = s.new_id AND trim(c.target_text) = trim(s.content)) AS same FROM s{w} s LEFT JOIN (SELECT new_id, max(similarity) AS top, arg_max(target, (similarity, target)) AS target FROM c{w} GROUP BY new_id) b USING (new_id) WHERE s.status IN ('fresh', 'family')",
+            f"d{w}": f"SELECT *, CASE WHEN best IS NULL THEN 'ADD' WHEN same IS NOT NULL THEN 'NOOP' WHEN memory_type NOT IN ('preference', 'goal', 'opinion') AND top >= 0.98 THEN 'NOOP' ELSE ([{ops}])[CAST(k % 5 AS INTEGER) + 1] END AS said, CASE WHEN best IS NOT NULL AND same IS NULL AND (memory_type IN ('preference', 'goal', 'opinion') OR top < 0.98) THEN 40 + k % 61 ELSE 100 END AS confidence, coalesce(same, best) AS target FROM g{w}",
+            f"w{w}": f"SELECT d.new_id, d.content, d.memory_type, d.user_id, d.turn, d.confidence, c.target, c.target_text, c.target_type, CASE WHEN (d.said = 'CONTRADICT' OR (d.said IN ('UPDATE', 'SUPERSEDE') AND {_PROT.replace('memory_type', 'd.memory_type')})) AND NOT ({_SHARES.replace('(content)', '(d.content)')} AND c.similarity >= 0.88) THEN 'ADD' ELSE d.said END AS operation FROM d{w} d LEFT JOIN c{w} c ON c.new_id = d.new_id AND c.target = d.target",
+            f"r{w}": f"SELECT *, CASE WHEN reason IS NOT NULL AND operation IN ('UPDATE', 'SUPERSEDE', 'DELETE') THEN 'DEFER' WHEN operation = 'DELETE' THEN 'SUPERSEDE' ELSE operation END AS op FROM (SELECT *, {_REASON} AS reason FROM w{w})",
+            f"f{w}": f"SELECT memory_id, user_id, content, memory_type, {key('memory_type', 'content')} AS content_key FROM (SELECT f.memory_id, f.user_id, coalesce(u.content, f.content) AS content, f.memory_type FROM {before} f LEFT JOIN (SELECT target, arg_max(content, (turn, new_id)) AS content FROM r{w} WHERE op = 'UPDATE' GROUP BY target) u ON u.target = f.memory_id UNION ALL SELECT new_id, user_id, content, memory_type FROM r{w} WHERE op IN ('ADD', 'SUPERSEDE', 'CONTRADICT', 'DEFER'))",
+        }
+        before = f"f{w}"
+    every = lambda sql: " UNION ALL ".join(sql.format(w=w, old=f"f{w - 1}" if w else "f_") for w in range(len(_WAVES)))
+    out |= {
+        "facts": f"SELECT * FROM {before}",
+        "changes": every("SELECT CASE WHEN r.op = 'UPDATE' THEN r.target ELSE r.new_id END AS memory_id, CASE WHEN r.op IN ('CONTRADICT', 'DEFER') THEN 'ADD' ELSE r.op END AS action, CASE WHEN r.op = 'UPDATE' THEN f.content END AS old, r.content AS new, r.user_id AS actor FROM r{w} r LEFT JOIN {old} f ON f.memory_id = r.target WHERE r.op <> 'NOOP'"),
+        "opened": every("SELECT new_id AS src, target AS dst, CASE WHEN op = 'SUPERSEDE' THEN 'supersedes' WHEN op = 'DEFER' THEN 'charter_deferred' ELSE 'contradict_' || memory_type END AS strategy FROM r{w} WHERE op IN ('SUPERSEDE', 'DEFER', 'CONTRADICT')"),
+        "told": every("SELECT 'nt_' || s.pending_id AS notice_id, s.user_id, s.status IN ('known', 'repeat') AS deduped, coalesce(r.operation, 'NOOP') AS operation, CASE WHEN coalesce(r.operation, 'NOOP') = 'NOOP' THEN r.target WHEN r.op = 'UPDATE' THEN r.target ELSE s.new_id END AS memory_id, r.reason FROM s{w} s LEFT JOIN r{w} r USING (new_id)"),
+    }
+    return out
+
+
+@query("k1_ingest", "SELECT memory_id, user_id, memory_type, content, content_key FROM facts", _k1_sql())
 def k1(v):
-    """The queue ingested batch by batch; one fact for each owner and key, however the batches fall."""
-    path, facts = _queue(v), _folder(v)
-    run = I.ingest(S.ingest_stream(v.spark, path, 2), facts, _folder(v)).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return I.committed(v.spark, facts, I.FACT).select("user_id", "content_key")
+    """The facts after all waves: one for each owner and key, rewritten where a decision says so."""
+    return _k1(v).read("facts").select("memory_id", "user_id", "memory_type", "content", "content_key")
+
+
+@query("k1_disputes", "SELECT src, dst, strategy FROM opened", _k1_sql())
+def k1_disputes(v):
+    """What was superseded and what is disputed."""
+    tables = _k1(v)
+    return tables.read("supersedes").select("src", "dst", F.lit("supersedes").alias("strategy")).unionByName(tables.read("contradicts").select("src", "dst", "strategy"))
+
+
+@query("a6_notice_sink", "SELECT notice_id, user_id, operation, memory_id, deduped, reason FROM told", _k1_sql())
+def a6(v):
+    """One notice for each input of the queue."""
+    told = _k1(v).read("notices").withColumn("p", F.from_json("payload", "operation string, memory_id string, deduped boolean, reason string"))
+    return told.select("notice_id", "user_id", "p.operation", "p.memory_id", "p.deduped", "p.reason")
+
+
+@query("a7_append_history", "SELECT memory_id, action, old, new, actor FROM changes", _k1_sql())
+def a7(v):
+    """The change log of the queue, with the text before and after."""
+    return _k1(v).read("history").select("memory_id", "action", "old", "new", "actor")
 
 
 @query("k2_stream_dedup", "SELECT DISTINCT user_id AS scope, content_key FROM queued", _QUEUE)
