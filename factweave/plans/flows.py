@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from factweave.functions.storage import checkpoint_dir
 from factweave.functions.times import parse_time_bound
 from factweave.operators import counts as C, flows as X, graph as G, mine as M, rank as R, write as W
+from factweave.plans.live import _STREAK
 from factweave.plans.registry import query
 from factweave.plans.search import _VEC, _near, _six
 from factweave.plans.writes import _PROT, _REASON, _SHARES
 from factweave.schemas import MEMORY_TYPES
 from factweave.sources import tables as S
 from factweave.sources.views import AS_OF
-from factweave.streaming import ingest as I, presence as P
+from factweave.streaming import ingest as I, keyed as K, presence as P
 
 _STAMP = "yyyy-MM-dd HH:mm:ss"
 
@@ -387,8 +388,55 @@ _LIFE = {
 }
 
 
-@query("k9_farewell", "SELECT a.agent_id, owner AS principal_id, arg_max(status, n) FILTER (principal_id = owner) AS status, strftime(arg_max(ts, n) FILTER (principal_id = owner), '%Y-%m-%d %H:%M:%S') AS last_seen, count(*) FILTER (principal_id <> owner) AS refused FROM acts a JOIN born b ON b.agent_id = a.agent_id AND n >= since GROUP BY a.agent_id, owner", _LIFE)
+_LAST = "SELECT a.agent_id, owner AS principal_id, arg_max(status, n) FILTER (principal_id = owner) AS status, strftime(arg_max(ts, n) FILTER (principal_id = owner), '%Y-%m-%d %H:%M:%S') AS last_seen, count(*) FILTER (principal_id <> owner) AS refused FROM acts a JOIN born b ON b.agent_id = a.agent_id AND n >= since GROUP BY a.agent_id, owner"
+
+
+@query("k9_farewell", _LAST, _LIFE)
 def k9(v):
     """One event in eleven comes in another's name."""
-    other = F.when(F.col("event_id") % 11 == 0, "other").otherwise(F.col("principal_id"))
-    return I.farewell(v.heartbeats.withColumn("principal_id", other)).withColumn("last_seen", F.date_format("last_seen", _STAMP))
+    return I.farewell(_acts(v)).withColumn("last_seen", F.date_format("last_seen", _STAMP))
+
+
+def _acts(v):
+    return v.heartbeats.withColumn("principal_id", F.when(F.col("event_id") % 11 == 0, "other").otherwise(F.col("principal_id")))
+
+
+def _in_slices(v, rows, *by):
+    """The rows as a stream of two files a batch, in three slices of their order."""
+    path = _folder(v)
+    low, high = rows.approxQuantile(by[0], [0.3, 0.7], 0.01) if len(by) == 1 else rows.select(F.expr(f"percentile_approx(unix_micros(cast({by[0]} AS timestamp)), array(0.3, 0.7))")).first()[0] or (0, 0)
+    at = F.col(by[0]) if len(by) == 1 else F.unix_micros(F.col(by[0]).cast("timestamp"))
+    for part in (at <= low, (at > low) & (at <= high), at > high):
+        rows.where(part).repartition(2).write.mode("append").parquet(path)
+    return v.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+
+
+def _run(query):
+    query.trigger(availableNow=True).start().awaitTermination()
+
+
+@query("k9_agents_stream", _LAST, _LIFE)
+def k9_stream(v):
+    """The same events in three batches, with an agent's state kept between them."""
+    tables = K.journal(v.spark, _folder(v))
+    _run(K.agents(_in_slices(v, _acts(v).select("agent_id", "principal_id", "status", "ts", "event_id"), "ts", "event_id"), tables, _folder(v)))
+    return tables.read("agents").select("agent_id", "principal_id", "status", F.date_format("last_seen", _STAMP).alias("last_seen"), "refused")
+
+
+@query("k6_brakes_stream", _STREAK)
+def k6_stream(v):
+    """The passes of k6 in three batches, with the streak kept between them."""
+    tables = K.journal(v.spark, _folder(v))
+    passes = v.table("events").select(F.col("user_id").alias("stream"), F.col("event_id").alias("nth"), F.col("value").alias("persisted"), F.lit(10.0).alias("cap"))
+    _run(K.brakes(_in_slices(v, passes, "nth"), tables, _folder(v)))
+    return tables.read("brakes").select(F.col("stream").cast("long").alias("stream"), "nth", "paused")
+
+
+@query("k3_queue_stream")
+def k3_stream(v):
+    """Every user as an input: views queue it, clicks claim it, errors are failed attempts, a purchase is its end; all move the clock."""
+    kind = F.expr("CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'claim' WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'done' ELSE 'tick' END")
+    tables = K.journal(v.spark, _folder(v))
+    rows = v.table("events").select(F.col("user_id").cast("string").alias("pending_id"), kind.alias("kind"), "ts", "event_id")
+    _run(K.inputs(_in_slices(v, rows, "ts", "event_id"), tables, _folder(v)))
+    return tables.read("queue").select("pending_id", "status", "attempts")

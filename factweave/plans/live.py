@@ -32,7 +32,10 @@ def k4(v):
     return P.recover_stuck(rows, _AT).select("event_id", "status")
 
 
-@query("k6_flood_streak", """SELECT stream, nth, max(streak >= 3) OVER (PARTITION BY stream ORDER BY nth) AS paused FROM (SELECT *, sum(hit) OVER (PARTITION BY stream, run ORDER BY nth) AS streak FROM (SELECT user_id AS stream, event_id AS nth, CASE WHEN value >= 10 THEN 1 ELSE 0 END AS hit, sum(CASE WHEN value < 10 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM events))""")
+_STREAK = """SELECT stream, nth, max(streak >= 3) OVER (PARTITION BY stream ORDER BY nth) AS paused FROM (SELECT *, sum(hit) OVER (PARTITION BY stream, run ORDER BY nth) AS streak FROM (SELECT user_id AS stream, event_id AS nth, CASE WHEN value >= 10 THEN 1 ELSE 0 END AS hit, sum(CASE WHEN value < 10 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM events))"""
+
+
+@query("k6_flood_streak", _STREAK)
 def k6(v):
     rows = v.table("events").select(F.col("user_id").alias("stream"), F.col("event_id").alias("nth"), F.col("value").alias("persisted"), F.lit(10.0).alias("cap"))
     return P.flood_streak(rows).select("stream", "nth", "paused")

@@ -18,11 +18,12 @@ def presence(heartbeats: DataFrame, as_of: str, active_s: int = 90, ttl_s: int =
 
 
 def flood_streak(passes: DataFrame, n: int = 3) -> DataFrame:
-    """K6: ``paused`` from the pass on at which ``n`` passes in a row hit the cap; it stays. Passes have a stream and an order."""
+    """K6: ``paused`` from the pass on at which ``n`` passes in a row hit the cap; it stays. Passes have a stream and an order; no cap is never hit."""
+    hit = (F.col("cap") > 0) & (F.col("persisted") >= F.col("cap"))
     w = Window.partitionBy("stream").orderBy("nth")
-    miss = F.sum((F.col("persisted") < F.col("cap")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    miss = F.sum((~hit).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     run = passes.withColumn("_run", miss)
-    streak = F.sum((F.col("persisted") >= F.col("cap")).cast("int")).over(Window.partitionBy("stream", "_run").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    streak = F.sum(hit.cast("int")).over(Window.partitionBy("stream", "_run").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return run.withColumn("streak", streak).withColumn("paused", F.max(F.col("streak") >= n).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_run")
 
 
