@@ -7,7 +7,8 @@ the two whole sets, counted fragment by fragment and summed per pair.
 
 A group of many near copies is not spread into all its pairs. In the first round each set meets the least holder of its
 shingles; in the next ones the holders of a shingle that are still apart meet a few holders of the least component
-there; in the last all holders that are still in different components meet, so that no link is lost.
+there; in the last all holders that are still in different components meet, so that no link is lost. Sizes, places and
+a short bitmap of both sets are compared where they meet, so that a row stands only for what may be linked.
 """
 
 from __future__ import annotations
@@ -61,6 +62,11 @@ def parities(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((s >> np.uint64(8) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).tobytes()
 
 
+def short_parities(s: np.ndarray) -> list[int]:
+    """The same in 256 bits, as four longs, whatever the size of the set."""
+    return np.packbits(np.bincount((s >> np.uint64(8) & np.uint64(255)).astype(np.int64), minlength=256) & 1).view(np.int64).tolist()
+
+
 def least_difference(x: bytes, y: bytes) -> int:
     """Two sets differ in so many shingles at least as their bitmaps do in bits; the longer bitmap is folded."""
     size = min(len(x), len(y))
@@ -69,21 +75,22 @@ def least_difference(x: bytes, y: bytes) -> int:
 
 
 def prints(docs: DataFrame, local: int = 3) -> DataFrame:
-    """One pass over the texts: rows of kind 0 with ``doc_id, th``, size ``n``, name ``c`` and bitmap of the set, and of kind
+    """One pass over the texts: rows of kind 0 with ``doc_id, th``, size ``n``, name ``c`` and both bitmaps of the set, and of kind
     1 with ``c, n`` for shingles that ``local`` or more different sets of one Arrow batch hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, names, maps, seen, sets = [], [], [], {}, []
+            n, names, maps, short, seen, sets = [], [], [], [], {}, []
             for block in blocks(batch.column("text")):
                 for s in shingle_sets(block):
                     name = set_print(s)
                     if name not in seen:
-                        seen[name] = parities(s)
+                        seen[name] = parities(s), short_parities(s)
                         sets.append(s)
                     n.append(len(s))
                     names.append(name)
-                    maps.append(seen[name])
+                    maps.append(seen[name][0])
+                    short.append(seen[name][1])
             whole = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             sets.clear()
             whole.sort()
@@ -99,11 +106,12 @@ def prints(docs: DataFrame, local: int = 3) -> DataFrame:
                     pa.array(np.concatenate([np.array(n, np.int64), count])),
                     pa.array(np.concatenate([np.array(names, np.int64), often.view(np.int64)])),
                     pa.array([*maps, *[None] * more], pa.binary()),
+                    pa.array([*short, *[None] * more], pa.list_(pa.int64())),
                 ],
-                ["kind", "doc_id", "th", "n", "c", "map"],
+                ["kind", "doc_id", "th", "n", "c", "map", "short"],
             )
 
-    return docs.mapInArrow(run, "kind int, doc_id long, th long, n long, c long, map binary")
+    return docs.mapInArrow(run, "kind int, doc_id long, th long, n long, c long, map binary, short array<long>")
 
 
 class Order:
@@ -270,6 +278,12 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     return cut(pairs.join(found, ["a", "b"]).where(linked).select("a", "b"))
 
 
+def bits_allow(na: Column, short: list[Column], nb: Column, short_b: list[Column]) -> Column:
+    """Whether the short bitmaps of two sets differ in no more bits than linked sets of these sizes may in shingles."""
+    differ = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(short, short_b, strict=True)), F.lit(0))
+    return differ <= na + nb - 2 * needed(na, nb)
+
+
 def labelled(entries: DataFrame, components: DataFrame) -> DataFrame:
     """``o, a, na, i, label`` of the holders of places that are in two components or more."""
     near = components.select(F.col("node").alias("a"), "component")
@@ -294,7 +308,7 @@ def ngram_components(docs: DataFrame, text: str = "text", fragment_bytes: int =
     n_docs, total = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     often = first.where("kind = 1").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(MOST_FREQUENT)
     found = often.toPandas().sort_values(["n", "c"])
-    classes = stored(first.where("kind = 0 and n > 0").groupBy("c").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.first("map").alias("map")))
+    classes = stored(first.where("kind = 0 and n > 0").groupBy("c").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.first("map").alias("map"), F.first("short").alias("short")))
 
     fragments = max(64, int(total * ENTRY.itemsize * 0.27) // fragment_bytes)
     order = Order(found["c"].to_numpy(np.int64).view(np.uint64), fragments, 1 + n_docs * ENTRY.itemsize // fragment_bytes)
@@ -320,9 +334,11 @@ def ngram_components(docs: DataFrame, text: str = "text", fragment_bytes: int =
         left = left.drop("label")
     # all that are still apart, and what the first round put off
     components = connected_components(links)
-    left = labelled(left, components)
-    other = left.select("o", *(F.col(k).alias(f"{k}_b") for k in ("a", "na", "i", "label")))
+    bits = [f"s{k}" for k in range(4)]
+    left = labelled(left, components).join(classes.select(F.col("c").alias("a"), *(F.col("short")[k].alias(x) for k, x in enumerate(bits))), "a")
+    other = left.select("o", *(F.col(k).alias(f"{k}_b") for k in ("a", "na", "i", "label", *bits)))
     fits = (F.col("a") < F.col("a_b")) & (F.col("label") != F.col("label_b")) & may_link(F.col("na"), F.col("i"), F.col("na_b"), F.col("i_b"))
+    fits &= bits_allow(F.col("na"), [F.col(x) for x in bits], F.col("na_b"), [F.col(f"{x}_b") for x in bits])
     pairs = left.join(other, "o").where(fits).select("a", "na", F.col("a_b").alias("b"), F.col("na_b").alias("nb"))
     ends = components.select(F.col("node").alias("a"), F.col("component").alias("label"))
     put_off = stars.select("a", "na", "b", "nb").join(ends, "a", "left").join(ends.withColumnsRenamed({"a": "b", "label": "label_b"}), "b", "left")
