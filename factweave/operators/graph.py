@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from factweave.functions.storage import cut
 from factweave.functions.text import edge_strength
+from factweave.operators.components import connected_components
 from factweave.schemas import EDGE_WEIGHTS, RELATION_DAMPING, RELATION_WEIGHT, REVERSE_DAMPING
 
 
@@ -260,19 +263,60 @@ def resolve_aliases(alias: DataFrame, most: int = 32) -> DataFrame:
     return at.join(ring, "canonical", "left").select("node", F.coalesce("ring_low", "canonical").alias("canonical"))
 
 
-def communities(adjacency: DataFrame, rounds: int = 8) -> DataFrame:
-    """Label propagation, all nodes at once: the most common label of the neighbours and oneself, ties the smallest."""
-    both = adjacency.select("a", "b").unionByName(adjacency.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = cut(both.unionByName(both.select("a", F.col("a").alias("b")).distinct()))
-    labels = cut(both.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
+def communities(adjacency: DataFrame, rounds: int = 8, small: int = 500_000) -> DataFrame:
+    """``node, label``: label propagation in the order of ids: a node takes the most common label of its neighbours as
+    they are by then, ties the smallest; it has no vote of its own.
+
+    A component of up to ``small`` links is gone through in one task. In larger ones nodes wait only for their smaller
+    neighbours, so all nodes of one level of the ordered graph move at once, level by level; the labels are the same.
+    """
+    both = cut(adjacency.select("a", "b").unionByName(adjacency.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    part = connected_components(both)
+    links = both.join(part.withColumnRenamed("node", "a"), "a")
+    large = links.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > small).select("component")
+    inside = links.join(large, "component", "left_anti").groupBy("component").applyInPandas(lambda pdf: _in_turn(pdf, rounds), "node string, label string")
+    alone = adjacency.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(both.select(F.col("a").alias("node")), "node", "left_anti").select("node", F.col("node").alias("label"))
+    found = inside.unionByName(alone)
+    return found.unionByName(_by_levels(cut(links.join(large, "component", "left_semi").select("a", "b")), rounds)) if large.limit(1).count() else found
+
+
+def _in_turn(links: pd.DataFrame, rounds: int) -> pd.DataFrame:
+    near: dict[str, list[str]] = {}
+    for a, b in zip(links.a, links.b, strict=True):
+        near.setdefault(a, []).append(b)
+    label = {n: n for n in near}
     for _ in range(rounds):
-        votes = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a", "label").agg(F.count("*").alias("n"))
-        new = cut(votes.groupBy(F.col("a").alias("node")).agg(F.min(F.struct(-F.col("n"), "label")).alias("best")).select("node", "best.label"))
-        moved = new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count()
-        labels = new
+        moved = False
+        for n in sorted(near):
+            votes = Counter(label[m] for m in near[n])
+            best = min(votes, key=lambda x: (-votes[x], x))
+            moved, label[n] = moved or best != label[n], best
         if not moved:
             break
-    return labels
+    return pd.DataFrame({"node": list(label), "label": list(label.values())})
+
+
+def _by_levels(both: DataFrame, rounds: int) -> DataFrame:
+    nodes = both.select(F.col("a").alias("node")).distinct()
+    level, depth = cut(nodes.withColumn("level", F.lit(0))), 0
+    while True:
+        above = both.where("b < a").join(level.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg((F.max("level") + 1).alias("up"))
+        raised = cut(nodes.join(above, "node", "left").select("node", F.coalesce("up", F.lit(0)).alias("level")))
+        deepest = raised.agg(F.max("level")).first()[0]
+        if deepest == depth:
+            break
+        level, depth = raised, deepest
+    ranked = cut(both.join(level.withColumnRenamed("node", "a"), "a"))
+    labels = cut(level.select("node", "level", F.col("node").alias("label")))
+    for _ in range(rounds):
+        before = labels
+        for k in range(depth + 1):
+            votes = ranked.where(F.col("level") == k).select("a", "b").join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a", "label").agg(F.count("*").alias("n"))
+            new = votes.groupBy(F.col("a").alias("node")).agg(F.min(F.struct(-F.col("n"), "label"))["label"].alias("new"))
+            labels = cut(labels.join(new, "node", "left").select("node", "level", F.coalesce("new", "label").alias("label")))
+        if not labels.join(before.select("node", F.col("label").alias("old")), "node").where("label <> old").limit(1).count():
+            break
+    return labels.select("node", "label")
 
 
 def neighbour_sets(edges: DataFrame) -> DataFrame:

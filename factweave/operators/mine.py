@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from factweave.functions.storage import cut
 from factweave.functions.text import chain_set, content_key, truncate_chars
 from factweave.operators.components import connected_components
 from factweave.operators.graph import ancestors
@@ -81,35 +83,51 @@ def pmi_graph(pmi: DataFrame, bar: float = 0.5) -> DataFrame:
     return over.unionByName(over.select(F.col("b").alias("a"), F.col("a").alias("b"), "pmi"))
 
 
-def route_subsets(adjacency: DataFrame, communities: DataFrame, max_hops: int, budget: int = 200_000) -> DataFrame:
-    """``seed, path, hops, min_pmi``: the longest simple path from each category, ties by the larger weakest link.
+def longest_routes(adjacency: DataFrame, budget: int = 200_000, chunk: int = 256) -> DataFrame:
+    """``seed, path, pmis``: the longest simple path from each category, ties by the larger weakest link; neighbours go by id.
 
-    It is cut to ``max_hops``, then at the first inner node whose neighbours lie in different communities and do not
-    touch. Each seed gets the links of its component by a join and is a group of its own; neighbours go by id.
+    The links of a component are packed into one row and sent to its seeds in chunks, so there is a copy for each
+    ``chunk`` seeds. ``budget`` is the feature's limit of steps for a seed.
     """
-    label = lambda end: communities.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
     part = connected_components(adjacency)
-    links = adjacency.select("a", "b", "pmi").join(label("a"), "a", "left").join(label("b"), "b", "left").join(part.withColumnRenamed("node", "a"), "a")
-    seeds = adjacency.select(F.col("a").alias("seed")).distinct().join(part.withColumnRenamed("node", "seed"), "seed")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        adj: dict[str, list[tuple[str, float]]] = {}
-        weight, label = {}, {}
-        for a, b, w, la, lb in sorted(zip(pdf.a, pdf.b, pdf.pmi, pdf.a_label, pdf.b_label, strict=True), key=lambda r: r[:3]):
-            adj.setdefault(a, []).append((b, w))
-            weight[a, b] = w
-            label[a], label[b] = la, lb
-        seed = pdf.seed.iloc[0]
-        path, _ = longest_path(adj, [seed], budget, min, math.inf)
-        path = path[: max_hops + 1]
-        for k in range(1, len(path) - 1):
-            if label.get(path[k - 1]) != label.get(path[k + 1]) and (path[k - 1], path[k + 1]) not in weight:
-                path = path[: k + 1]
-                break
-        links = [weight[x] for x in zip(path, path[1:])]
-        return pd.DataFrame({"seed": [seed], "path": [path], "hops": [len(path) - 1], "min_pmi": [min(links, default=0.0)]})
-
-    return seeds.join(links, "component").groupBy("seed").applyInPandas(run, "seed string, path array<string>, hops int, min_pmi double")
+    packed = adjacency.select("a", "b", "pmi").join(part.withColumnRenamed("node", "a"), "a").groupBy("component").agg(F.sort_array(F.collect_list(F.struct("a", "b", "pmi"))).alias("links"))
+    seeds = adjacency.select(F.col("a").alias("node")).distinct().join(part, "node")
+    size = seeds.groupBy("component").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
+    groups = seeds.join(size, "component").groupBy("component", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("part")).agg(F.sort_array(F.collect_list("node")).alias("seeds"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for seeds, links in zip(pdf.seeds, pdf.links, strict=True):
+                adj: dict[str, list[tuple[str, float]]] = {}
+                for x in links:
+                    adj.setdefault(x["a"], []).append((x["b"], x["pmi"]))
+                weight = {(a, b): w for a, near in adj.items() for b, w in near}
+                paths = [longest_path(adj, [seed], budget, min, math.inf)[0] for seed in seeds]
+                yield pd.DataFrame({"seed": seeds, "path": paths, "pmis": [[weight[x] for x in zip(p, p[1:])] for p in paths]})
+
+    return groups.join(packed, "component").select("seeds", "links").mapInPandas(run, "seed string, path array<string>, pmis array<double>")
+
+
+def polysemy_cut(paths: DataFrame, adjacency: DataFrame, communities: DataFrame) -> DataFrame:
+    """I4: ``paths`` (path, and the weights pmis of its links) cut at the first inner node whose neighbours lie in different
+    communities and do not touch; the node itself stays, and ``bridge`` is its place (null: none).
+
+    Each row is told apart by itself. A node without a community differs from none.
+    """
+    rows = cut(paths.withColumn("_row", F.monotonically_increasing_id()))
+    inner = rows.where(F.size("path") > 2).select("_row", F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 2), lambda i: F.struct(i.alias("i"), F.get("path", i - 1).alias("a"), F.get("path", i + 1).alias("b")))).alias("p")).select("_row", "p.*")
+    label = lambda end: communities.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
+    apart = inner.join(label("a"), "a").join(label("b"), "b").where("a_label <> b_label").join(adjacency.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    first = apart.groupBy("_row").agg(F.min("i").alias("bridge"))
+    done = rows.join(first, "_row", "left")
+    return done.withColumn("path", F.when(F.col("bridge").isNull(), F.col("path")).otherwise(F.slice("path", 1, F.col("bridge") + 1))).withColumn("pmis", F.when(F.col("bridge").isNull(), F.col("pmis")).otherwise(F.slice("pmis", 1, F.col("bridge")))).drop("_row")
+
+
+def route_subsets(adjacency: DataFrame, communities: DataFrame, max_hops: int, budget: int = 200_000) -> DataFrame:
+    """``seed, path, hops, min_pmi``: the longest route from each category, cut to ``max_hops`` and then at its first bridge."""
+    routes = longest_routes(adjacency, budget).select("seed", F.slice("path", 1, max_hops + 1).alias("path"), F.slice("pmis", 1, max_hops).alias("pmis"))
+    cut_ones = polysemy_cut(routes, adjacency, communities)
+    return cut_ones.select("seed", "path", (F.size("path") - 1).alias("hops"), F.coalesce(F.array_min("pmis"), F.lit(0.0)).alias("min_pmi"))
 
 
 def witnesses(paths: DataFrame, tags: DataFrame, memories: DataFrame, n: int = 3, snippet: int = 110) -> DataFrame:

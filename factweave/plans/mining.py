@@ -82,6 +82,23 @@ def i3(v):
     return _routes(v).select("seed", F.array_join("path", " -> ").alias("path"), "hops", F.round("min_pmi", 6).alias("min_pmi"))
 
 
+_CUT = _PMI | {
+    "chains": "SELECT memory_id, list(category_id ORDER BY category_id)[:6] AS path FROM (SELECT DISTINCT memory_id, category_id FROM tags) GROUP BY memory_id",
+    "places": "SELECT memory_id, path, i FROM (SELECT memory_id, path, unnest(range(2, len(path))) AS i FROM chains)",
+    "bridges": "SELECT memory_id, min(i) AS i FROM places WHERE path[i - 1][7] <> path[i + 1][7] AND NOT EXISTS (SELECT 1 FROM pmi WHERE pmi >= 0.02 AND ((a = path[i - 1] AND b = path[i + 1]) OR (b = path[i - 1] AND a = path[i + 1]))) GROUP BY memory_id",
+}
+
+
+@query("i4_polysemy_cut", "SELECT c.memory_id, array_to_string(CASE WHEN b.i IS NULL THEN c.path ELSE c.path[1:b.i] END, ' -> ') AS path, CAST(b.i - 1 AS INTEGER) AS bridge FROM chains c LEFT JOIN bridges b USING (memory_id)", _CUT)
+def i4(v):
+    """The categories of each fact as a chain, over the net of those that meet more often than by chance; a maker's brands are a community."""
+    graph = M.pmi_graph(_pmi(v), 0.02)
+    chains = v.tags.select("memory_id", "category_id").distinct().groupBy("memory_id").agg(F.slice(F.sort_array(F.collect_list("category_id")), 1, 6).alias("path"))
+    makers = v.tags.select(F.col("category_id").alias("node"), F.substring("category_id", 7, 1).alias("label")).distinct()
+    done = M.polysemy_cut(chains.withColumn("pmis", F.array_repeat(F.lit(1.0), F.size("path") - 1)), graph, makers)
+    return done.select("memory_id", F.array_join("path", " -> ").alias("path"), "bridge")
+
+
 @query("i5_witnesses")
 def i5(v):
     return M.witnesses(_routes(v), v.tags, v.memories)
