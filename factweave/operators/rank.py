@@ -2,101 +2,97 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from factweave.functions.storage import stored
 from factweave.functions.text import bm25_tokens, cosine_score
 from factweave.functions.times import event_time, freshness, parse_time_bound
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.asarray(lists.flatten(), np.float64).reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
+def _packed(df: DataFrame, name: str, kind: str, size: int) -> DataFrame:
+    """``names, dims, m``: up to ``size`` vectors of one partition and length in a row, of length 1 (0 for zero vectors), by name."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2000) -> DataFrame:
+        def row(dims: int) -> pa.RecordBatch:
+            own = sorted(held.pop(dims), key=lambda x: (x[0] is None, x[0]))
+            m = np.array([x[1] for x in own], np.float64).reshape(len(own), dims)
+            norm = np.linalg.norm(m, axis=1, keepdims=True)
+            return pa.RecordBatch.from_arrays([pa.array([[x[0] for x in own]], pa.list_(pa.int64() if kind == "long" else pa.string())), pa.array([dims], pa.int32()), pa.array([(m / np.where(norm > 0, norm, 1.0)).tobytes()], pa.binary())], ["names", "dims", "m"])
+
+        for batch in batches:
+            for x, v in zip(batch.column("name").to_pylist(), batch.column("embedding").to_pylist(), strict=True):
+                if v:
+                    own = held.setdefault(len(v), [])
+                    own.append((x, v))
+                    if len(own) == size:
+                        yield row(len(v))
+        for dims in list(held):
+            yield row(dims)
+
+    return df.select(F.col(name).cast(kind).alias("name"), "embedding").mapInArrow(run, f"names array<{kind}>, dims int, m binary")
+
+
+def _met(queries: DataFrame, vectors: DataFrame, keep: Callable[[np.ndarray], np.ndarray], block: int, chunk: int) -> DataFrame:
+    """``query_id, memory_id, cosine`` of what ``keep`` (scores of vectors by queries, to a mask) leaves of each block of
+    queries and chunk of vectors.
+
+    Both sides are packed and dealt over a grid: a chunk goes to the cells of its row, a block to those of its column, so
+    every two meet once and nothing of either passes the driver or is sent to all tasks.
+    """
+    spark = queries.sparkSession
+    q, v = stored(_packed(queries, "query_id", "long", block)), stored(_packed(vectors, "memory_id", "string", chunk))
+    cells = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    high = max(1, min(v.count(), cells))
+    wide = max(1, min(q.count(), -(-cells // high)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda n: F.pmod(F.xxhash64("names", "m"), F.lit(n)).cast("int")
+    left = q.withColumn("x", own(wide)).withColumn("y", every(high))
+    right = v.select(F.col("names").alias("ids"), F.col("m").alias("n"), "dims", own(high).alias("y")).withColumn("x", every(wide))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                names, ids, dims = batch.column("names")[i].values, batch.column("ids")[i].values, batch.column("dims")[i].as_py()
+                a, b = (np.frombuffer(batch.column(c)[i].as_py(), np.float64).reshape(-1, dims) for c in ("n", "m"))
+                score = np.round(a @ b.T, 12)
+                row, query = np.nonzero(keep(score))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), ids.take(pa.array(row)), pa.array(score[row, query])], ["query_id", "memory_id", "cosine"])
+
+    met = left.join(right, ["x", "y", "dims"]).select("names", "m", "ids", "n", "dims")
+    return met.mapInArrow(run, "query_id long, memory_id string, cosine double")
+
+
+def _best(score: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` highest of each column; of equal ones the first."""
+    if len(score) <= k:
+        return np.ones(score.shape, bool)
+    least = np.partition(score, len(score) - k, axis=0)[len(score) - k]
+    over, same = score > least, score == least
+    return over | (same & (np.cumsum(same, axis=0) <= k - over.sum(axis=0)))
+
+
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2048, chunk: int = 8192) -> DataFrame:
     """``query_id, memory_id, cosine, rank``: the k nearest vectors of each query by raw cosine, exactly.
 
-    Queries go out ``block`` at a time, which bounds what tasks receive; every task multiplies its vectors with the
-    block and keeps k per query, and the merge ranks k rows per query and task. Equal cosines go by id; zero vectors
-    have cosine 0; queries of another length find nothing.
+    Blocks of queries meet chunks of vectors; of each chunk k per query are left, which are then ranked. Equal cosines go
+    by id; zero vectors have cosine 0; queries of another length find nothing.
     """
-    n = queries.count()
-    parts = max(1, -(-n // block))
-    outs = []
-    for p in range(parts):
-        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p).select("query_id", "embedding").collect()
-        if not own:
-            continue
-        ids = [r["query_id"] for r in own]
-        q = np.array([r["embedding"] for r in own], np.float64)
-        norm = np.linalg.norm(q, axis=1, keepdims=True)
-        shared = queries.sparkSession.sparkContext.broadcast((ids, q / np.where(norm > 0, norm, 1.0)))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            kept: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, object))] * len(ids)
-            for batch in batches:
-                m = _matrix(batch.column("embedding"))
-                if not len(m) or m.shape[1] != q.shape[1]:
-                    continue
-                size = np.linalg.norm(m, axis=1)
-                score = np.round((m / np.where(size > 0, size, 1.0)[:, None]) @ q.T, 12)
-                names = np.array(batch.column("memory_id").to_pylist(), object)
-                for i in range(len(ids)):
-                    near = np.argpartition(-score[:, i], k)[:k] if len(names) > k else np.arange(len(names))
-                    # ties at the edge stay in, so that the order by id decides
-                    near = np.flatnonzero(score[:, i] >= score[near, i].min())
-                    s, x = np.concatenate([kept[i][0], score[near, i]]), np.concatenate([kept[i][1], names[near]])
-                    order = sorted(range(len(s)), key=lambda j: (-s[j], x[j]))[:k]
-                    kept[i] = s[order], x[order]
-            rows = [(ids[i], x, float(s)) for i, (ss, xs) in enumerate(kept) for s, x in zip(ss, xs, strict=True)]
-            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64())], ["query_id", "memory_id", "cosine"])
-
-        outs.append(vectors.select("memory_id", "embedding").mapInArrow(run, "query_id long, memory_id string, cosine double"))
-    if not outs:
-        return queries.sparkSession.createDataFrame([], "query_id long, memory_id string, cosine double, rank int")
-    return ranked(reduce(DataFrame.unionByName, outs), "cosine").where(F.col("rank") <= k)
-
-
-def vector_within(queries: DataFrame, vectors: DataFrame, threshold: float, margin: float = 2.0, block: int = 2000) -> DataFrame:
+    return ranked(_met(queries, vectors, lambda score: _best(score, k), block, chunk), "cosine").where(F.col("rank") <= k)
+
+
+def vector_within(queries: DataFrame, vectors: DataFrame, threshold: float, margin: float = 2.0, block: int = 2048, chunk: int = 8192) -> DataFrame:
     """``query_id, memory_id, cosine``: all vectors of a cosine from ``threshold`` on that come within ``margin`` of the query's best.
 
-    Blocks and scores are those of ``vector_topk``; a task leaves out what its own best rules out, the best of all decides.
+    Blocks and scores are those of ``vector_topk``; a chunk leaves out what its own best rules out, the best of all decides.
     """
-    n = queries.count()
-    parts = max(1, -(-n // block))
-    outs = []
-    for p in range(parts):
-        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p).select("query_id", "embedding").collect()
-        if not own:
-            continue
-        ids = np.array([r["query_id"] for r in own], np.int64)
-        q = np.array([r["embedding"] for r in own], np.float64)
-        norm = np.linalg.norm(q, axis=1, keepdims=True)
-        shared = queries.sparkSession.sparkContext.broadcast((ids, q / np.where(norm > 0, norm, 1.0)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            best = np.full(len(ids), -np.inf)
-            for batch in batches:
-                m = _matrix(batch.column("embedding"))
-                if not len(m) or m.shape[1] != q.shape[1]:
-                    continue
-                size = np.linalg.norm(m, axis=1)
-                score = np.round((m / np.where(size > 0, size, 1.0)[:, None]) @ q.T, 12)
-                best = np.maximum(best, score.max(axis=0))
-                row, query = np.nonzero((score >= threshold) & (score >= best - margin))
-                yield pa.record_batch([pa.array(ids[query]), batch.column("memory_id").take(pa.array(row)), pa.array(score[row, query])], ["query_id", "memory_id", "cosine"])
-
-        outs.append(vectors.select("memory_id", "embedding").mapInArrow(run, "query_id long, memory_id string, cosine double"))
-    if not outs:
-        return queries.sparkSession.createDataFrame([], "query_id long, memory_id string, cosine double")
-    found = reduce(DataFrame.unionByName, outs)
+    found = _met(queries, vectors, lambda score: (score >= threshold) & (score >= score.max(axis=0) - margin), block, chunk)
     best = F.max("cosine").over(Window.partitionBy("query_id"))
     return found.withColumn("_best", best).where(F.col("cosine") >= F.col("_best") - margin).drop("_best")
 
