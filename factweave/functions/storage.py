@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a laptop) is a temporary folder made.
+    Only where it is absent and all tasks run on one machine (tests, a laptop) is a temporary folder made.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    if named is None and context.master.split("[")[0] != "local" and not context._jsc.sc().getCheckpointDir().isDefined():
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="factweave-checkpoint-"))
     return named or context._jsc.sc().getCheckpointDir().get()

@@ -97,6 +97,83 @@ def vector_within(queries: DataFrame, vectors: DataFrame, threshold: float, marg
     return found.withColumn("_best", best).where(F.col("cosine") >= F.col("_best") - margin).drop("_best")
 
 
+def cosine_pairs(vectors: DataFrame, threshold: float, n_pivots: int = 64, block: int = 2048) -> DataFrame:
+    """``a, b, cosine`` (a < b): all pairs of vectors of one length with a cosine from ``threshold`` on, exactly.
+
+    Vectors go to the nearest of some pivots and are packed with others of it; a block lies in a cone around its pivot.
+    Two blocks meet only if their cones come within the angle of the threshold, by the triangle inequality of angles; each
+    two meet once, over the grid of cells. Equal rows of one id are one vector; zero vectors have cosine 0; what is null or
+    empty pairs with nothing. A block holds at most ``block`` vectors, so a hot pivot is many blocks.
+    """
+    spark, limit = vectors.sparkSession, float(np.arccos(np.clip(threshold, -1.0, 1.0))) + 1e-6
+    rows = vectors.where("memory_id is not null and size(embedding) > 0").select(F.col("memory_id").cast("string").alias("memory_id"), F.col("embedding").cast("array<double>").alias("embedding")).distinct()
+    some = rows.orderBy(F.xxhash64("memory_id"), "memory_id").limit(n_pivots).collect()
+    pivots: dict[int, np.ndarray] = {}
+    for dims in {len(r["embedding"]) for r in some}:
+        p = np.array([r["embedding"] for r in some if len(r["embedding"]) == dims], np.float64)
+        norm = np.linalg.norm(p, axis=1)
+        if (norm > 0).any():
+            pivots[dims] = p[norm > 0] / norm[norm > 0, None]
+
+    def unit(values: list) -> np.ndarray:
+        m = np.array(values, np.float64)
+        norm = np.linalg.norm(m, axis=1, keepdims=True)
+        return m / np.where(norm > 0, norm, 1.0)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column("embedding").to_pylist()
+            g = np.zeros(len(values), np.int32)
+            for dims, p in pivots.items():
+                own = [i for i, v in enumerate(values) if len(v) == dims]
+                if own:
+                    g[own] = (unit([values[i] for i in own]) @ p.T).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(g)], ["memory_id", "embedding", "g"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list] = {}
+
+        def row(key: tuple[int, int]) -> pa.RecordBatch:
+            own, (dims, g) = sorted(held.pop(key), key=lambda x: x[0]), key
+            m, p = unit([v for _, v in own]), pivots.get(dims)
+            # the cone around the pivot, and the pivot's angles to all; without pivots every two meet
+            far = [np.pi] if p is None else np.arccos(np.clip(m @ p[g], -1.0, 1.0))
+            to = [0.0] if p is None else np.arccos(np.clip(p @ p[g], -1.0, 1.0))
+            return pa.RecordBatch.from_arrays([pa.array([[x for x, _ in own]], pa.list_(pa.string())), pa.array([dims], pa.int32()), pa.array([g], pa.int32()), pa.array([m.tobytes()], pa.binary()), pa.array([float(np.max(far))]), pa.array([list(map(float, to))], pa.list_(pa.float64()))], ["names", "dims", "g", "m", "radius", "to"])
+
+        for batch in batches:
+            for x, v, g in zip(*(batch.column(c).to_pylist() for c in ("memory_id", "embedding", "g")), strict=True):
+                own = held.setdefault((len(v), g), [])
+                own.append((x, v))
+                if len(own) == block:
+                    yield row((len(v), g))
+        for key in list(held):
+            yield row(key)
+
+    dealt = rows.mapInArrow(nearest, "memory_id string, embedding array<double>, g int").repartition("g", F.pmod(F.xxhash64("memory_id"), F.lit(8)))
+    blocks = stored(dealt.mapInArrow(packed, "names array<string>, dims int, g int, m binary, radius double, to array<double>")).withColumn("b", F.xxhash64("names", "m"))
+    side = max(1, min(blocks.count(), int(np.ceil(np.sqrt(int(spark.conf.get("spark.sql.shuffle.partitions")))))))
+    own, every = F.pmod("b", F.lit(side)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    left = blocks.withColumn("x", own).withColumn("y", every)
+    right = blocks.select("dims", *(F.col(c).alias(f"{c}_b") for c in ("names", "g", "m", "radius", "b")), own.alias("y")).withColumn("x", every)
+    near = (F.col("b") <= F.col("b_b")) & (F.get("to", F.col("g_b")) <= F.col("radius") + F.col("radius_b") + limit)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one, two, dims = (batch.column(c)[i].as_py() for c in ("names", "names_b", "dims"))
+                a, b = (np.frombuffer(batch.column(c)[i].as_py(), np.float64).reshape(-1, dims) for c in ("m", "m_b"))
+                score = np.round(a @ b.T, 12)
+                hit = score >= threshold
+                row, col = np.nonzero(np.triu(hit, 1) if one == two else hit)
+                pairs = [sorted((one[r], two[c])) for r, c in zip(row.tolist(), col.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string()), pa.array(score[row, col])], ["a", "b", "cosine"])
+
+    met = left.join(right, ["x", "y", "dims"]).where(near).select("names", "m", "names_b", "m_b", "dims")
+    found = met.mapInArrow(run, "a string, b string, cosine double")
+    return found.where("a <> b").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+
+
 def ranked(df: DataFrame, score: str, by: str = "memory_id", into: str = "rank") -> DataFrame:
     """Rank inside each query, highest first, ties by id; NaN last."""
     w = Window.partitionBy("query_id").orderBy(F.isnan(score), F.col(score).desc(), by)

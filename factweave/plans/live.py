@@ -50,10 +50,23 @@ def k7(v):
     return P.resolve_principal(agents, known)
 
 
-@query("k10_drain_outbox", "SELECT event_id AS notice_id FROM events WHERE user_id = 7 AND event_id % 2 = 0 ORDER BY ts, event_id LIMIT 20")
-def k10(v):
+_SENT = "SELECT event_id AS notice_id FROM events WHERE user_id = 7 AND event_id % 2 = 0 ORDER BY ts, event_id LIMIT 20"
+
+
+def _drained(v):
     rows = v.table("events").select(F.col("event_id").alias("notice_id"), F.col("user_id").cast("string").alias("user_id"), F.col("ts").alias("created_at"), (F.col("event_id") % 2).cast("int").alias("delivered"))
-    return P.drain_outbox(rows, "7", 20)[0].select("notice_id")
+    return P.drain_outbox(rows, "7", 20)
+
+
+@query("k10_drain_outbox", _SENT)
+def k10(v):
+    return _drained(v)[0].select("notice_id")
+
+
+@query("k10_outbox_after", "SELECT event_id AS notice_id, CASE WHEN event_id % 2 = 1 OR event_id IN (SELECT notice_id FROM sent) THEN 1 ELSE 0 END AS delivered FROM events", {"sent": _SENT})
+def k10_after(v):
+    """The whole outbox, with what was drained marked."""
+    return _drained(v)[1].select("notice_id", "delivered")
 
 
 @query("k11_activity_windows", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

@@ -92,10 +92,36 @@ def g7(v):
     return W.escalate(_full(v)).select("new_id", "reason", "deferred")
 
 
-@query("g8_apply_decisions", f"""SELECT new_id AS src, target AS dst, CASE WHEN deferred THEN 'charter_deferred' ELSE 'contradict_' || memory_type END AS strategy, 0 AS resolved FROM (SELECT *, ({_REASON}) IS NOT NULL AND operation IN ('UPDATE', 'SUPERSEDE', 'DELETE') AS deferred FROM whole) WHERE deferred OR operation = 'CONTRADICT'""", _FULL)
+_DONE = _FULL | {
+    "esc": f"SELECT *, ({_REASON}) IS NOT NULL AND operation IN ('UPDATE', 'SUPERSEDE', 'DELETE') AS deferred FROM whole",
+    "acted": "SELECT *, CASE WHEN deferred THEN 'DEFER' WHEN operation = 'DELETE' THEN 'SUPERSEDE' ELSE operation END AS op FROM esc",
+}
+
+
+def _applied(v):
+    return W.apply_decisions(W.escalate(_full(v)), v.memories)
+
+
+@query("g8_apply_decisions", "SELECT new_id AS src, target AS dst, CASE WHEN op = 'DEFER' THEN 'charter_deferred' ELSE 'contradict_' || memory_type END AS strategy, 0 AS resolved FROM acted WHERE op IN ('DEFER', 'CONTRADICT')", _DONE)
 def g8(v):
-    """The disputes that decisions open; the other rows are held to rules in the tests."""
-    return W.apply_decisions(W.escalate(_full(v)), v.memories)["contradicts"]
+    """The disputes that decisions open."""
+    return _applied(v)["contradicts"]
+
+
+@query("g8_facts", "SELECT m.memory_id, coalesce(u.content, m.content) AS content, m.user_id, m.memory_type FROM memories m LEFT JOIN (SELECT target, arg_max(content, new_id) AS content FROM acted WHERE op = 'UPDATE' GROUP BY target) u ON u.target = m.memory_id UNION ALL SELECT a.new_id, a.content, f.user_id, a.memory_type FROM acted a JOIN fresh_rows f USING (new_id) WHERE op IN ('ADD', 'SUPERSEDE', 'CONTRADICT', 'DEFER')", _DONE)
+def g8_facts(v):
+    """All facts after the decisions: rewritten in place, and added."""
+    return _applied(v)["facts"]
+
+
+@query("g8_supersedes", "SELECT new_id AS src, target AS dst FROM acted WHERE op = 'SUPERSEDE'", _DONE)
+def g8_supersedes(v):
+    return _applied(v)["supersedes"]
+
+
+@query("g8_history", "SELECT CASE WHEN op = 'UPDATE' THEN target ELSE new_id END AS memory_id, CASE WHEN op IN ('CONTRADICT', 'DEFER') THEN 'ADD' ELSE op END AS action FROM acted WHERE op <> 'NOOP'", _DONE)
+def g8_history(v):
+    return _applied(v)["history"].select("memory_id", "action")
 
 
 _VERD = {"verd": "SELECT a, b, (['entail', 'contradict', 'neutral'])[CAST((a * 31 + b * 17) % 3 AS INTEGER) + 1] AS label, 0.5 + CAST((a + b) % 50 AS DOUBLE) / 100 AS probability FROM (SELECT doc_id AS a, doc_id + k AS b FROM memories CROSS JOIN (SELECT unnest([1, 7]) AS k) UNION ALL SELECT doc_id + k, doc_id FROM memories CROSS JOIN (SELECT unnest([1, 7]) AS k))"}
@@ -135,6 +161,15 @@ def g15(v):
     return W.link_entities(mentions, known)[0]
 
 
+@query("g15_new_entities", "SELECT DISTINCT 'ent_' || left(sha256('name ' || (doc_id % 97)), 16) AS entity_id, 'name ' || (doc_id % 97) AS name FROM memories WHERE doc_id % 97 BETWEEN 30 AND 59")
+def g15_new(v):
+    """Half of the names are known; the rest become entities."""
+    name = lambda form: F.concat(F.lit(form), F.col("doc_id") % 97)
+    mentions = v.memories.where(F.col("doc_id") % 97 < 60).select("memory_id", F.concat(name("  Name "), F.lit(" ")).alias("name"))
+    known = v.memories.where(F.col("doc_id") % 97 < 30).select((F.col("doc_id") % 97).alias("entity_id"), name("NAME ").alias("name")).distinct()
+    return W.link_entities(mentions, known)[1]
+
+
 @query("g17_open_contradictions", "SELECT src, dst, strategy FROM contradicts WHERE resolved = 0 AND src IN (SELECT memory_id FROM holders WHERE user_id = 'src2')")
 def g17(v):
     return W.open_contradictions(v.contradicts, v.holders, "src2").select("src", "dst", "strategy")
@@ -175,10 +210,25 @@ def g23(v):
     return W.add_edges(one.unionByName(two), v.edges)
 
 
-@query("g24_resolve_disputes", "SELECT src, dst, CASE WHEN resolved = 0 AND CAST(substr(src, 5) AS BIGINT) % 3 = 0 THEN 'owner_retract' ELSE strategy END AS strategy, CASE WHEN CAST(substr(src, 5) AS BIGINT) % 3 = 0 THEN 1 ELSE resolved END AS resolved FROM contradicts")
+_OWNER = {"said": "SELECT src, min(verdict) AS verdict FROM (SELECT src, CASE CAST(substr(src, 5) AS BIGINT) % 3 WHEN 0 THEN 'retract' ELSE 'keep_both' END AS verdict FROM contradicts WHERE resolved = 0 AND CAST(substr(src, 5) AS BIGINT) % 3 < 2) GROUP BY src"}
+
+
+def _resolved(v):
+    """Owners retract every third of their disputed facts, keep both of the next, and say nothing of the last."""
+    k = F.substring("src", 5, 20).cast("long") % 3
+    said = v.contradicts.where((F.col("resolved") == 0) & (k < 2)).select("src", "dst", F.when(k == 0, "retract").otherwise("keep_both").alias("verdict"))
+    return W.resolve_disputes(said, v.contradicts)
+
+
+@query("g24_resolve_disputes", "SELECT c.src, c.dst, CASE WHEN c.resolved = 0 AND s.verdict IS NOT NULL THEN 'owner_' || s.verdict ELSE c.strategy END AS strategy, CASE WHEN s.verdict IS NOT NULL THEN 1 ELSE c.resolved END AS resolved FROM contradicts c LEFT JOIN said s ON s.src = c.src", _OWNER)
 def g24(v):
-    said = v.contradicts.where((F.col("resolved") == 0) & (F.substring("src", 5, 20).cast("long") % 3 == 0)).select("src", "dst", F.lit("retract").alias("verdict"))
-    return W.resolve_disputes(said, v.contradicts)[0]
+    return _resolved(v)[0]
+
+
+@query("g24_retractions", "SELECT DISTINCT src, dst FROM contradicts WHERE resolved = 0 AND CAST(substr(src, 5) AS BIGINT) % 3 = 0")
+def g24_retractions(v):
+    """What a retraction supersedes."""
+    return _resolved(v)[1]
 
 
 @query("g26_fork_updates", "SELECT memory_id AS target, CASE WHEN (SELECT string_agg(h.group_id, ',' ORDER BY h.group_id) FROM groups h WHERE h.dedup_group_id = g.dedup_group_id) IS NOT DISTINCT FROM m.group_id THEN 'UPDATE' ELSE 'SUPERSEDE' END AS operation FROM memory_groups m JOIN groups g ON g.group_id = m.group_id WHERE g.dedup_group_id IS NOT NULL")
