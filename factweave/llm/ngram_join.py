@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from factweave.functions.storage import cut, stored
+from factweave.functions.storage import cut, released, stored
 from factweave.llm.shingles import set_print, shingle_sets
 from factweave.llm.textkit import blocks
 from factweave.operators.components import connected_components
@@ -275,7 +275,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     pairs = cut(near_by_bitmap(pairs, classes))
     found = overlaps(pairs, classes, docs)
     linked = 100 * F.col("both") >= PERCENT * (F.col("na") + F.col("nb") - F.col("both"))
-    return cut(pairs.join(found, ["a", "b"]).where(linked).select("a", "b"))
+    return released(pairs.join(found, ["a", "b"]).where(linked).select("a", "b"))
 
 
 def bits_allow(na: Column, short: list[Column], nb: Column, short_b: list[Column]) -> Column:
