@@ -92,6 +92,65 @@ def personalized_pagerank(ego: DataFrame, seeds: DataFrame, alpha: float = 0.6,
     return edges.unionByName(starts).groupBy("query_id").applyInPandas(run, "query_id long, memory_id string, ppr double")
 
 
+def pagerank(walk: DataFrame, restart: DataFrame, alpha: float = 0.6, iterations: int = 20, eps: float = 1e-9, hot: int = 100_000) -> DataFrame:
+    """E5 over the whole graph: ``memory_id, ppr`` of all nodes of ``walk`` (src, dst, weight) and of ``restart`` (node, score).
+
+    The rules are those of ``personalized_pagerank``; one table holds the graph and no node is a group. Edges are dealt by
+    their source once, a source of many edges in parts of ``hot``; a round sends the ranks to them and sums what comes
+    back. The mass of nodes without a way on is one sum a round, and each round is written.
+    """
+    w = walk.where("src is not null and dst is not null and weight > 0").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").cast("double").alias("w"))
+    home = restart.groupBy(F.col("node").alias("a")).agg(F.sum(F.greatest(F.col("score"), F.lit(0.01))).alias("r"))
+    whole = home.agg(F.sum("r")).first()[0]
+    if not whole:
+        return home.select(F.col("a").alias("memory_id"), F.lit(0.0).alias("ppr")).limit(0)
+    out = w.groupBy("a").agg(F.sum("w").alias("out"), F.ceil(F.count("*") / hot).cast("int").alias("parts"))
+    every = w.select("a").unionByName(w.select(F.col("b").alias("a"))).unionByName(walk.select(F.explode(F.array("src", "dst")).alias("a")).where("a is not null")).unionByName(home.select("a")).distinct()
+    nodes = cut(every.join(home, "a", "left").join(out, "a", "left").select("a", F.coalesce(F.col("r") / whole, F.lit(0.0)).alias("r"), "out", F.coalesce("parts", F.lit(0)).alias("parts")))
+    edges = cut(w.join(nodes.select("a", "out", "parts"), "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b", (F.col("w") / F.col("out")).alias("w")).repartition("a", "part"))
+    p = cut(nodes.select("a", "r", "parts", F.col("r").alias("p")))
+    for _ in range(iterations):
+        lost = p.where("parts = 0").agg(F.coalesce(F.sum("p"), F.lit(0.0))).first()[0]
+        sent = p.where("parts > 0 and p > 0").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "p")
+        come = sent.join(edges, ["a", "part"]).groupBy(F.col("b").alias("a")).agg(F.sum(F.col("p") * F.col("w")).alias("c"))
+        new = (1 - alpha) * F.col("r") + alpha * (F.coalesce("c", F.lit(0.0)) + lost * F.col("r"))
+        step = cut(p.withColumnRenamed("p", "old").join(come, "a", "left").select("a", "r", "parts", "old", new.alias("p")))
+        p = step.drop("old")
+        if step.agg(F.sum(F.abs(F.col("p") - F.col("old")))).first()[0] < eps:
+            break
+    most = p.agg(F.max("p")).first()[0]
+    return p.select(F.col("a").alias("memory_id"), (F.col("p") / most).alias("ppr"))
+
+
+# fixed values: how much of a fact's relevance its edges pass on, along them and against them
+PASSED_ON = {"IMPLIES": (0.9, 0.8), "BECAUSE": (0.95, 0.85)}
+PASSED_ON_ELSE = (0.7, 0.6)
+
+
+def spread(seeds: DataFrame, edges: DataFrame, levels: int = 2) -> DataFrame:
+    """``query_id, memory_id, graph_part``: the facts that ``seeds`` (query_id, memory_id) lead to, with the best product of weights.
+
+    Contradictions lead nowhere. Seeds are not among the results. Level by level the best value of each fact goes on if it
+    is better than before, so a hub is one row a query.
+    """
+    kind = F.col("edge_type")
+    way = lambda k: _of(kind, {t: x[k] for t, x in PASSED_ON.items()}, PASSED_ON_ELSE[k])
+    own = edges.where("edge_type <> 'CONTRADICTS'")
+    walk = own.select("src", "dst", way(0).alias("w")).unionByName(own.select(F.col("dst").alias("src"), F.col("src").alias("dst"), way(1).alias("w"))).groupBy("src", "dst").agg(F.max("w").alias("w"))
+    start = cut(seeds.select("query_id", "memory_id").distinct())
+    front, found = start.withColumn("v", F.lit(1.0)), None
+    for _ in range(levels):
+        met = front.join(walk, front["memory_id"] == walk["src"]).groupBy("query_id", F.col("dst").alias("memory_id")).agg(F.max(F.round(F.col("v") * F.col("w"), 12)).alias("v"))
+        met = met.join(start, ["query_id", "memory_id"], "left_anti")
+        if found is None:
+            front = found = cut(met)
+            continue
+        both = cut(met.join(found.withColumnRenamed("v", "old"), ["query_id", "memory_id"], "full"))
+        front = both.where("v is not null and (old is null or v > old)").select("query_id", "memory_id", "v")
+        found = both.select("query_id", "memory_id", F.greatest("v", "old").alias("v"))
+    return found.withColumnRenamed("v", "graph_part")
+
+
 def connect(pairs: DataFrame, walk: DataFrame, max_depth: int) -> DataFrame:
     """``pair_id, path, hops, confidence, shared_seed``: a shortest path between two sets of nodes.
 

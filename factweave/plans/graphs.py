@@ -60,6 +60,26 @@ def e5(v):
     return G.personalized_pagerank(_ego(v, _starts(v)), _starts(v)).withColumn("ppr", F.round("ppr", 6))
 
 
+def _rounds(n: int, alpha: float = 0.6) -> dict[str, str]:
+    """The walk of all edges and ``n`` rounds over it; every twentieth fact is a home."""
+    out = _WALK | {
+        "home": "SELECT memory_id AS a, 1.0 / count(*) OVER () AS r FROM memories WHERE doc_id % 20 = 0",
+        "ways": "SELECT src AS a, dst AS b, weight / sum(weight) OVER (PARTITION BY src) AS w FROM walk WHERE weight > 0",
+        "points": "SELECT a, coalesce(max(r), 0) AS r, a NOT IN (SELECT a FROM ways) AS ends FROM (SELECT a, r FROM home UNION ALL SELECT src, NULL FROM walk UNION ALL SELECT dst, NULL FROM walk) GROUP BY a",
+        "p0": "SELECT a, r, ends, r AS p FROM points",
+    }
+    for k in range(n):
+        out[f"p{k + 1}"] = f"SELECT x.a, x.r, x.ends, {1 - alpha} * x.r + {alpha} * (coalesce(c.c, 0) + (SELECT coalesce(sum(p), 0) FROM p{k} WHERE ends) * x.r) AS p FROM p{k} x LEFT JOIN (SELECT b AS a, sum(y.p * w) AS c FROM p{k} y JOIN ways USING (a) GROUP BY b) c ON c.a = x.a"
+    return out
+
+
+@query("e5_pagerank_of_all", "SELECT a AS memory_id, round(p / (SELECT max(p) FROM p4), 6) AS ppr FROM p4", _rounds(4))
+def e5_all(v):
+    """The whole graph, four rounds; the homes are every twentieth fact."""
+    home = v.memories.where("doc_id % 20 = 0").select(F.col("memory_id").alias("node"), F.lit(1.0).alias("score"))
+    return G.pagerank(G.walk_edges(v.edges), home, iterations=4, eps=0.0).withColumn("ppr", F.round("ppr", 6))
+
+
 @query("e6_connect")
 def e6(v):
     """Each start with the fact seven further."""

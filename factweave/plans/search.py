@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions.text import map_to_concepts, query_concepts, query_tags
 from factweave.functions.times import event_time, freshness
-from factweave.operators import counts as C, rank as R
+from factweave.operators import counts as C, graph as G, rank as R
 from factweave.plans.registry import query
 from factweave.plans.texts import tokens_sql
 from factweave.sources.views import AS_OF
@@ -177,13 +177,29 @@ def d18(v):
     return rows.select("query_id", "memory_id", F.round(R.concept_overlap(F.col("asked"), F.col("held")), 6).alias("concepts"), F.round(R.tag_overlap(F.col("tags"), F.col("content")), 6).alias("tags"))
 
 
+_PASSED = _VEC | {
+    "first": "SELECT query_id, memory_id FROM near WHERE rank <= 5",
+    "passed0": "SELECT src, dst, CASE edge_type WHEN 'IMPLIES' THEN 0.9 WHEN 'BECAUSE' THEN 0.95 ELSE 0.7 END AS w FROM edges WHERE edge_type <> 'CONTRADICTS' UNION ALL SELECT dst, src, CASE edge_type WHEN 'IMPLIES' THEN 0.8 WHEN 'BECAUSE' THEN 0.85 ELSE 0.6 END FROM edges WHERE edge_type <> 'CONTRADICTS'",
+    "once": "SELECT f.query_id, p.dst AS memory_id, max(CAST(w AS DOUBLE)) AS v FROM first f JOIN passed0 p ON p.src = f.memory_id WHERE NOT EXISTS (SELECT 1 FROM first s WHERE s.query_id = f.query_id AND s.memory_id = p.dst) GROUP BY ALL",
+    "twice": "SELECT f.query_id, p.dst AS memory_id, max(f.v * p.w) AS v FROM once f JOIN passed0 p ON p.src = f.memory_id WHERE NOT EXISTS (SELECT 1 FROM first s WHERE s.query_id = f.query_id AND s.memory_id = p.dst) GROUP BY ALL",
+}
+
+
+@query("d17_graph_part", "SELECT query_id, memory_id, round(max(v), 6) AS graph_part FROM (SELECT * FROM once UNION ALL SELECT * FROM twice) GROUP BY ALL", _PASSED)
+def d17_graph(v):
+    """What the five nearest of each search lead to in two levels."""
+    return _six(G.spread(_near(v, 5), v.edges), "query_id", "memory_id", "graph_part")
+
+
 @query("d17_onto_search")
 def d17(v):
-    """The five-signal blend in contextual mode over the fused seeds."""
+    """The five-signal blend in contextual mode over the fused seeds and what their edges lead to; the latter have a vector part of one half."""
     asked = v.queries.select("query_id", query_concepts("text").alias("asked"), query_tags("text").alias("tags"))
-    held = v.memories.select("memory_id", "content", F.transform(map_to_concepts("content", "memory_type"), lambda c: c["concept"]).alias("held"))
-    rows = _seeds(v).join(asked, "query_id").join(held, "memory_id")
-    parts = rows.select("query_id", "memory_id", F.col("semantic").alias("vector_part"), R.concept_overlap(F.col("asked"), F.col("held"), 0.3).alias("concept_part"), R.tag_overlap(F.col("tags"), F.col("content")).alias("tag_part"), F.lit(0.0).alias("graph_part"), F.col("fresh").alias("time_part"))
+    held = v.memories.select("memory_id", "content", F.transform(map_to_concepts("content", "memory_type"), lambda c: c["concept"]).alias("held"), freshness(event_time(), 30.0, AS_OF).alias("held_fresh"))
+    seeds = _seeds(v).select("query_id", "memory_id", F.col("semantic").alias("vector_part"), F.lit(0.0).alias("graph_part"), F.col("fresh").alias("time_part"))
+    led = G.spread(seeds, v.edges).select("query_id", "memory_id", F.lit(0.5).alias("vector_part"), "graph_part", F.lit(None).cast("double").alias("time_part"))
+    rows = seeds.unionByName(led).join(asked, "query_id").join(held, "memory_id")
+    parts = rows.select("query_id", "memory_id", "vector_part", R.concept_overlap(F.col("asked"), F.col("held"), 0.3).alias("concept_part"), R.tag_overlap(F.col("tags"), F.col("content")).alias("tag_part"), "graph_part", F.coalesce("time_part", "held_fresh").alias("time_part"))
     return _six(R.onto_blend(parts, (0.3, 0.4, 0.15, 0.05, 0.1), 0.2), "query_id", "memory_id", "score", "rank")
 
 
