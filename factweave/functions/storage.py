@@ -46,3 +46,19 @@ def released(df: DataFrame) -> DataFrame:
     gc.collect()
     out.sparkSession.sparkContext._jvm.System.gc()
     return out
+
+
+def _at(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _at(spark, path)
+    return fs.exists(at)
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """Make an empty file."""
+    fs, at = _at(spark, path)
+    fs.create(at, True).close()

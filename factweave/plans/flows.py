@@ -217,11 +217,16 @@ _AGING = {
 }
 
 
-def _aging(v, most):
+def _aged(v):
+    """The facts with one in ten a hypothesis, and what these were made from."""
     d = F.col("doc_id")
     rows = v.memories.withColumn("content", F.when(d % 10 == 3, F.concat(F.lit(_LABEL), F.substring("content", 1, 200))).otherwise(F.col("content"))).withColumn("user_id", F.when(d % 10 == 3, "system").otherwise(F.col("user_id")))
     seen = v.memories.where((d % 10 == 3) & (d % 9 > 0)).select(F.col("memory_id").alias("insight_id"), F.explode(F.sequence(d + 1, d + d % 9)).alias("w")).select("insight_id", _mem(F.col("w")).alias("witness_id"))
-    return W.aging_hypotheses(rows, seen, "2024-07-01 00:00:00", most)
+    return rows, seen
+
+
+def _aging(v, most):
+    return W.aging_hypotheses(*_aged(v), "2024-07-01 00:00:00", most)
 
 
 @query("g21_aging_hypotheses", "SELECT memory_id, coalesce(witnesses, '') AS witnesses, action FROM acted ORDER BY created_at, memory_id LIMIT 3", _AGING)
@@ -274,14 +279,25 @@ def i10(v):
     return M.stitch(pairs, _said(pairs))
 
 
-@query("i12_insight_pass")
-def i12(v):
-    """How many rows each step of a pass leaves."""
+def _pass(v, stages):
+    """The pass over the tables; the bar is what the upper tenth of pairs passes."""
+    d = F.col("doc_id")
     pairs = M.shared_entity_pairs(v.memories, v.entities, G.neighbour_sets(v.edges)).select("a", "b")
-    pmi = M.category_pmi(v.tags, v.tags.select("memory_id").distinct().count())
-    bar = pmi.agg(F.percentile("pmi", 0.9)).first()[0]
+    bar = M.category_pmi(v.tags, v.memories.count()).agg(F.percentile("pmi", 0.9)).first()[0]
     known = v.memories.where("doc_id % 20 = 0").select("content_key", F.lit("it may hold via the chain x -> y. Found by chance").alias("text"))
-    made = X.insight_pass(v.memories, v.tags, v.entities, v.edges, _said(pairs), known, v.tags.select("memory_id").distinct().count(), bar, 5, 1, -10.0)
+    facts = v.vectors.select(F.col("vec_id").alias("query_id"), "embedding")
+    near = R.vector_within(facts, v.vectors.where("vec_id % 25 = 3").select("memory_id", "embedding"), 0.25, 0.07)
+    rows, seen = _aged(v)
+    verdict = F.when(d % 3 == 0, "promote").when(d % 3 == 1, "retire").otherwise("unclear")
+    review = v.memories.select("memory_id", verdict.alias("verdict"), F.concat(F.lit("seen by "), "user_id").alias("reason"))
+    return X.insight_pass(stages, rows, v.tags, v.entities, v.edges, _said(pairs), known, near, seen, review, "2024-07-01 00:00:00", bar, 0.25, 5, 1, -10.0)
+
+
+@query("i12_insight_pass")
+def i12(v):
+    """How many rows each stage of a pass leaves."""
+    stages = X.Stages(v.spark, _folder(v))
+    made = _pass(v, stages)
     return S.census([("pass", name, df, "active") for name, df in made.items()]).select("name", "n")
 
 
