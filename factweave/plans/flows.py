@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions.storage import checkpoint_dir
 from factweave.functions.times import parse_time_bound
-from factweave.operators import counts as C, flows as X, graph as G, mine as M, rank as R, write as W
+from factweave.operators import access as A, counts as C, flows as X, graph as G, mine as M, rank as R, write as W
 from factweave.plans.live import _STREAK
 from factweave.plans.registry import query
 from factweave.plans.search import _VEC, _near, _six
@@ -60,7 +60,8 @@ def b2(v):
 def _asked(v):
     """The vector searches with the text of their fact; every other one for its owner's facts only."""
     own = v.memories.select(F.col("doc_id").alias("query_id"), F.col("content").alias("text"), F.col("user_id").alias("owner"))
-    return v.vector_queries.join(own, "query_id").select("query_id", "embedding", "text", F.when(F.col("query_id") % 40 == 0, F.col("owner")).alias("user"))
+    actor = F.concat(F.lit("u"), F.col("query_id") % 60 + 1)
+    return v.vector_queries.join(own, "query_id").select("query_id", "embedding", "text", F.when(F.col("query_id") % 40 == 0, F.col("owner")).alias("user"), actor.alias("actor"))
 
 
 def _part_of(v):
@@ -74,8 +75,10 @@ def _recall(v, **options):
 
 @query("d16_recall")
 def d16(v):
-    """The whole read path over one period."""
-    return _six(_recall(v, since="2024-02-01", until="2024-10-31"), "query_id", "memory_id", "origin", "score", "flashback", "superseded_by", "folded", "user_count", "rank")
+    """The whole read path over one period, as one customer after the other may see it."""
+    readable = A.readable_groups(A.active_bindings(v.assignments))
+    found = _recall(v, since="2024-02-01", until="2024-10-31", readable=readable, memory_groups=v.memory_groups, holders=v.holders, contradicts=v.contradicts)
+    return _six(found, "query_id", "memory_id", "origin", "score", "flashback", "superseded_by", "folded", "user_count", "stances", "against", "rank")
 
 
 @query("d21_retrieve", """SELECT n.query_id, n.memory_id, n.rank, coalesce(m.content, '') AS text,

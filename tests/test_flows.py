@@ -64,8 +64,30 @@ def test_recall_keeps_to_owner_period_and_visibility(spark, corpus):
     assert {r.memory_id for r in seen.collect()} <= {"m00", "m11"}
 
 
+def test_recall_tells_stances_controversy_and_order(spark, corpus):
+    """Everyone's rows have the stances and a contradicting fact; an owner's have neither, and flashbacks behind; an actor of no group sees nothing."""
+    holders = spark.createDataFrame([("ann", "m00", "knows"), ("bob", "m00", ""), ("cat", "m00", "disputes")], "user_id string, memory_id string, stance string")
+    contradicts = spark.createDataFrame([("m00", "m01", 0, "factual"), ("m02", "m00", 0, "factual"), ("copy", "m02", 0, "taste")], "src string, dst string, resolved int, strategy string")
+    owner = {r.memory_id: r.user_id for r in corpus[0].collect()}
+    found = X.recall(asked(spark), *corpus, "2024-12-31 00:00:00", mode="full", limit=6, holders=holders, contradicts=contradicts).where("query_id = 0").collect()
+    top = next(r for r in found if r.memory_id in ("m00", "copy"))
+    assert (top.stances, top.against) == (("disputes:1,knows:2", "m01") if top.memory_id == "m00" else (None, None)) and all(r.against is None or owner[r.against] != owner[r.memory_id] for r in found)
+    own = X.recall(asked(spark, "ann"), *corpus, "2024-12-31 00:00:00", mode="full", limit=4, since="2024-04-01", holders=holders, contradicts=contradicts).collect()
+    assert all(r.stances is None and r.against is None for r in own)
+    for q in range(8):
+        flags = [r.flashback for r in sorted((r for r in own if r.query_id == q), key=lambda r: r.rank)]
+        assert flags == sorted(flags)
+    groups = spark.createDataFrame([("m00", "g1"), ("m11", "g1"), ("m21", "g2")], "memory_id string, group_id string")
+    readable = spark.createDataFrame([("eve", "g1", False), ("root", None, True)], "actor string, group_id string, unrestricted boolean")
+    for actor, want in (("eve", lambda ids: ids <= {"m00", "m11"}), ("root", lambda ids: len(ids) > 8), ("nobody", lambda ids: not ids)):
+        as_one = asked(spark).withColumn("actor", F.lit(actor))
+        assert want({r.memory_id for r in X.recall(as_one, *corpus, "2024-12-31 00:00:00", mode="full", limit=6, readable=readable, memory_groups=groups).collect()})
+
+
 def test_recall_of_the_tables_has_each_fact_once(spark):
-    rows = registry.queries()["d16_recall"](spark, DATA).collect()
+    rows = flows._recall(Views(spark, DATA), since="2024-02-01", until="2024-10-31").collect()
+    seen = registry.queries()["d16_recall"](spark, DATA).collect()
+    assert {(r.query_id, r.memory_id) for r in seen} <= {(r.query_id, r.memory_id) for r in rows}
     assert rows and len({(r.query_id, r.memory_id) for r in rows}) == len(rows)
     by = {}
     for r in rows:
