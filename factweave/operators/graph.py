@@ -95,9 +95,9 @@ def personalized_pagerank(ego: DataFrame, seeds: DataFrame, alpha: float = 0.6,
 def pagerank(walk: DataFrame, restart: DataFrame, alpha: float = 0.6, iterations: int = 20, eps: float = 1e-9, hot: int = 100_000) -> DataFrame:
     """E5 over the whole graph: ``memory_id, ppr`` of all nodes of ``walk`` (src, dst, weight) and of ``restart`` (node, score).
 
-    The rules are those of ``personalized_pagerank``; one table holds the graph and no node is a group. Edges are dealt by
-    their source once, a source of many edges in parts of ``hot``; a round sends the ranks to them and sums what comes
-    back. The mass of nodes without a way on is one sum a round, and each round is written.
+    The rules are those of ``personalized_pagerank``; one table holds the graph and no node is a group. Edges meet the
+    ranks by their source, a source of many edges in parts of ``hot``, and what comes back is summed before the shuffle.
+    The mass of nodes without a way on is one sum a round, and each round is written.
     """
     w = walk.where("src is not null and dst is not null and weight > 0").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").cast("double").alias("w"))
     home = restart.groupBy(F.col("node").alias("a")).agg(F.sum(F.greatest(F.col("score"), F.lit(0.01))).alias("r"))
@@ -107,7 +107,7 @@ def pagerank(walk: DataFrame, restart: DataFrame, alpha: float = 0.6, iterations
     out = w.groupBy("a").agg(F.sum("w").alias("out"), F.ceil(F.count("*") / hot).cast("int").alias("parts"))
     every = w.select("a").unionByName(w.select(F.col("b").alias("a"))).unionByName(walk.select(F.explode(F.array("src", "dst")).alias("a")).where("a is not null")).unionByName(home.select("a")).distinct()
     nodes = cut(every.join(home, "a", "left").join(out, "a", "left").select("a", F.coalesce(F.col("r") / whole, F.lit(0.0)).alias("r"), "out", F.coalesce("parts", F.lit(0)).alias("parts")))
-    edges = cut(w.join(nodes.select("a", "out", "parts"), "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b", (F.col("w") / F.col("out")).alias("w")).repartition("a", "part"))
+    edges = cut(w.join(nodes.select("a", "out", "parts"), "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b", (F.col("w") / F.col("out")).alias("w")))
     p = cut(nodes.select("a", "r", "parts", F.col("r").alias("p")))
     for _ in range(iterations):
         lost = p.where("parts = 0").agg(F.coalesce(F.sum("p"), F.lit(0.0))).first()[0]
