@@ -1,5 +1,7 @@
 """Small cases with results by hand."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,3 +137,19 @@ def test_stream_dedup_and_sink(spark, tmp_path):
     q = tables.notice_sink(P.stream_dedup(stream), str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_words_are_looked_for_once_in_all_atoms():
+    """Holding is holding as a part; repeats of a word count, texts do not run into each other, and long messages end soon."""
+    texts, words = ["the rain came", None, "rainy days", "", "ra", "in the rain rain", "a\0b"], ["rain", "rain", "came", "days", "ra\0in", "a\0b", "rai"]
+    assert atoms.held_words(texts, words).tolist() == [sum(w in (t or "") for w in words) for t in texts]
+    many = [f"some words about {k} and the rest of it" for k in range(5000)]
+    began = time.perf_counter()
+    assert max(atoms.held_words(many, [f"w{k}x" for k in range(5000)] + ["words"])) == 1
+    assert time.perf_counter() - began < 20
+
+
+def test_pick_cause_effect_of_several_clauses(spark):
+    a = spark.createDataFrame([("m", 0, "It rained hard"), ("m", 1, "the street was flooded"), ("m", 2, "it RAINED hard"), ("n", 0, "only one")], "message_id string, nth int, text string")
+    c = spark.createDataFrame([("m", "it rained", "the street flooded"), ("m", "nothing", "flooded"), ("n", "only", "one")], "message_id string, cause string, effect string")
+    assert [tuple(r) for r in atoms.pick_cause_effect(a, c).collect()] == [("m", 2, 1)]
