@@ -153,3 +153,9 @@ def test_pick_cause_effect_of_several_clauses(spark):
     a = spark.createDataFrame([("m", 0, "It rained hard"), ("m", 1, "the street was flooded"), ("m", 2, "it RAINED hard"), ("n", 0, "only one")], "message_id string, nth int, text string")
     c = spark.createDataFrame([("m", "it rained", "the street flooded"), ("m", "nothing", "flooded"), ("n", "only", "one")], "message_id string, cause string, effect string")
     assert [tuple(r) for r in atoms.pick_cause_effect(a, c).collect()] == [("m", 2, 1)]
+
+
+def test_concepts_lower_a_text_once(spark):
+    df = spark.createDataFrame([("I like it", "fact")], "content string, memory_type string")
+    made = df.select(T.map_to_concepts("content", "memory_type").alias("c"))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("lower(content") == 1
