@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from factweave.functions.storage import cut
 from factweave.functions.text import edge_strength
 from factweave.operators.components import connected_components
+from factweave.operators.paths import longest_in_net
 from factweave.schemas import EDGE_WEIGHTS, RELATION_DAMPING, RELATION_WEIGHT, REVERSE_DAMPING
 
 
@@ -30,9 +33,52 @@ def walk_edges(edges: DataFrame) -> DataFrame:
     return out.unionByName(back)
 
 
-def neighbours(frontier: DataFrame, walk: DataFrame) -> DataFrame:
-    """The edges that leave the nodes of a frontier (``query_id, node``)."""
-    return frontier.join(walk, frontier["node"] == walk["src"]).drop("src")
+def neighbours(frontier: DataFrame, walk: DataFrame, hot: int = 1000) -> DataFrame:
+    """The edges that leave the nodes of a frontier (``query_id, node``).
+
+    A node of more than ``hot`` edges meets its queries in cells of about ``hot`` edges by ``hot`` queries, so that no task
+    holds a whole hub.
+    """
+    wide = walk.groupBy(F.col("src").alias("node")).agg(F.ceil(F.count("*") / hot).cast("int").alias("parts")).where("parts > 1")
+    size = cut(frontier.join(wide, "node").groupBy("node", "parts").agg(F.ceil(F.count("*") / hot).cast("int").alias("shares")))
+    cells = size.agg(F.sum(F.col("parts") * F.col("shares"))).first()[0]
+    plain = lambda rows: rows.join(walk, rows["node"] == walk["src"]).drop("src")
+    if not cells:
+        return plain(frontier)
+    n = int(min(max(cells, int(walk.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 4000))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    keys = ["node", "part", "share"]
+    here = frontier.join(size, "node").withColumn("share", F.pmod(F.xxhash64("query_id"), "shares").cast("int")).withColumn("part", every("parts"))
+    away = walk.withColumnRenamed("src", "node").join(size, "node").withColumn("part", F.pmod(F.xxhash64("dst", "edge_type"), "parts").cast("int")).withColumn("share", every("shares"))
+    met = here.drop("parts", "shares").repartition(n, *keys).join(away.drop("parts", "shares").repartition(n, *keys), keys).drop("part", "share")
+    light = plain(frontier.join(size.select("node"), "node", "left_anti"))
+    return light.unionByName(met.select(*light.columns))
+
+
+def fronts(seeds: DataFrame, walk: DataFrame, depth: int, beam: int = 3) -> list[DataFrame]:
+    """The fronts ``query_id, node, score`` from which ``expand_beam`` takes its levels, written.
+
+    Of the edges of one weight of a node, which score alike, only so many go on, by the id they lead to, that the beam
+    is full even if all nodes visited are among them: a hub of many alike edges costs a query no more than another node.
+    """
+    front = cut(seeds.groupBy("query_id", "node").agg(F.max("score").alias("score")))
+    found, visited = [front], front.select("query_id", "node")
+    most = (front.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0) * sum(beam**k for k in range(max(depth - 1, 1)))
+    alike = Window.partitionBy("src", "weight").orderBy("dst")
+    few = walk.withColumn("_n", F.dense_rank().over(alike)).where(F.col("_n") <= beam + most).drop("_n")
+    few = cut(few) if depth > 1 else few
+    for _ in range(depth - 1):
+        fresh = neighbours(front, few).join(visited.withColumnRenamed("node", "dst"), ["query_id", "dst"], "left_anti").withColumn("graph_score", F.round(F.col("score") * F.col("weight"), 12))
+        w = Window.partitionBy("query_id", "node").orderBy(F.col("graph_score").desc(), "dst", "edge_type")
+        best = fresh.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= beam)
+        front = cut(best.groupBy("query_id", F.col("dst").alias("node")).agg(F.max("graph_score").alias("score")))
+        visited = visited.unionByName(front.select("query_id", "node"))
+        found.append(front)
+    return found
+
+
+def _once(walk: DataFrame) -> DataFrame:
+    return walk.groupBy("src", "dst", "edge_type").agg(F.max("weight").alias("weight"))
 
 
 def expand_beam(seeds: DataFrame, walk: DataFrame, depth: int, beam: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -40,24 +86,68 @@ def expand_beam(seeds: DataFrame, walk: DataFrame, depth: int, beam: int = 3) ->
 
     ``seeds`` has query_id, node, score. Level by level every child not yet visited is a row; only the best ``beam``
     children of each parent, by score and then id, go on, with their highest score. A hub's children are cut per parent
-    before the next join. Each level is checkpointed; a child may turn up again at a later level if no beam took it.
+    before the next join. Fronts are written, rows and edges are not: a node is in one front of a query at most, so they
+    need no shuffle. A child may turn up again at a later level if no beam took it.
     """
-    visited = cut(seeds.select("query_id", "node").distinct())
-    frontier = cut(seeds.groupBy("query_id", "node").agg(F.max("score").alias("score")))
-    rows, ego = [], []
-    for level in range(1, depth + 1):
-        met = cut(neighbours(frontier, walk))
-        ego.append(met.select("query_id", F.col("node").alias("parent"), F.col("dst").alias("child"), "edge_type", "weight"))
-        fresh = met.join(visited.withColumnRenamed("node", "dst"), ["query_id", "dst"], "left_anti").withColumn("graph_score", F.round(F.col("score") * F.col("weight"), 12))
-        found = fresh.select("query_id", F.col("dst").alias("memory_id"), F.col("node").alias("parent"), F.col("edge_type").alias("edge"), "graph_score", F.lit(level).alias("depth"))
-        rows.append(found)
-        w = Window.partitionBy("query_id", "parent").orderBy(F.col("graph_score").desc(), "memory_id", "edge")
-        best = found.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= beam)
-        frontier = cut(best.groupBy("query_id", F.col("memory_id").alias("node")).agg(F.max("graph_score").alias("score")))
-        visited = cut(visited.unionByName(frontier.select("query_id", "node")))
-    from functools import reduce
-
-    return reduce(DataFrame.unionByName, rows), reduce(DataFrame.unionByName, ego).groupBy("query_id", "parent", "child", "edge_type").agg(F.max("weight").alias("weight"))
+    levels, seen, rows, ego = fronts(seeds, walk, depth, beam), None, [], []
+    own = _once(walk)
+    for level, front in enumerate(levels, 1):
+        seen = front.select("query_id", "node") if seen is None else seen.unionByName(front.select("query_id", "node"))
+        visited = seen.groupBy("query_id").agg(F.collect_set("node").alias("seen"))
+        fresh = neighbours(cut(front.join(visited, "query_id")), walk).where(~F.array_contains("seen", F.col("dst")))
+        rows.append(fresh.select("query_id", F.col("dst").alias("memory_id"), F.col("node").alias("parent"), F.col("edge_type").alias("edge"), F.round(F.col("score") * F.col("weight"), 12).alias("graph_score"), F.lit(level).alias("depth")))
+        ego.append(front.select("query_id", "node"))
+    met = neighbours(reduce(DataFrame.unionByName, ego), own)
+    return reduce(DataFrame.unionByName, rows), met.select("query_id", F.col("node").alias("parent"), F.col("dst").alias("child"), "edge_type", "weight")
+
+
+def nets(seeds: DataFrame, walk: DataFrame, depth: int, size: int, beam: int = 3) -> DataFrame:
+    """The edges that ``expand_beam`` meets, by blocks of about ``size`` queries: ``block, query_id, parent, child, weight``.
+
+    A row without a child names a node of a query's fronts, with its score as weight where it is a seed; a row without
+    query_id is an edge of such a node, once for all queries of its block.
+    """
+    levels = fronts(seeds, walk, depth, beam)
+    none = F.lit(None).cast("string")
+    own = levels[0].select("query_id", "node", F.col("score").alias("weight"))
+    own = reduce(DataFrame.unionByName, [own, *(x.select("query_id", "node", F.lit(None).cast("double").alias("weight")) for x in levels[1:])])
+    blocks = max(1, -(-levels[0].select("query_id").distinct().count() // size))
+    own = cut(own.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), "query_id", F.col("node").alias("parent"), none.alias("child"), "weight"))
+    edges = neighbours(own.select(F.col("block").alias("query_id"), F.col("parent").alias("node")).distinct(), _once(walk))
+    return own.unionByName(edges.select(F.col("query_id").alias("block"), F.lit(None).cast("long").alias("query_id"), F.col("node").alias("parent"), F.col("dst").alias("child"), "weight"))
+
+
+class _Block:
+    """The rows of ``nets`` of one block: names in their order, and edges by parent and child."""
+
+    def __init__(self, pdf: pd.DataFrame, loops: bool):
+        edge = pdf.child.notna().to_numpy()
+        own, e = pdf[~edge], pdf[edge] if loops else pdf[edge & (pdf.parent != pdf.child).to_numpy()]
+        names, place = np.unique(np.concatenate([pdf.parent.to_numpy(object), e.child.to_numpy(object)]), return_inverse=True)
+        at = place[: len(pdf)]
+        a, b, w = at[e.index.to_numpy()], place[len(pdf) :], e.weight.to_numpy(float)
+        order = np.lexsort((w, b, a))
+        self.names, self.b, self.w = names, b[order], w[order]
+        self.first = np.searchsorted(a[order], np.arange(len(names) + 1))
+        query, node, score = own.query_id.to_numpy(np.int64), at[own.index.to_numpy()], own.weight.to_numpy(float)
+        by = np.argsort(query, kind="stable")
+        ends = np.flatnonzero(np.r_[True, np.diff(query[by]) != 0])
+        self.queries = [(int(query[k[0]]), node[k], score[k]) for k in np.split(by, ends[1:])] if len(by) else []
+
+
+def _ranks(names: np.ndarray, restart: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, alpha: float, iterations: int, eps: float) -> np.ndarray:
+    """The ranks of all names, of which ``a`` and ``b`` are places; the highest is 1."""
+    restart = restart / restart.sum()
+    out = np.bincount(a, weights=w, minlength=len(names))
+    w = w / out[a] if len(a) else w
+    p = restart.copy()
+    for _ in range(iterations):
+        walked = np.bincount(b, weights=p[a] * w, minlength=len(names)) if len(a) else np.zeros(len(names))
+        new = (1 - alpha) * restart + alpha * (walked + p[out == 0].sum() * restart)
+        done, p = np.abs(new - p).sum() < eps, new
+        if done:
+            break
+    return p / p.max()
 
 
 def personalized_pagerank(ego: DataFrame, seeds: DataFrame, alpha: float = 0.6, iterations: int = 20, eps: float = 1e-9) -> DataFrame:
@@ -65,6 +155,7 @@ def personalized_pagerank(ego: DataFrame, seeds: DataFrame, alpha: float = 0.6,
 
     alpha is the share that walks on. Weights are normalised per node, nodes without a way on give their mass back to
     the seeds, the highest value is 1. The net of a query is bounded by its expansion, so a query is one group.
+    ``net_pagerank`` is the same over the blocks of ``nets``.
     """
     edges = ego.select("query_id", F.col("parent").alias("a"), F.col("child").alias("b"), "weight")
     starts = seeds.select("query_id", F.col("node").alias("a"), F.lit(None).cast("string").alias("b"), F.greatest(F.col("score"), F.lit(0.01)).alias("weight"))
@@ -75,23 +166,35 @@ def personalized_pagerank(ego: DataFrame, seeds: DataFrame, alpha: float = 0.6,
         restart = np.bincount(np.searchsorted(names, home.a.to_numpy(str)), weights=home.weight, minlength=len(names))
         if restart.sum() <= 0:
             return pd.DataFrame({"query_id": [], "memory_id": [], "ppr": []})
-        restart = restart / restart.sum()
         e = e[e.weight > 0].sort_values(["a", "b"])
-        a, b, w = np.searchsorted(names, e.a.to_numpy(str)), np.searchsorted(names, e.b.to_numpy(str)), e.weight.to_numpy(float)
-        out = np.bincount(a, weights=w, minlength=len(names))
-        w = w / out[a] if len(a) else w
-        p = restart.copy()
-        for _ in range(iterations):
-            walked = np.bincount(b, weights=p[a] * w, minlength=len(names)) if len(a) else np.zeros(len(names))
-            new = (1 - alpha) * restart + alpha * (walked + p[out == 0].sum() * restart)
-            done, p = np.abs(new - p).sum() < eps, new
-            if done:
-                break
-        return pd.DataFrame({"query_id": pdf.query_id.iloc[0], "memory_id": names, "ppr": p / p.max()})
+        p = _ranks(names, restart, np.searchsorted(names, e.a.to_numpy(str)), np.searchsorted(names, e.b.to_numpy(str)), e.weight.to_numpy(float), alpha, iterations, eps)
+        return pd.DataFrame({"query_id": pdf.query_id.iloc[0], "memory_id": names, "ppr": p})
 
     return edges.unionByName(starts).groupBy("query_id").applyInPandas(run, "query_id long, memory_id string, ppr double")
 
 
+def net_pagerank(blocks: DataFrame, alpha: float = 0.6, iterations: int = 20, eps: float = 1e-9) -> DataFrame:
+    """E5 over the blocks of ``nets``: an edge goes to a block once, not to each query."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        net, out = _Block(pdf, True), []
+        for query, nodes, score in net.queries:
+            home = ~np.isnan(score)
+            if not home.any():
+                continue
+            n = net.first[nodes + 1] - net.first[nodes]
+            at = np.concatenate([np.arange(net.first[x], net.first[x + 1]) for x in np.sort(nodes)]) if n.sum() else np.zeros(0, int)
+            a, b, w = np.repeat(np.sort(nodes), net.first[np.sort(nodes) + 1] - net.first[np.sort(nodes)]), net.b[at], net.w[at]
+            own = np.unique(np.concatenate([nodes[home], a, b]))
+            restart = np.bincount(np.searchsorted(own, nodes[home]), weights=np.maximum(score[home], 0.01), minlength=len(own))
+            up = w > 0
+            p = _ranks(own, restart, np.searchsorted(own, a[up]), np.searchsorted(own, b[up]), w[up], alpha, iterations, eps)
+            out.append(pd.DataFrame({"query_id": query, "memory_id": net.names[own], "ppr": p}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "memory_id": [], "ppr": []})
+
+    return blocks.groupBy("block").applyInPandas(run, "query_id long, memory_id string, ppr double")
+
+
 def pagerank(walk: DataFrame, restart: DataFrame, alpha: float = 0.6, iterations: int = 20, eps: float = 1e-9, hot: int = 100_000) -> DataFrame:
     """E5 over the whole graph: ``memory_id, ppr`` of all nodes of ``walk`` (src, dst, weight) and of ``restart`` (node, score).
 
@@ -136,11 +239,11 @@ def spread(seeds: DataFrame, edges: DataFrame, levels: int = 2) -> DataFrame:
     kind = F.col("edge_type")
     way = lambda k: _of(kind, {t: x[k] for t, x in PASSED_ON.items()}, PASSED_ON_ELSE[k])
     own = edges.where("edge_type <> 'CONTRADICTS'")
-    walk = own.select("src", "dst", way(0).alias("w")).unionByName(own.select(F.col("dst").alias("src"), F.col("src").alias("dst"), way(1).alias("w"))).groupBy("src", "dst").agg(F.max("w").alias("w"))
+    walk = own.select("src", "dst", way(0).alias("w")).unionByName(own.select(F.col("dst").alias("src"), F.col("src").alias("dst"), way(1).alias("w"))).groupBy("src", "dst").agg(F.max("w").alias("w")).withColumn("edge_type", F.lit(""))
     start = cut(seeds.select("query_id", "memory_id").distinct())
     front, found = start.withColumn("v", F.lit(1.0)), None
     for _ in range(levels):
-        met = front.join(walk, front["memory_id"] == walk["src"]).groupBy("query_id", F.col("dst").alias("memory_id")).agg(F.max(F.round(F.col("v") * F.col("w"), 12)).alias("v"))
+        met = neighbours(front.withColumnRenamed("memory_id", "node"), walk).groupBy("query_id", F.col("dst").alias("memory_id")).agg(F.max(F.round(F.col("v") * F.col("w"), 12)).alias("v"))
         met = met.join(start, ["query_id", "memory_id"], "left_anti")
         if found is None:
             front = found = cut(met)
@@ -201,28 +304,33 @@ def category_bridge(frontier: DataFrame, tags: DataFrame, cap: int = 25, weight:
 def longest_chain(ego: DataFrame, budget: int = 500_000) -> DataFrame:
     """``query_id, path, hops, confidence``: the longest simple path of each query's net, ties by product of weights.
 
-    Neighbours go by id, so the step budget cuts the same way in every run.
+    ``ego`` has query_id, parent, child, weight, or is made by ``nets``. Neighbours go by id, so the step budget cuts the
+    same way in every run. Children without a way on are taken run by run, each still a step.
     """
-    from factweave.operators.paths import longest_path
+    if "block" not in ego.columns:
+        own = ego.select("query_id", "parent").distinct().select(F.col("query_id").alias("block"), "query_id", "parent", F.lit(None).cast("string").alias("child"), F.lit(None).cast("double").alias("weight"))
+        ego = own.unionByName(ego.select(F.col("query_id").alias("block"), F.lit(None).cast("long").alias("query_id"), "parent", "child", F.col("weight").cast("double").alias("weight")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        adj: dict[str, list[tuple[str, float]]] = {}
-        for a, b, w in sorted(zip(pdf.parent, pdf.child, pdf.weight, strict=True)):
-            adj.setdefault(a, []).append((b, w))
-        path, confidence = longest_path(adj, sorted(set(pdf.parent) | set(pdf.child)), budget, lambda c, w: c * w, 1.0)
-        return pd.DataFrame({"query_id": [pdf.query_id.iloc[0]], "path": [path], "hops": [len(path) - 1], "confidence": [confidence]})
+        net, out = _Block(pdf, False), []
+        for query, nodes, _ in net.queries:
+            inner = np.sort(nodes[net.first[nodes + 1] > net.first[nodes]])
+            if len(inner):
+                path, confidence = longest_in_net(inner, net.first, net.b, net.w, budget)
+                out.append((query, net.names[path].tolist(), len(path) - 1, confidence))
+        return pd.DataFrame(out, columns=["query_id", "path", "hops", "confidence"])
 
-    return ego.where("parent <> child").groupBy("query_id").applyInPandas(run, "query_id long, path array<string>, hops int, confidence double")
+    return ego.groupBy("block").applyInPandas(run, "query_id long, path array<string>, hops int, confidence double")
 
 
 #: which edges a mode of reasoning walks; None is all of them
 MODES = {"causal": ("BECAUSE", "BECAUSE_IN", "IMPLIES_IN"), "forward": ("IMPLIES", "IMPLIES_IN", "BECAUSE"), "deep": None}
 
 
-def reasoning_chain(seeds: DataFrame, walk: DataFrame, closeness: DataFrame, mode: str, depth: int) -> DataFrame:
+def reasoning_chain(seeds: DataFrame, walk: DataFrame, closeness: DataFrame | Callable[[DataFrame], DataFrame], mode: str, depth: int) -> DataFrame:
     """``query_id, seed, nth, memory_id, edge``: from each seed the chain of nodes closest to the query.
 
-    ``closeness`` has query_id, memory_id, cosine. Typed edges come before relations, then the closest, then the id; a
+    ``closeness`` has query_id, memory_id, cosine, or makes such rows for the pairs (query_id, memory_id) it is given. Typed edges come before relations, then the closest, then the id; a
     node comes once in a chain. Deep mode keeps every node it reaches, to a depth of eight at least.
     """
     kinds = MODES.get(mode)
@@ -231,7 +339,11 @@ def reasoning_chain(seeds: DataFrame, walk: DataFrame, closeness: DataFrame, mod
     rows = at.select("query_id", "seed", F.lit(0).alias("nth"), F.col("node").alias("memory_id"), F.lit("").alias("edge"))
     for nth in range(1, (max(depth, 8) if mode == "deep" else depth) + 1):
         step = at.join(own.select("src", "dst", "edge_type"), at["node"] == F.col("src")).where(~F.array_contains("seen", F.col("dst")))
-        step = step.join(closeness.select("query_id", F.col("memory_id").alias("dst"), "cosine"), ["query_id", "dst"], "left")
+        near = closeness
+        if callable(closeness):
+            step = cut(step)
+            near = closeness(step.select("query_id", F.col("dst").alias("memory_id")).distinct())
+        step = step.join(near.select("query_id", F.col("memory_id").alias("dst"), "cosine"), ["query_id", "dst"], "left")
         typed = F.regexp_replace("edge_type", "_IN$", "").isin("IMPLIES", "BECAUSE", "CONTRADICTS")
         keys = ["query_id", "seed"] + (["dst"] if mode == "deep" else [])
         w = Window.partitionBy(*keys).orderBy(typed.desc(), F.coalesce("cosine", F.lit(-2.0)).desc(), "dst", "edge_type")

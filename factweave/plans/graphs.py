@@ -57,7 +57,7 @@ def e4(v):
 
 @query("e5_personalized_pagerank")
 def e5(v):
-    return G.personalized_pagerank(_ego(v, _starts(v)), _starts(v)).withColumn("ppr", F.round("ppr", 6))
+    return G.net_pagerank(G.nets(_starts(v), G.walk_edges(v.edges), 2, 32)).withColumn("ppr", F.round("ppr", 6))
 
 
 def _rounds(n: int, alpha: float = 0.6) -> dict[str, str]:
@@ -96,7 +96,7 @@ def e7(v):
 
 @query("e8_longest_chain")
 def e8(v):
-    out = G.longest_chain(G.expand_beam(_starts(v), G.walk_edges(v.edges), 4)[1])
+    out = G.longest_chain(G.nets(_starts(v), G.walk_edges(v.edges), 4, 256))
     return out.select("query_id", F.array_join("path", ">").alias("path"), "hops", F.round("confidence", 9).alias("confidence"))
 
 
@@ -106,9 +106,16 @@ def e9(v):
     from factweave.functions.text import cosine
 
     q = v.vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).join(_starts(v).select("query_id"), "query_id", "left_semi")
-    met = _ego(v, _starts(v)).select("query_id", F.col("child").alias("memory_id")).distinct()
-    near = met.join(q, "query_id").join(v.vectors.select("memory_id", "embedding"), "memory_id").select("query_id", "memory_id", F.round(cosine("q", "embedding"), 9).alias("cosine"))
-    return G.reasoning_chain(_starts(v), G.walk_edges(v.edges), near, "causal", 3)
+    walk = G.walk_edges(v.edges)
+    first, second = G.fronts(_starts(v), walk, 2)
+    fronts = first.unionByName(second).select("query_id", "node")
+
+    def near(pairs):
+        """Of what a search has met in two levels."""
+        met = pairs.join(fronts, "query_id").join(walk.select(F.col("src").alias("node"), F.col("dst").alias("memory_id")), ["node", "memory_id"], "left_semi").select("query_id", "memory_id").distinct()
+        return met.join(q, "query_id").join(v.vectors.select("memory_id", "embedding"), "memory_id").select("query_id", "memory_id", F.round(cosine("q", "embedding"), 9).alias("cosine"))
+
+    return G.reasoning_chain(_starts(v), walk, near, "causal", 3)
 
 
 _RANKS = {"start": "SELECT q.doc_id AS query_id, m.memory_id, row_number() OVER (PARTITION BY q.doc_id ORDER BY m.doc_id) AS rank FROM memories q JOIN memories m ON m.doc_id >= q.doc_id AND m.doc_id < q.doc_id + 20 WHERE q.doc_id % 20 = 0"}

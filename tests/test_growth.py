@@ -4,7 +4,8 @@ import random
 
 import numpy as np
 
-from factweave.operators import rank as R, write as W
+from factweave.operators import graph as G, rank as R, write as W
+from factweave.operators.paths import longest_in_net, longest_path
 
 
 def _above_pairs(df):
@@ -57,3 +58,62 @@ def test_pairs_of_facts_are_not_shuffled(spark):
         want = {(a, b): c for (a, b), c in _all_pairs(facts).items() if c >= 0.3 and keyed[a][0] and keyed[b][0] and keyed[a][0] != keyed[b][0] and keyed[a][1] == keyed[b][1]}
         assert {(r.a, r.b): round(r.cosine, 9) for r in out.collect()} == want
         assert several or not any(step in _above_pairs(out) for step in ("Join", "Aggregate"))
+
+
+def _hub(spark):
+    """A hub of alike edges, some of its leaves joined, both ways."""
+    rng = random.Random(6)
+    one = [("hub", f"n{k:02}", "X", 0.5 if k % 9 else 0.9) for k in range(60)] + [(f"n{rng.randrange(60):02}", f"n{rng.randrange(60):02}", "Y", rng.choice((0.2, 0.5, 0.5))) for _ in range(25)]
+    rows = sorted({r for a, b, t, w in one for r in ((a, b, t, w), (b, a, f"{t}_IN", w / 2))})
+    return rows, spark.createDataFrame(rows, "src string, dst string, edge_type string, weight double")
+
+
+def test_a_hub_meets_its_queries_in_cells(spark):
+    rows, walk = _hub(spark)
+    at = [(q, n) for q in range(20) for n in ("hub", f"n{q:02}")]
+    met = G.neighbours(spark.createDataFrame(at, "query_id long, node string"), walk, hot=7)
+    assert sorted(map(tuple, met.select("query_id", "node", "dst", "edge_type", "weight").collect())) == sorted((q, a, b, t, w) for q, n in at for a, b, t, w in rows if a == n)
+    assert met.rdd.glom().map(len).reduce(max) < 600
+
+
+def test_a_beam_takes_few_of_many_alike_edges(spark):
+    """Level by level by hand; chains and ranks over blocks are those over each query's own edges."""
+    rows, walk = _hub(spark)
+    seeds = [(q, n, 1.0) for q in range(12) for n in {"hub" if q % 3 else "n00", f"n{q:02}"}]
+    df = spark.createDataFrame(seeds, "query_id long, node string, score double")
+    want, edges = set(), set()
+    for q in range(12):
+        front = {n: s for i, n, s in seeds if i == q}
+        seen = set(front)
+        for level in (1, 2, 3):
+            edges |= {(q, a, b, t) for a, b, t, _ in rows if a in front}
+            fresh = [(round(front[a] * w, 12), b, a, t) for a, b, t, w in rows if a in front and b not in seen]
+            want |= {(q, b, a, t, s, level) for s, b, a, t in fresh}
+            new = {}
+            for a in front:
+                for s, b, _, _ in sorted((x for x in fresh if x[2] == a), key=lambda x: (-x[0], x[1], x[3]))[:3]:
+                    new[b] = max(s, new.get(b, 0.0))
+            front, seen = new, seen | set(new)
+    found, ego = G.expand_beam(df, walk, 3)
+    assert sorted(map(tuple, found.select("query_id", "memory_id", "parent", "edge", "graph_score", "depth").collect())) == sorted(want)
+    assert sorted(map(tuple, ego.drop("weight").collect())) == sorted(edges)
+    blocks = G.nets(df, walk, 3, 5)
+    assert blocks.where("child is not null").count() < len(edges)
+    ranks = lambda x: {(r.query_id, r.memory_id): round(r.ppr, 9) for r in x.collect()}
+    assert ranks(G.net_pagerank(blocks)) == ranks(G.personalized_pagerank(ego, df))
+    chains = lambda x: {r.query_id: (r.path, r.hops, r.confidence) for r in x.collect()}
+    assert len(chains(G.longest_chain(blocks))) == 12 and chains(G.longest_chain(blocks, 3000)) == chains(G.longest_chain(ego, 3000))
+
+
+def test_runs_of_leaves_are_steps_of_the_same_walk():
+    for t in range(200):
+        r = random.Random(t)
+        n = r.randint(2, 7)
+        links = sorted((a, b, r.choice([0.0, 0.25, 0.5, 0.9, 1.0])) for a in r.sample(range(n + 8), n) for b in (r.randrange(n + 8) for _ in range(r.randint(1, 6))) if a != b)
+        adj = {}
+        for a, b, w in links:
+            adj.setdefault(a, []).append((b, w))
+        first = np.searchsorted([x[0] for x in links], np.arange(n + 9))
+        for budget in (1, 3, 17, 60, 10**5):
+            want = longest_path(adj, sorted({x for e in links for x in e[:2]}), budget, lambda c, w: c * w, 1.0)
+            assert longest_in_net(np.array(sorted(adj)), first, np.array([x[1] for x in links]), np.array([x[2] for x in links]), budget) == want
