@@ -117,3 +117,29 @@ def test_runs_of_leaves_are_steps_of_the_same_walk():
         for budget in (1, 3, 17, 60, 10**5):
             want = longest_path(adj, sorted({x for e in links for x in e[:2]}), budget, lambda c, w: c * w, 1.0)
             assert longest_in_net(np.array(sorted(adj)), first, np.array([x[1] for x in links]), np.array([x[2] for x in links]), budget) == want
+
+
+def test_keyword_search_ranks_in_the_task(spark):
+    """Words of all texts and rare ones, empty texts and queries; no pair of query and text is joined or summed as a row."""
+    rng = random.Random(8)
+    words = [f"word{k}" for k in range(40)]
+    text = lambda n: " ".join(["common", *rng.choices(words, weights=range(1, 41), k=n)])
+    facts = [(f"m{k:03}", text(rng.randint(1, 30)) if k % 13 else "") for k in range(90)] + [("m900", text(5))]
+    asked = [(k, text(6) + " common unknownword") for k in range(12)] + [(90, ""), (91, "unknownword")]
+    q, m = spark.createDataFrame(asked, "query_id long, text string"), spark.createDataFrame(facts, "memory_id string, content string").repartition(3)
+    mean, n = sum(len(t.split()) for _, t in facts) / len(facts), len(facts)
+    df = {w: sum(w in t.split() for _, t in facts) for w in [*words, "common"]}
+    for idf, k1, k in ((False, 1.5, 5), (True, 1.2, 500)):
+        want = {}
+        for i, t in asked:
+            tokens, found = t.split(), []
+            for x, c in facts:
+                own = c.split()
+                tf = {w: own.count(w) for w in own}
+                s = sum((np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) if idf else 1.0) * tf[w] * (k1 + 1) / (tf[w] + k1 * (0.25 + 0.75 * len(own) / mean)) for w in tokens if w in tf)
+                if s:
+                    found.append((-round(s if idf else min(s / len(tokens), 1.0), 6), x))
+            want |= {(i, x): -s for s, x in sorted(found)[:k]} if k > 100 else {(i, r): -s for r, (s, _) in enumerate(sorted(found)[:k], 1)}
+        out = (R.bm25_idf_topk if idf else R.bm25_topk)(q, m, k)
+        assert {(r.query_id, r.memory_id if k > 100 else r["rank"]): round(r.score, 6) for r in out.collect()} == want
+        assert not any(step in _above_pairs(out) for step in ("Join", "Aggregate"))
