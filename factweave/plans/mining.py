@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from factweave.functions.storage import stored
 from factweave.operators import graph as G, mine as M, rank as R
 from factweave.plans.registry import query
 
@@ -54,12 +55,12 @@ _PMI = {
 
 
 def _pmi(v):
-    return M.category_pmi(v.tags, v.tags.select("memory_id").distinct().count())
+    return M.category_pmi(v.tagged)
 
 
-def _bar(v):
+def _bar(pmi):
     """The bar that the upper tenth of pairs passes; the tables' categories meet by chance only."""
-    return _pmi(v).agg(F.percentile("pmi", 0.9)).first()[0]
+    return pmi.agg(F.percentile("pmi", 0.9)).first()[0]
 
 
 @query("i1_category_pmi", "SELECT a, b, n_ab, round(pmi, 6) AS pmi FROM pmi", _PMI)
@@ -73,7 +74,8 @@ def i2(v):
 
 
 def _routes(v):
-    graph = M.pmi_graph(_pmi(v), _bar(v))
+    pmi = _pmi(v)
+    graph = stored(M.pmi_graph(pmi, _bar(pmi)))
     return M.route_subsets(graph, G.communities(graph), 5)
 
 
@@ -101,7 +103,7 @@ def i4(v):
 
 @query("i5_witnesses")
 def i5(v):
-    return M.witnesses(_routes(v), v.tags, v.memories)
+    return M.witnesses(_routes(v), v.tagged, v.memories)
 
 
 @query("i6_coherence_gate", """SELECT chain_id, round(exp(avg(ln(least(greatest(weight, 1e-9), 1.0)))), 6) AS strength, round(avg(CASE WHEN edge_type IN ('IMPLIES', 'BECAUSE', 'CONTRADICTS', 'SUPPORTS') THEN 1.0 ELSE 0 END), 6) AS share,
