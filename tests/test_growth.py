@@ -1,11 +1,13 @@
 """Cases in which a step once grew faster than its input."""
 
+import math
 import random
 
 import numpy as np
 
-from factweave.operators import graph as G, rank as R, write as W
+from factweave.operators import graph as G, mine as M, rank as R, write as W
 from factweave.operators.paths import longest_in_net, longest_path
+from factweave.plans import registry
 
 
 def _above_pairs(df):
@@ -143,3 +145,36 @@ def test_keyword_search_ranks_in_the_task(spark):
         out = (R.bm25_idf_topk if idf else R.bm25_topk)(q, m, k)
         assert {(r.query_id, r.memory_id if k > 100 else r["rank"]): round(r.score, 6) for r in out.collect()} == want
         assert not any(step in _above_pairs(out) for step in ("Join", "Aggregate"))
+
+
+def test_large_components_go_by_runs_of_nodes_with_the_same_labels(spark):
+    rng = random.Random(3)
+    links = [(f"n{g * 8 + rng.randrange(8)}", f"n{g * 8 + rng.randrange(8)}") for g in range(6) for _ in range(30)]
+    df = spark.createDataFrame(links + [(f"n{g * 8}", f"n{g * 8 + 9}") for g in range(5)], "a string, b string")
+    want = {r.node: r.label for r in G.communities(df).collect()}
+    assert len(set(want.values())) > 1
+    # one link a block: more runs than levels, so by levels
+    for block in (1, 40, 10_000):
+        assert {r.node: r.label for r in G.communities(df, small=0, block=block).collect()} == want
+
+
+def test_a_dense_component_is_no_job_for_each_level(spark, monkeypatch):
+    calls, kept = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df: calls.append(1) or kept(df))
+    df = spark.createDataFrame([(f"{a:02d}", f"{b:02d}") for a in range(24) for b in range(a)], "a string, b string")
+    assert G.communities(df, small=0).select("label").distinct().count() == 1
+    assert len(calls) < 24
+
+
+def test_tags_meet_in_their_facts_with_repetitions_and_gaps(spark):
+    tags = [("m1", "x"), ("m1", "y"), ("m1", "x"), ("m2", "y"), ("m2", "z"), ("m2", "x"), ("m3", "x"), (None, "x"), (None, "x"), ("m4", None)]
+    df = spark.createDataFrame(tags, "memory_id string, category_id string")
+    got = {(r.a, r.b): (r.n_ab, r.pmi) for r in M.category_pmi(df).collect()}
+    assert got == {("x", "y"): (2, round(math.log(2 * 4 / (4 * 2)), 9)), ("x", "z"): (1, round(math.log(1 * 4 / (4 * 1)), 9)), ("y", "z"): (1, round(math.log(1 * 4 / (2 * 1)), 9))}
+
+
+def test_routes_read_the_tags_once(spark, monkeypatch):
+    reads, kept = [], M._by_fact
+    monkeypatch.setattr(M, "_by_fact", lambda tags: reads.append(1) or kept(tags))
+    registry.queries()["i3_route_subsets"](spark, "/root/testdata/sf0.001")
+    assert len(reads) == 1
