@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from factweave.functions.storage import cut
+from factweave.functions.storage import cut, stored
 from factweave.functions.text import edge_strength
 from factweave.operators.components import connected_components
 from factweave.operators.paths import longest_in_net
@@ -254,18 +254,45 @@ def spread(seeds: DataFrame, edges: DataFrame, levels: int = 2) -> DataFrame:
     return found.withColumnRenamed("v", "graph_part")
 
 
-def connect(pairs: DataFrame, walk: DataFrame, max_depth: int) -> DataFrame:
+def connect(pairs: DataFrame, walk: DataFrame, max_depth: int, hot: int = 1000) -> DataFrame:
     """``pair_id, path, hops, confidence, shared_seed``: a shortest path between two sets of nodes.
 
     ``pairs`` has pair_id, side ('a' or 'b') and node. The smaller frontier grows, side a at a tie; a node keeps one
     parent per side (highest weight, then id). The pair ends at the first meeting, the best by weight, then id.
+    Of the nodes of a frontier with more than ``hot`` neighbours the largest is held: its neighbours are counted, and the
+    other side's nodes are looked up among them, but they are rows of a pair only if they have to grow in turn.
     """
+    ways = stored(walk.groupBy("src", "dst").agg(F.max("weight").alias("edge")).withColumn("edge_type", F.lit("")))
+    hubs = stored(ways.groupBy(F.col("src").alias("hub")).agg(F.count("*").alias("degree")).where(F.col("degree") > hot))
+    near = stored(ways.join(hubs.select(F.col("hub").alias("src")), "src", "left_semi").select(F.col("src").alias("hub"), F.col("dst").alias("node"), "edge"))
+    some = not hubs.isEmpty()
+    key, columns = ["pair_id", "side"], ["pair_id", "side", "node", "path", "weight", "level"]
     reach = cut(pairs.select("pair_id", "side", "node", F.array("node").alias("path"), F.lit(1.0).alias("weight"), F.lit(0).alias("level")).dropDuplicates(["pair_id", "side", "node"]))
+    sizes = cut(reach.groupBy(*key).agg(F.count("*").alias("n")))
+    held = cut(reach.select("pair_id", "side", F.col("node").alias("hub"), "path", "weight", "level").limit(0))
+    other = F.when(F.col("side") == "a", "b").otherwise("a").alias("side")
+
+    def grown(met: DataFrame) -> DataFrame:
+        """The rows with an edge (dst, edge) as children, one level further."""
+        return met.select(*key, F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), (F.col("weight") * F.col("edge")).alias("weight"), (F.col("level") + 1).alias("level"))
+
+    def through(rows: DataFrame) -> DataFrame:
+        """All neighbours of hubs (node), in cells."""
+        return grown(neighbours(rows.withColumn("query_id", F.col("pair_id")), ways))
+
+    def looked_up(rows: DataFrame, by: DataFrame) -> DataFrame:
+        """Of the nodes ``rows`` (pair_id, side, node) those next to the hub that ``by`` holds for the side, as its children."""
+        met = by.join(rows, key).join(near, ["hub", "node"])
+        return met.select(*key, "node", F.concat("path", F.array("node")).alias("path"), (F.col("weight") * F.col("edge")).alias("weight"), (F.col("level") + 1).alias("level"))
+
     done = None
-    grown = reach
     for _ in range(max_depth + 1):
-        a = reach.where("side = 'a'").select("pair_id", "node", F.col("path").alias("pa"), F.col("weight").alias("wa"))
-        b = reach.where("side = 'b'").select("pair_id", "node", F.col("path").alias("pb"), F.col("weight").alias("wb"))
+        rows = reach
+        if some:
+            # what the other side has met, unless this side has a way to it already
+            rows = rows.unionByName(looked_up(reach.select("pair_id", other, "node"), held).join(reach.select(*key, "node"), [*key, "node"], "left_anti"))
+        a = rows.where("side = 'a'").select("pair_id", "node", F.col("path").alias("pa"), F.col("weight").alias("wa"))
+        b = rows.where("side = 'b'").select("pair_id", "node", F.col("path").alias("pb"), F.col("weight").alias("wb"))
         meet = a.join(b, ["pair_id", "node"]).withColumn("weight", F.col("wa") * F.col("wb"))
         w = Window.partitionBy("pair_id").orderBy(F.size("pa") + F.size("pb"), F.col("weight").desc(), "node")
         best = meet.withColumn("_n", F.row_number().over(w)).where("_n = 1")
@@ -273,20 +300,43 @@ def connect(pairs: DataFrame, walk: DataFrame, max_depth: int) -> DataFrame:
         found = cut(best.select("pair_id", path.alias("path"), F.least(F.lit(1.0), "weight").alias("confidence")))
         done = found if done is None else cut(done.unionByName(found))
         open_ = reach.join(done.select("pair_id"), "pair_id", "left_anti")
-        grown = grown.join(done.select("pair_id"), "pair_id", "left_anti")
-        size = grown.groupBy("pair_id").agg(F.count_if(F.col("side") == "a").alias("na"), F.count_if(F.col("side") == "b").alias("nb"))
-        turn = size.select("pair_id", F.when((F.col("na") <= F.col("nb")) & (F.col("na") > 0) | (F.col("nb") == 0), "a").otherwise("b").alias("side"))
-        last = open_.groupBy("pair_id", "side").agg(F.max("level").alias("last"))
-        front = open_.join(turn, ["pair_id", "side"], "left_semi").join(last, ["pair_id", "side"]).where("level = last")
-        step = front.join(walk.select("src", "dst", F.col("weight").alias("edge")), front["node"] == walk["src"])
-        new = step.select("pair_id", "side", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), (F.col("weight") * F.col("edge")).alias("weight"), (F.col("level") + 1).alias("level"))
+        sizes = sizes.join(done.select("pair_id"), "pair_id", "left_anti")
+        size = sizes.groupBy("pair_id").agg(F.sum(F.when(F.col("side") == "a", F.col("n")).otherwise(0)).alias("na"), F.sum(F.when(F.col("side") == "b", F.col("n")).otherwise(0)).alias("nb")).where("na + nb > 0")
+        turn = cut(size.select("pair_id", F.when((F.col("na") <= F.col("nb")) & (F.col("na") > 0) | (F.col("nb") == 0), "a").otherwise("b").alias("side")))
+        if some:
+            due = cut(held.join(turn, key, "left_semi"))
+            held = cut(held.join(turn.select("pair_id"), "pair_id", "left_semi").join(turn, key, "left_anti"))
+            if not due.isEmpty():
+                open_ = cut(open_.unionByName(through(due.withColumnRenamed("hub", "node")).join(open_.select(*key, "node"), [*key, "node"], "left_anti").select(*columns)))
+        last = open_.groupBy(*key).agg(F.max("level").alias("last"))
+        front = open_.join(turn, key, "left_semi").join(last, key).where("level = last").drop("last")
+        light = front
+        if some:
+            heavy = front.join(hubs.withColumnRenamed("hub", "node"), "node").join(held.select("pair_id", F.lit(True).alias("busy")), "pair_id", "left")
+            nth = Window.partitionBy(*key).orderBy(F.desc("degree"), "node")
+            heavy = cut(heavy.withColumn("_n", F.row_number().over(nth)).select(*columns, "degree", (F.col("busy").isNull() & (F.col("_n") == 1)).alias("hold")))
+            hold = heavy.where("hold").withColumnRenamed("node", "hub").drop("hold")
+            light = front.join(hubs.select(F.col("hub").alias("node")), "node", "left_anti")
+        step = grown(light.join(ways, light["node"] == ways["src"]))
+        if some and not heavy.where("not hold").isEmpty():
+            step = step.unionByName(through(heavy.where("not hold").select(*columns)))
+        step = step.join(open_.select(*key, "node"), [*key, "node"], "left_anti").select(*columns)
+        if some:
+            step = cut(step)
+            step = step.unionByName(looked_up(step.select(*key, "node").distinct(), hold).select(*columns))
         nth = Window.partitionBy("pair_id", "side", "node").orderBy(F.col("weight").desc(), F.array_join("path", ","))
-        new = new.join(open_.select("pair_id", "side", "node"), ["pair_id", "side", "node"], "left_anti").withColumn("_n", F.row_number().over(nth)).where("_n = 1").drop("_n")
-        new = cut(new)
-        if not new.limit(1).count():
-            break
+        new = cut(step.withColumn("_n", F.row_number().over(nth)).where("_n = 1").drop("_n"))
         reach = cut(open_.unionByName(new))
-        grown = new.select("pair_id", "side", "node", "path", "weight", "level").unionByName(open_.join(turn, ["pair_id", "side"], "left_anti").join(last, ["pair_id", "side"]).where("level = last").select("pair_id", "side", "node", "path", "weight", "level"))
+        counted = new.groupBy(*key).agg(F.count("*").alias("n"))
+        if some:
+            known = looked_up(reach.select(*key, "node"), hold).groupBy(*key).agg(F.count("*").alias("known"))
+            more = cut(hold.join(known, key, "left").withColumn("n", F.col("degree") - F.coalesce("known", F.lit(0))).where("n > 0"))
+            held = cut(held.unionByName(more.select(*held.columns)))
+            counted = counted.unionByName(more.select(*key, "n")).groupBy(*key).agg(F.sum("n").alias("n"))
+        counted = cut(counted)
+        if counted.isEmpty():
+            break
+        sizes = cut(sizes.join(turn, key, "left_anti").unionByName(counted))
     return done.select("pair_id", "path", (F.size("path") - 1).alias("hops"), "confidence", (F.size("path") == 1).alias("shared_seed"))
 
 

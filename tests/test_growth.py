@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from factweave.operators import graph as G, mine as M, rank as R, write as W
 from factweave.operators.paths import longest_in_net, longest_path
@@ -178,3 +179,14 @@ def test_routes_read_the_tags_once(spark, monkeypatch):
     monkeypatch.setattr(M, "_by_fact", lambda tags: reads.append(1) or kept(tags))
     registry.queries()["i3_route_subsets"](spark, "/root/testdata/sf0.001")
     assert len(reads) == 1
+
+
+def test_connect_looks_up_a_hub_and_does_not_unfold_it(spark, monkeypatch):
+    links = [("hub", f"n{k:03}", 0.5 + k % 3 / 10) for k in range(60)] + [("a0", "a1", 0.9), ("a1", "hub", 0.7), ("b0", "b1", 0.9), ("b1", "n007", 0.9), ("b1", "n008", 0.9)]
+    walk = spark.createDataFrame([r for a, b, w in links for r in ((a, b, w), (b, a, w))], "src string, dst string, weight double").withColumn("edge_type", F.lit("t"))
+    pairs = spark.createDataFrame([(1, "a", "a0"), (1, "b", "b0"), (2, "a", "a0"), (2, "b", "n003")], "pair_id long, side string, node string")
+    most, kept = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df: (lambda out: most.append(out.count()) or out)(kept(df)))
+    got = {r.pair_id: r.path for r in G.connect(pairs, walk, 5, hot=20).collect()}
+    assert got == {1: ["a0", "a1", "hub", "n008", "b1", "b0"], 2: ["a0", "a1", "hub", "n003"]}
+    assert max(most) < 60
