@@ -190,3 +190,8 @@ def test_connect_looks_up_a_hub_and_does_not_unfold_it(spark, monkeypatch):
     got = {r.pair_id: r.path for r in G.connect(pairs, walk, 5, hot=20).collect()}
     assert got == {1: ["a0", "a1", "hub", "n008", "b1", "b0"], 2: ["a0", "a1", "hub", "n003"]}
     assert max(most) < 60
+
+
+def test_vectors_and_hits_are_not_broadcast(spark):
+    found = registry.queries()["d21_retrieve"](spark, "/root/testdata/sf0.001")
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
