@@ -2,7 +2,10 @@
 
 Each is a processor over Spark's keyed state (RocksDB store, timers, time to live) and writes what changed into a
 journal, a commit for each batch; the table as it stands has one row a key. Rows of one batch are taken in the order of
-their time, whatever order they come in.
+their time, whatever order they come in, and rows without a time first.
+
+Keys are dealt into blocks by hash. A processor is called once for each block that a batch has rows of, and holds its
+keys in a map of the store: only the keys of the batch are read and written. Times are microseconds inside.
 """
 
 from __future__ import annotations
@@ -10,14 +13,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from factweave.schemas import TERMINAL_STATUS
-from factweave.sources.journal import Journal, Table
+from factweave.sources.journal import Journal, Table, bucket_of
 
 # fixed values: how long an input may be worked on, when it counts as stuck, and how often it is tried
 DEADLINE_S, STUCK_S, ATTEMPTS = 60, 120, 5
+#: blocks of keys; a checkpoint holds for the number that it was begun with
+BLOCKS = 1024
+#: stands for a missing time or place, which come first
+_NONE = -(1 << 63)
 
 TABLES = {
     "agents": Table("agent_id string, principal_id string, status string, last_seen timestamp, refused long", None, ("agent_id",)),
@@ -30,9 +37,12 @@ def journal(spark: SparkSession, path: str) -> Journal:
     return Journal(spark, path, TABLES)
 
 
-def in_time(rows: Iterator[pd.DataFrame], *by: str) -> list[tuple]:
-    """All rows of a key in this batch, as tuples, in order."""
-    return list(pd.concat(list(rows)).sort_values(list(by), kind="stable").itertuples(index=False))
+def by_key(rows: Iterator[pd.DataFrame], key: str, *by: str) -> list[tuple]:
+    """Each key of a block with all its rows of this batch, as tuples, in order."""
+    found: dict = {}
+    for r in pd.concat(list(rows)).sort_values(list(by), kind="stable").itertuples(index=False):
+        found.setdefault(getattr(r, key), []).append(r)
+    return list(found.items())
 
 
 class Agents(StatefulProcessor):
@@ -43,33 +53,42 @@ class Agents(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("agent", "owner string, status string, ts timestamp, event_id long, refused long")
+        self.state = handle.getMapState("agent", "agent_id string", "owner string, status string, at long, event_id long, refused long")
+
+    def _due(self, at: int) -> int:
+        """The millisecond from which an agent last heard of at a time is forgotten."""
+        return max(at // 1000 + 1 + self.ttl_ms, 0)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        found = self.state.get() if self.state.exists() else None
-        owner, status, ts, event_id, refused = found or (None, None, None, None, 0)
-        for r in in_time(rows, "ts", "event_id"):
-            if ts is not None and self.ttl_ms is not None and (r.ts - pd.Timestamp(ts)).total_seconds() * 1000 >= self.ttl_ms:
-                owner, status, ts, event_id, refused = None, None, None, None, 0
-            terminal = r.status is not None and r.status.lower() in TERMINAL_STATUS
-            if owner is None and (terminal or r.principal_id is None):
-                continue
-            owner = r.principal_id if owner is None else owner
-            if r.principal_id != owner:
-                refused += r.principal_id is not None
-            elif ts is None or (r.ts, r.event_id) > (pd.Timestamp(ts), event_id):
-                status, ts, event_id = r.status, r.ts, r.event_id
-        if owner is not None:
-            self.state.update((owner, status, pd.Timestamp(ts).to_pydatetime(), int(event_id), int(refused)))
-            if self.ttl_ms is not None:
-                self.handle.registerTimer(int(pd.Timestamp(ts).timestamp() * 1000) + self.ttl_ms)
-            yield pd.DataFrame({"agent_id": [key[0]], "principal_id": [owner], "status": [status], "last_seen": [pd.Timestamp(ts)], "refused": [refused]})
+        out = []
+        for agent, acts in by_key(rows, "agent_id", "at", "event_id"):
+            owner, status, at, event_id, refused = self.state.getValue((agent,)) or (None, None, None, None, 0)
+            for r in acts:
+                if at is not None and self.ttl_ms is not None and r.at - at >= self.ttl_ms * 1000:
+                    owner, status, at, event_id, refused = None, None, None, None, 0
+                if owner is None and (r.terminal or r.principal_id is None):
+                    continue
+                owner = r.principal_id if owner is None else owner
+                if r.principal_id != owner:
+                    refused += r.principal_id is not None
+                elif at is None or (r.at, r.event_id) > (at, event_id):
+                    status, at, event_id = r.status, r.at, r.event_id
+            if owner is not None:
+                self.state.updateValue((agent,), (owner, status, at, event_id, refused))
+                out.append((agent, owner, status, at, refused))
+        if self.ttl_ms is not None:
+            # a block is gone through at quarters of the time to live, not for each agent
+            grid = max(self.ttl_ms // 4, 1)
+            for due in sorted({-(-self._due(x[3]) // grid) * grid for x in out}):
+                self.handle.registerTimer(due)
+        if out:
+            yield pd.DataFrame(out, columns=["agent_id", "principal_id", "status", "last_seen", "refused"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """Forget an agent that was not heard of since the timer was set."""
+        """Forget the agents of a block that were not heard of for so long; an event that comes later finds none of them either way."""
         due = expiredTimerInfo.getExpiryTimeInMs()
-        if self.state.exists() and int(pd.Timestamp(self.state.get()[2]).timestamp() * 1000) + self.ttl_ms <= due:
-            self.state.clear()
+        for agent in [agent for agent, found in self.state.iterator() if self._due(found[2]) <= due]:
+            self.state.removeKey(agent)
         return iter([])
 
 
@@ -80,16 +99,17 @@ class Brakes(StatefulProcessor):
         self.n = n
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("brake", "streak int, paused boolean")
+        self.state = handle.getMapState("brake", "stream string", "streak int, paused boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        streak, paused = self.state.get() if self.state.exists() else (0, False)
         out = []
-        for r in in_time(rows, "nth"):
-            streak = streak + 1 if r.cap > 0 and r.persisted >= r.cap else 0
-            paused = paused or streak >= self.n
-            out.append((key[0], r.nth, streak, paused))
-        self.state.update((int(streak), bool(paused)))
+        for stream, passes in by_key(rows, "stream", "nth"):
+            streak, paused = self.state.getValue((stream,)) or (0, False)
+            for r in passes:
+                streak = streak + 1 if r.hit else 0
+                paused = paused or streak >= self.n
+                out.append((stream, r.nth, streak, paused))
+            self.state.updateValue((stream,), (streak, paused))
         yield pd.DataFrame(out, columns=["stream", "nth", "streak", "paused"])
 
 
@@ -119,32 +139,49 @@ class Inputs(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("input", "status string, attempts int, since double, at double")
+        self.state = handle.getMapState("input", "pending_id string", "status string, attempts int, since double, at double")
+        self.stuck = handle.getMapState("stuck", "due long", "pending_ids array<string>")
+
+    def _load(self, pending: str) -> tuple:
+        return tuple(self.state.getValue((pending,)) or (None, 0, None, None))
 
-    def _load(self) -> tuple:
-        return tuple(self.state.get()) if self.state.exists() else (None, 0, None, None)
+    def _keep(self, pending: str, state: tuple, at: float) -> tuple:
+        self.state.updateValue((pending,), (*state, at))
+        return pending, *state[:2], round(at * 1e6)
 
-    def _keep(self, key, state: tuple, at: float) -> pd.DataFrame:
-        self.state.update((state[0], int(state[1]), state[2], float(at)))
-        return pd.DataFrame({"pending_id": [key[0]], "status": [state[0]], "attempts": [state[1]], "at": [pd.Timestamp(round(at * 1e6), unit="us").as_unit("us")]})
+    def _rows(self, out: list[tuple]) -> Iterator[pd.DataFrame]:
+        if out:
+            yield pd.DataFrame(out, columns=["pending_id", "status", "attempts", "at"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        *state, at = self._load()
-        before = state = tuple(state)
-        for r in in_time(rows, "ts", "event_id"):
-            at = r.ts.timestamp()
-            state = step(state, r.kind, at)
-        if state[0] is not None:
-            if state[0] == "processing" and state[2] != before[2]:
-                self.handle.registerTimer(int((state[2] + STUCK_S) * 1000) + 1)
-            yield self._keep(key, state, at)
+        out, begun = [], {}
+        for pending, events in by_key(rows, "pending_id", "at", "event_id"):
+            *state, at = self._load(pending)
+            before = state = tuple(state)
+            for r in events:
+                at = r.at / 1e6
+                state = step(state, r.kind, at)
+            if state[0] is not None:
+                if state[0] == "processing" and state[2] != before[2]:
+                    begun.setdefault(int((state[2] + STUCK_S) * 1000) + 1, []).append(pending)
+                out.append(self._keep(pending, state, at))
+        for due, some in begun.items():
+            (known,) = self.stuck.getValue((due,)) or ([],)
+            self.stuck.updateValue((due,), ([*known, *some],))
+            self.handle.registerTimer(due)
+        yield from self._rows(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs() / 1000
-        *state, _ = self._load()
-        after = step(tuple(state), "", due)
-        if after != tuple(state):
-            yield self._keep(key, after, due)
+        """Of the inputs whose work began two minutes before, free those that are still worked on."""
+        due, out = expiredTimerInfo.getExpiryTimeInMs(), []
+        (some,) = self.stuck.getValue((due,)) or ([],)
+        for pending in dict.fromkeys(some):
+            *state, _ = self._load(pending)
+            after = step(tuple(state), "", due / 1000)
+            if after != tuple(state):
+                out.append(self._keep(pending, after, due / 1000))
+        self.stuck.removeKey((due,))
+        yield from self._rows(out)
 
 
 def _into(changes: DataFrame, tables: Journal, table: str, checkpoint: str):
@@ -160,7 +197,16 @@ def _into(changes: DataFrame, tables: Journal, table: str, checkpoint: str):
 
 def _stateful(stream: DataFrame, key: str, processor: StatefulProcessor, schema: str, time: str) -> DataFrame:
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return stream.groupBy(key).transformWithStateInPandas(processor, schema, "update", time)
+    return stream.withColumn("block", bucket_of(key, BLOCKS)).groupBy("block").transformWithStateInPandas(processor, schema, "update", time)
+
+
+def _order(column: Column) -> Column:
+    """A whole number to sort by; missing ones are first."""
+    return F.coalesce(column.cast("long"), F.lit(_NONE))
+
+
+def _time(column: str) -> Column:
+    return F.timestamp_micros(F.nullif(F.col(column), F.lit(_NONE))).alias(column)
 
 
 def agents(events: DataFrame, tables: Journal, checkpoint: str, ttl_days: float | None = None, late: str = "1 minute"):
@@ -170,24 +216,32 @@ def agents(events: DataFrame, tables: Journal, checkpoint: str, ttl_days: float
     events later than ``late`` are dropped, and an agent that is silent for so long, by the time of the events, is
     forgotten: it keeps its last row, and may come back in another's name.
     """
-    named = events.where("agent_id is not null").select("agent_id", "principal_id", "status", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("long").alias("event_id"))
-    timed = named if ttl_days is None else named.withWatermark("ts", late)
+    ts = F.col("ts").cast("timestamp")
+    terminal = F.coalesce(F.lower("status").isin(*TERMINAL_STATUS), F.lit(False))
+    named = events.where("agent_id is not null").select("agent_id", "principal_id", "status", terminal.alias("terminal"), ts.alias("ts"), _order(F.unix_micros(ts)).alias("at"), _order(F.col("event_id")).alias("event_id"))
+    timed = named.drop("ts") if ttl_days is None else named.withWatermark("ts", late)
     ttl = None if ttl_days is None else int(ttl_days * 86_400_000)
-    return _into(_stateful(timed, "agent_id", Agents(ttl), "agent_id string, principal_id string, status string, last_seen timestamp, refused long", "none" if ttl is None else "eventTime"), tables, "agents", checkpoint)
+    known = _stateful(timed, "agent_id", Agents(ttl), "agent_id string, principal_id string, status string, last_seen long, refused long", "none" if ttl is None else "eventTime")
+    return _into(known.select("agent_id", "principal_id", "status", _time("last_seen"), "refused"), tables, "agents", checkpoint)
 
 
 def brakes(passes: DataFrame, tables: Journal, checkpoint: str, n: int = 3):
     """K6 as a stream of stream, nth, persisted, cap into ``brakes``, a row for each pass."""
-    return _into(_stateful(passes.select(F.col("stream").cast("string").alias("stream"), F.col("nth").cast("long").alias("nth"), "persisted", "cap"), "stream", Brakes(n), "stream string, nth long, streak int, paused boolean", "none"), tables, "brakes", checkpoint)
+    hit = F.coalesce((F.col("cap") > 0) & (F.col("persisted") >= F.col("cap")), F.lit(False))
+    rows = passes.select(F.col("stream").cast("string").alias("stream"), _order(F.col("nth")).alias("nth"), hit.alias("hit"))
+    known = _stateful(rows, "stream", Brakes(n), "stream string, nth long, streak int, paused boolean", "none")
+    return _into(known.withColumn("nth", F.nullif(F.col("nth"), F.lit(_NONE))), tables, "brakes", checkpoint)
 
 
 def inputs(events: DataFrame, tables: Journal, checkpoint: str, late: str = "0 seconds"):
     """K3 and K4 as a stream of pending_id, kind, ts, event_id into ``queue``; the clock is the latest ``ts`` less ``late``.
 
-    Rows of any id move the clock, so a row of an id that is never queued is a tick.
+    Rows of any id move the clock, so a row of an id that is never queued is a tick; one without a time is left out.
     """
-    timed = events.where("pending_id is not null").select("pending_id", "kind", F.col("ts").cast("timestamp").alias("ts"), "event_id").withWatermark("ts", late)
-    return _into(_stateful(timed, "pending_id", Inputs(), "pending_id string, status string, attempts int, at timestamp", "eventTime"), tables, "queue", checkpoint)
+    ts = F.col("ts").cast("timestamp")
+    timed = events.where("pending_id is not null and ts is not null").select("pending_id", "kind", ts.alias("ts"), F.unix_micros(ts).alias("at"), _order(F.col("event_id")).alias("event_id")).withWatermark("ts", late)
+    known = _stateful(timed, "pending_id", Inputs(), "pending_id string, status string, attempts int, at long", "eventTime")
+    return _into(known.withColumn("at", _time("at")), tables, "queue", checkpoint)
 
 
 def pending_status(asked: DataFrame, tables: Journal) -> DataFrame:

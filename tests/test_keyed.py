@@ -1,6 +1,7 @@
 """Keyed state against the batch forms and against plain Python, over several batches."""
 
 import random
+import uuid
 from datetime import datetime, timedelta
 
 
@@ -123,3 +124,48 @@ def test_query_of_the_queue(spark):
     events = [(r.ts.timestamp(), str(r.user_id), kinds.get(r.event_type, "tick")) for r in sorted(rows, key=lambda r: (r.ts, r.event_id))]
     got = {r.pending_id: (r.status, r.attempts) for r in registry.queries()["k3_queue_stream"](spark, data).collect()}
     assert got == machine(events, max(e[0] for e in events))
+
+
+def test_a_processor_is_called_for_blocks_of_keys(spark, tmp_path, monkeypatch):
+    """Eighty keys in a few batches are a few calls, with rows of nobody's name and without a time among them."""
+    monkeypatch.setattr(K, "BLOCKS", 4, raising=False)
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def counted(kind):
+        class Counted(kind):
+            def handleInputRows(self, key, rows, timerValues):
+                (calls / f"{kind.__name__}-{uuid.uuid4().hex}").touch()
+                yield from kind.handleInputRows(self, key, rows, timerValues)
+
+        return Counted
+
+    for kind in (K.Agents, K.Brakes, K.Inputs):
+        monkeypatch.setattr(K, kind.__name__, counted(kind))
+    at = lambda k: T0 + timedelta(seconds=k)
+    acts = [[(f"a{k}", "p" if k % 7 else None, "idle" if k % 5 else None, at(n) if k % 9 else None, n * 100 + k) for k in range(80)] for n in (0, 1)]
+    tables = K.journal(spark, str(tmp_path / "j1"))
+    run(K.agents(files(spark, str(tmp_path / "agents"), AGENT, *acts), tables, str(tmp_path / "cp1")))
+    got = {r.agent_id: (r.principal_id, r.status, r.last_seen, r.refused) for r in tables.read("agents").collect()}
+    assert got == {f"a{k}": ("p", "idle" if k % 5 else None, at(1) if k % 9 else None, 0) for k in range(80) if k % 7}
+    passes = [[(f"s{k}" if k else None, n, 5, 5 if k % 2 else None) for k in range(80)] for n in (0, 1, 2)]
+    tables = K.journal(spark, str(tmp_path / "j2"))
+    run(K.brakes(files(spark, str(tmp_path / "brakes"), "stream string, nth long, persisted long, cap long", *passes), tables, str(tmp_path / "cp2")))
+    assert {(r.stream, r.nth, r.paused) for r in tables.read("brakes").collect()} == {(f"s{k}" if k else None, n, n == 2 and k % 2 == 1) for k in range(80) for n in (0, 1, 2)}
+    queue = [[(f"i{k}", kind, at(n + k % 3), n) for k in range(80)] for n, kind in ((0, "queued"), (10, "claim"))] + [[("i1", "done", at(20), 20)], [("tick", "tick", at(500), 500)]]
+    tables = K.journal(spark, str(tmp_path / "j3"))
+    run(K.inputs(files(spark, str(tmp_path / "queue"), "pending_id string, kind string, ts timestamp, event_id long", *queue), tables, str(tmp_path / "cp3"), "1 second"))
+    rows = {r.pending_id: (r.status, r.attempts, r.at) for r in tables.read("queue").collect()}
+    assert rows == {f"i{k}": ("done", 1, at(20)) if k == 1 else ("pending", 0, at(130 + k % 3) + timedelta(milliseconds=1)) for k in range(80)}
+    names = [f.name.split("-")[0] for f in calls.iterdir()]
+    assert 2 <= names.count("Agents") <= 8 and 3 <= names.count("Brakes") <= 12 and 3 <= names.count("Inputs") <= 10
+
+
+def test_a_forgotten_agent_leaves_the_store(spark, tmp_path):
+    day = lambda k: T0 + timedelta(days=k)
+    parts = [[(f"a{k}", "p", "idle", day(0), k) for k in range(20)], [("a3", "p", "idle", day(2), 30)], [("c", "p", "idle", day(4), 40)], [("c", "p", "idle", day(4.5), 50)]]
+    tables = K.journal(spark, str(tmp_path / "j"))
+    run(K.agents(files(spark, str(tmp_path / "in"), AGENT, *parts), tables, str(tmp_path / "cp"), ttl_days=3))
+    held = spark.read.format("statestore").option("stateVarName", "agent").load(str(tmp_path / "cp"))
+    assert {r.user_map_key.agent_id for r in held.collect()} == {"a3", "c"}
+    assert {r.agent_id for r in tables.read("agents").collect()} == {"c", *(f"a{k}" for k in range(20))}
