@@ -50,3 +50,10 @@ def test_tags_beyond_the_thousandth_category_are_grown(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "embeddings.parquet"))
     got = registry.queries()["h3_grow_tags"](spark, str(tmp_path))
     assert got.where("query_id = 1").count() == 1_200
+
+
+def test_messages_with_a_part_get_their_edge(spark):
+    """C9 left out the messages whose id leaves 2 when divided by six, in which a part is named."""
+    got = registry.queries()["c9_backstop_edges"](spark, DATA).select("message_id", "edge_type").collect()
+    assert any(int(r.message_id[4:]) % 6 == 2 and r.edge_type == "PART_OF" for r in got)
+    assert any(int(r.message_id[4:]) % 7 == 0 for r in got)
