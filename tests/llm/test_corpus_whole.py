@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from factweave.llm import decontaminate as D
+from factweave.llm.queries import op8_decontaminate
 from factweave.llm.textkit import hash_words
 from factweave.llm.toxicity import Model
 
@@ -118,3 +119,15 @@ def test_all_segments_of_a_text_count():
     x = 12.0 - math.log(1000.0)
     tells = [x * r - (r - 1) * math.log(x * r) + math.lgamma(r + 1) + math.lgamma(r) - r * math.log(2.0) for r in range(1, 301)]
     assert max(tells) > max(tells[:40]) and abs(got - max(tells) / math.log(10.0)) < 1e-6
+
+
+def test_items_far_from_their_passage_are_found_by_the_query(spark, tmp_path):
+    """Paraphrased items among words of one other item, said over and over: their passages lie near that one only."""
+    items, docs = short_items(60)
+    words = [t.split() for _, t in items]
+    docs += [(1000 + i, " ".join(words[i - 1] * 2 + [f"x{k}" if k in (1, 5, 9, 13) else w for k, w in enumerate(x)] + words[i - 1] * 5)) for i, x in enumerate(words)]
+    want = owed(items, docs)
+    assert not want <= found(spark, items, docs)
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r[:2] for r in op8_decontaminate(spark, str(tmp_path)).collect()} == want
