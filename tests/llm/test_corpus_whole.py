@@ -10,6 +10,7 @@ import pyarrow as pa
 
 from pyspark.sql import functions as F
 
+from corpus_pipeline import drop_leaks
 from factweave.llm import decontaminate as D
 from factweave.llm.queries import op8_decontaminate
 from factweave.llm.textkit import hash_words
@@ -121,7 +122,7 @@ def test_all_segments_of_a_text_count():
     assert max(tells) > max(tells[:40]) and abs(got - max(tells) / math.log(10.0)) < 1e-6
 
 
-def test_items_far_from_their_passage_are_found_by_the_query(spark, tmp_path):
+def test_items_far_from_their_passage_are_found_by_the_query_and_the_pipeline(spark, tmp_path):
     """Paraphrased items among words of one other item, said over and over: their passages lie near that one only."""
     items, docs = short_items(60)
     words = [t.split() for _, t in items]
@@ -131,3 +132,5 @@ def test_items_far_from_their_passage_are_found_by_the_query(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert {r[:2] for r in op8_decontaminate(spark, str(tmp_path)).collect()} == want
+    left = drop_leaks(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert {r.doc_id for r in left.collect()} == {d for d, _ in docs} - {d for d, _ in want}
