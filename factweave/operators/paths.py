@@ -38,6 +38,48 @@ def longest_path(adjacency: dict[str, list[tuple[str, float]]], starts: list[str
     return best, best_key[1]
 
 
+def longest_route(start: int, near: Callable[[int], tuple[list[int], list[float], bool] | None], budget: int) -> tuple[list[int], list[float]] | None:
+    """``longest_path`` from one start, ties by the weakest link, with the weights of its links, over lists that may be cut short.
+
+    ``near`` gives a node's neighbours in their order, their weights and whether these are all; or None for a node whose
+    list is not there. A walk that needs more than is there gives None; one that doesn't goes as it would over whole lists.
+    """
+    best, weights, length, low, ahead = [start], [], 1, float("inf"), False
+    path, on_path, links, lows, at = [start], {start}, [], [low], [0]
+    while path and budget > 0:
+        own = near(path[-1])
+        if own is None:
+            return None
+        ends, values, whole = own
+        k, n = at[-1], len(ends)
+        while k < n and budget > 0 and ends[k] in on_path:
+            k += 1
+            budget -= 1
+        if budget <= 0:
+            break
+        if k < n:
+            budget -= 1
+            at[-1] = k + 1
+            path.append(ends[k])
+            on_path.add(ends[k])
+            links.append(values[k])
+            lows.append(min(lows[-1], values[k]))
+            at.append(0)
+            if (len(path), lows[-1]) > (length, low):
+                length, low, ahead = len(path), lows[-1], True
+        elif whole:
+            if ahead:  # the best one is where the walk stands, until it turns back
+                best, weights, ahead = path.copy(), links.copy(), False
+            on_path.discard(path.pop())
+            lows.pop()
+            at.pop()
+            if links:
+                links.pop()
+        else:
+            return None
+    return (path, links) if ahead else (best, weights)
+
+
 def longest_in_net(inner: np.ndarray, first: np.ndarray, ends: np.ndarray, weights: np.ndarray, budget: int) -> tuple[list[int], float]:
     """``longest_path`` from all nodes of a net, ties by the product of weights, for nets whose most nodes have no way on.
 

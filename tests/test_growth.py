@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from factweave.operators import graph as G, mine as M, rank as R, write as W
-from factweave.operators.paths import longest_in_net, longest_path
+from factweave.operators.paths import longest_in_net, longest_path, longest_route
 from factweave.plans import registry
 
 
@@ -195,3 +195,29 @@ def test_connect_looks_up_a_hub_and_does_not_unfold_it(spark, monkeypatch):
 def test_vectors_and_hits_are_not_broadcast(spark):
     found = registry.queries()["d21_retrieve"](spark, "/root/testdata/sf0.001")
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_routes_of_a_dense_graph_are_walked_over_a_window_of_it(spark):
+    """The walk is that over the whole graph; what its few steps cannot reach is not packed, and a walk that reaches further gets more."""
+    rng = random.Random(4)
+    names = [f"n{k:03}" for k in range(90)]
+    weight = {(a, b): rng.randrange(1, 6) / 4 for a in names for b in names if a < b and rng.random() < 0.8}
+    weight |= {("z1", "z2"): 1.0, ("z2", "z3"): 0.5}
+    weight |= {(b, a): w for (a, b), w in weight.items()}
+    adj = {}
+    for a, b in sorted(weight):
+        adj.setdefault(a, []).append((b, weight[a, b]))
+    graph = spark.createDataFrame([(a, b, w) for (a, b), w in weight.items()], "a string, b string, pmi double").repartition(3)
+    ids = {n: k for k, n in enumerate(sorted(adj))}
+    ends = {ids[a]: ([ids[b] for b, _ in e], [w for _, w in e]) for a, e in adj.items()}
+    for budget, window in ((100, 32), (1500, 16), (1500, 90)):
+        want = {a: longest_path(adj, [a], budget, min, math.inf)[0] for a in adj}
+        got = {r.seed: (r.path, r.pmis) for r in M.longest_routes(graph, budget, 40, window).collect()}
+        assert got == {a: (p, [weight[x] for x in zip(p, p[1:])]) for a, p in want.items()}
+        short = 0
+        for a in names:
+            near = lambda x: (ends[x][0][:window], ends[x][1][:window], len(ends[x][0]) <= window) if x < window or x == ids[a] else None  # noqa: B023, E731
+            walk = longest_route(ids[a], near, budget)
+            short += walk is None
+            assert walk is None or [ids[x] for x in want[a]] == walk[0]
+        assert (short > 0) == (window == 16)
